@@ -108,7 +108,8 @@ def fertility(documents: DataFrame, vocabulary: str, id: str = "doc_id", text: s
         F.percentile_approx(F.abs(F.col("chars_per_token") - F.col("__m")), 0.5).alias("__ms"),
         F.percentile_approx(F.abs(F.col("__flat") - F.col("__f")), 0.5).alias("__fs"),
     )
-    inside = (F.abs(F.col("chars_per_token") - F.col("__m")) <= bands * F.col("__ms")) & (F.col("__flat") >= F.col("__f") - bands * F.col("__fs"))
+    width, drop = F.greatest("__ms", 0.05 * F.col("__m")), F.greatest("__fs", 0.05 * F.col("__f"))
+    inside = (F.abs(F.col("chars_per_token") - F.col("__m")) <= bands * width) & (F.col("__flat") >= F.col("__f") - bands * drop)
     return near.join(spread, "lang").select(
         F.col("__id").alias(id), "lang", "n_tokens", "chars_per_token", "byte_share", "token_entropy", F.coalesce(inside, F.lit(False)).alias("in_band")
     )
