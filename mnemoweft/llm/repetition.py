@@ -70,10 +70,10 @@ def fertility(documents: DataFrame, vocabulary: str, id: str = "doc_id", text: s
 
     chars_per_token and the entropy (bits, of the document's own tokens) come from a public byte-level
     vocabulary; byte_share is the share of tokens that hold no whole character, to which it falls back
-    for what it has no entry for.  in_band tells whether chars_per_token is within `bands` median
-    absolute deviations of the language's median and entropy per log2 of the tokens not below it by
-    more.  The medians are of all documents of the language (approximate percentiles, one pass with
-    map-side combine).  Languages are trimmed and lower-cased, null is "und".  Null and empty texts
+    for what it has no entry for.  in_band tells whether chars_per_token is within `bands` times the
+    language's spread of its median, and the entropy per log2 of the tokens not below it by more; a
+    spread is the median absolute deviation, at least 5 % of the median.  The medians are of all documents
+    of the language (approximate percentiles, one pass with map-side combine).  Languages are trimmed and lower-cased, null is "und".  Null and empty texts
     have null measures and are out of band; further columns are not read.
     """
     schema = f"__id {dict(documents.dtypes)[id]}, lang string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
