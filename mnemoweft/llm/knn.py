@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from mnemoweft.runtime import cut, parallelism
 
+WANTED = 1_000_000  # 64-bit ids broadcast at most, some 16 MB
+
 
 @dataclass(frozen=True)
 class Curves:
@@ -211,14 +213,14 @@ def nearest(
         share = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
         most = min(p.sketch_bits, math.ceil(p.sketch_bits * share + 4 * math.sqrt(p.sketch_bits * share * (1 - share))))
     near = cut(ordered.mapInArrow(_windows(p, k + 3, most), "collection int, x long, y long").distinct())
-    ends = near.select("collection", F.explode(F.array("x", "y")).alias("vid")).distinct()
-    exact = (
-        current.select("collection", "vid", "id", "version")
-        .join(ends, ["collection", "vid"], "left_semi")
-    )
-    # the vectors of the rows that some pair needs; equal rows count once
+    ends = cut(near.select("collection", F.explode(F.array("x", "y")).alias("vid")).distinct())
+    exact = current.select("collection", "vid", "id", "version").join(ends, ["collection", "vid"], "left_semi")
+    # the vectors of the rows that some pair needs; equal rows count once.  Up to WANTED of them, the
+    # others are left at the scan; beyond, the join moves all vectors once
+    wanted = ends.select("vid").distinct()
+    scan = fit.join(F.broadcast(wanted), "vid", "left_semi") if ends.count() <= WANTED else fit
     held = (
-        fit.join(exact.withColumnRenamed("version", "last"), ["collection", "vid", "id"])
+        scan.join(exact.withColumnRenamed("version", "last"), ["collection", "vid", "id"])
         .filter(F.col("version").eqNullSafe(F.col("last")))
         .groupBy("collection", "vid", "id")
         .agg(F.max("vector").alias("vector"))
