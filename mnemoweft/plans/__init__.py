@@ -1,5 +1,5 @@
 """Registered queries: a plan per name, and SQL with the same result where SQL can express it."""
 
-from mnemoweft.plans import association, hierarchies
+from mnemoweft.plans import association, hierarchies, segmentation
 
-MODULES = [hierarchies, association]
+MODULES = [hierarchies, association, segmentation]
