@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from mnemoweft.llm.cooccurrence import cooccurrence
 from mnemoweft.llm.fusion import fuse_ranks
@@ -64,12 +63,10 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _edges(spark, sf)
-    first = W.partitionBy("source_id").orderBy(F.desc("fused"), "target_id")
-    fused = fuse_ranks(edges, "source_id", SCORES)
-    sizes = fused.groupBy("source_id").agg(F.count("*").alias("n"), F.max(F.struct("fused", F.col("target_id"))).alias("best"))
-    best = fused.join(sizes.filter("n >= 6").select("source_id", F.col("best.fused").alias("top")), "source_id").filter(F.col("fused") == F.col("top"))
-    return best.groupBy("source_id").agg(F.min("target_id").alias("target_id"))
+    fused = fuse_ranks(_edges(spark, sf), "source_id", SCORES)
+    best = F.min(F.struct(-F.col("fused"), F.col("target_id").alias("target_id")))
+    tops = fused.groupBy("source_id").agg(F.count("*").alias("n"), best.alias("best"))
+    return tops.filter("n >= 6").select("source_id", "best.target_id")
 
 
 def p5_ranking(spark: SparkSession, sf: str) -> DataFrame:
