@@ -19,13 +19,29 @@ def _matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.nan_to_num(v)
 
 
-def _block_scan(names, queries, k: int | None, least: float | None, types):
+def _allowed(topics: list, wanted: dict, shape: tuple[int, int]) -> np.ndarray:
+    """Which queries may see which rows: those that share a topic."""
+    rows: dict = {}
+    for r, ts in enumerate(topics):
+        for t in ts or []:
+            if t in wanted:
+                rows.setdefault(t, []).append(r)
+    mask = np.zeros(shape, bool)
+    for t, rs in rows.items():
+        mask[np.ix_(rs, wanted[t])] = True
+    return mask
+
+
+def _block_scan(names, queries, k: int | None, least: float | None, wanted: dict | None):
     def scan(batches):
         for batch in batches:
             at, v = _matrix(batch.column(1), queries.shape[1])
             if not len(at):
                 continue
             g = np.round(v @ queries.T, 9)
+            if wanted is not None:
+                ok = _allowed(batch.column(2).take(pa.array(at)).to_pylist(), wanted, g.shape)
+                g = np.where(ok, g, -np.inf)
             if k is not None and len(at) > k:
                 cut = np.partition(g, len(at) - k, axis=0)[len(at) - k]
                 keep = g >= cut[None, :]
@@ -33,6 +49,8 @@ def _block_scan(names, queries, k: int | None, least: float | None, types):
                 keep = np.ones(g.shape, bool)
             if least is not None:
                 keep &= g >= least
+            if wanted is not None:
+                keep &= ok
             r, c = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays(
                 [names.take(pa.array(c)), batch.column(0).take(pa.array(at[r])), pa.array(g[r, c])], names=["query", "item", "score"]
@@ -41,9 +59,11 @@ def _block_scan(names, queries, k: int | None, least: float | None, types):
     return scan
 
 
-def _scan(items: DataFrame, queries: DataFrame, k: int | None, least: float | None) -> DataFrame:
+def _scan(items: DataFrame, queries: DataFrame, k: int | None, least: float | None, filtered: bool = False) -> DataFrame:
     """items(item, vector), queries(query, qv): query, item, score (dot, nine decimals).
 
+    With filtered, both have an array of topics and only rows that share one with the query count.
+
     The queries come to the tasks in blocks of BLOCK, so no task and no broadcast grows with them;
     each block is one pass over the items with one matrix product per Arrow batch.
     """
@@ -53,24 +73,31 @@ def _scan(items: DataFrame, queries: DataFrame, k: int | None, least: float | No
     out = None
     for b in range(max(1, -(-n // BLOCK))):
         part = queries if n <= BLOCK else queries.filter(F.pmod(F.xxhash64("query"), F.lit(-(-n // BLOCK))) == b)
-        t = part.filter("qv is not null").select("query", "qv").toArrow()
+        t = part.filter("qv is not null").select("query", "qv", *(["topics"] if filtered else [])).toArrow()
         if not t.num_rows:
             continue
         dim = len(t["qv"][0])
         at, q = _matrix(t["qv"].combine_chunks(), dim)
         names = t["query"].combine_chunks().take(pa.array(at))
-        found = items.select("item", "vector").mapInArrow(_block_scan(names, q, k, least, (qtype, itype)), f"query {qtype}, item {itype}, score double")
+        wanted = None
+        if filtered:
+            wanted = {}
+            for c, topics in enumerate(t["topics"].combine_chunks().take(pa.array(at)).to_pylist()):
+                for x in set(topics or []):
+                    wanted.setdefault(x, []).append(c)
+        rows = items.select("item", "vector", *(["topics"] if filtered else []))
+        found = rows.mapInArrow(_block_scan(names, q, k, least, wanted), f"query {qtype}, item {itype}, score double")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], f"query {qtype}, item {itype}, score double")
 
 
-def nearest_items(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest_items(items: DataFrame, queries: DataFrame, k: int, filtered: bool = False) -> DataFrame:
     """query, item, score, rank: the k items of the greatest dot product; ties go to the smaller item.
 
-    Each batch of items keeps its own best k (and ties) per query before anything is shuffled.
+    With filtered, among the items that share a topic with the query.  Each batch of items keeps its own best k (and ties) per query before anything is shuffled.
     """
     best = W.partitionBy("query").orderBy(F.desc("score"), "item")
-    return _scan(items, queries, k, None).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return _scan(items, queries, k, None, filtered).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def items_above(items: DataFrame, queries: DataFrame, least: float) -> DataFrame:

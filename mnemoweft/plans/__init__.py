@@ -1,5 +1,5 @@
 """Registered queries: a plan per name, and SQL with the same result where SQL can express it."""
 
-from mnemoweft.plans import association, hierarchies, segmentation
+from mnemoweft.plans import association, hierarchies, retrieval, segmentation
 
-MODULES = [hierarchies, association, segmentation]
+MODULES = [hierarchies, association, segmentation, retrieval]

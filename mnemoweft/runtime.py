@@ -29,8 +29,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """Turn off a feature of Spark 4.1 that gives wrong results.
+
+    With it a union claims its inputs' common partitioning; adaptive coalescing can then leave these with
+    different partitions, and a distinct or aggregate above keeps duplicates or fails to zip them.
+    """
+    if spark.conf.get("spark.sql.unionOutputPartitioning", None) != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage (eager)."""
+    steady(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -45,6 +57,7 @@ def parallelism(spark: SparkSession) -> int:
 
     AQE sizes partitions by bytes, which would leave such stages on one core.
     """
+    steady(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 

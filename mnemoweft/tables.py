@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemoweft.runtime import steady
+
 #: Key and version column of the tables that hold older states.
 CURRENT = {
     "topics": (["topic_id"], "updated_at"),
@@ -15,7 +17,7 @@ CURRENT = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return steady(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def current_rows(df: DataFrame, keys: list[str], version: str, columns: list[str] | None = None) -> DataFrame:
