@@ -21,8 +21,9 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Divided by its length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(as_double(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    # bound by an outer lambda, else the length would be computed again for each number
+    lengths = F.transform(F.array(norm(v)), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return F.element_at(F.transform(lengths, lambda n: F.transform(as_double(v), lambda x: x / n)), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row in the low 33 bits
@@ -143,3 +144,19 @@ def iter_groups(batches, keys: list[str]):
             held.append(t.slice(s, e - s))
     if held:
         yield pa.concat_tables(held)
+
+
+def with_positions(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """Adds the row's place in its group (from 0) without gathering a group in a task.
+
+    A sort range-partitioned on group and order spreads a large group; one count per partition and
+    group gives the offsets.  order must tell the rows of a group apart.
+    """
+    keys = [*group, *order]
+    ranged = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("__p", F.spark_partition_id())
+    counts = ranged.groupBy(*group, "__p").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*group, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), "__n")
+    inside = W.partitionBy(*group, "__p").orderBy(*order)
+    placed = ranged.join(starts.drop("__n"), [*group, "__p"]).withColumn(name, F.col("__start") + F.row_number().over(inside) - 1)
+    return placed.drop("__p", "__start").select(*df.columns, name)
