@@ -1,5 +1,5 @@
 """Registered queries: a plan per name, and SQL with the same result where SQL can express it."""
 
-from mnemoweft.plans import association, dag, hierarchies, retrieval, segmentation
+from mnemoweft.plans import association, dag, evaluation, hierarchies, retrieval, segmentation, sources
 
-MODULES = [hierarchies, association, segmentation, retrieval, dag]
+MODULES = [hierarchies, association, segmentation, retrieval, dag, evaluation, sources]
