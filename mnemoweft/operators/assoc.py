@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS, Settings
 from mnemoweft.functions.info import clamp, half_life, npmi
-from mnemoweft.functions.vector import dot
+from mnemoweft.operators.search import items_above
+from mnemoweft.runtime import with_positions
 
 
 def bridge(memories: DataFrame, memory: str, topics: str) -> DataFrame:
@@ -19,11 +20,11 @@ def bridge(memories: DataFrame, memory: str, topics: str) -> DataFrame:
 def soft_memberships(hard: DataFrame, memories: DataFrame, topics: DataFrame, threshold: float = DEFAULTS.soft_membership) -> DataFrame:
     """hard plus the topics whose label vector is at least that similar to the memory's vector.
 
-    memories(memory, vector), topics(topic, vector): unit vectors.  The topics are one row each of
-    a dimension that stays small; Catalyst decides how to bring it to the memories.
+    memories(memory, vector), topics(topic, vector): unit vectors.  The topics are searched for in
+    blocks, each by one pass over the memories.
     """
-    near = memories.join(topics.withColumnRenamed("vector", "label"), dot(F.col("vector"), F.col("label")) >= threshold)
-    return hard.select("memory", "topic").unionByName(near.select("memory", "topic")).distinct()
+    near = items_above(memories.select(F.col("memory").alias("item"), "vector"), topics.select(F.col("topic").alias("query"), F.col("vector").alias("qv")), threshold)
+    return hard.select("memory", "topic").unionByName(near.select(F.col("item").alias("memory"), F.col("query").alias("topic"))).distinct()
 
 
 def cooccurrences(members: DataFrame) -> DataFrame:
@@ -82,8 +83,8 @@ def prune(edges: DataFrame, least: float = DEFAULTS.prune_weight, degree: int =
 def causal_candidates(topics: DataFrame, edges: DataFrame, low: float = DEFAULTS.causal_low, high: float = DEFAULTS.causal_high, most: int = DEFAULTS.causal_candidates) -> DataFrame:
     """a < b, similarity of the topics without an edge whose similarity is strictly between, nearest the middle first."""
     known = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    x, y = topics.select(F.col("topic").alias("a"), F.col("vector").alias("va")), topics.select(F.col("topic").alias("b"), F.col("vector").alias("vb"))
-    pairs = x.join(y, F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("similarity"))
+    near = items_above(topics.select(F.col("topic").alias("item"), "vector"), topics.select(F.col("topic").alias("query"), F.col("vector").alias("qv")), low)
+    pairs = near.filter("query < item").select(F.col("query").alias("a"), F.col("item").alias("b"), F.col("score").alias("similarity"))
     fit = pairs.filter((F.col("similarity") > low) & (F.col("similarity") < high)).join(known, ["a", "b"], "left_anti")
     return fit.orderBy(F.round(F.abs(F.col("similarity") - (low + high) / 2), 9), "a", "b").limit(most)
 
@@ -93,27 +94,45 @@ def decayed(edges: DataFrame, as_of: Column, days: float = DEFAULTS.half_life_da
     return edges.withColumn(value, F.col(value) * half_life(F.col(when), as_of, days))
 
 
-def reinforced(events: DataFrame, keys: list[str], delta: str, ts: str, tie: str, settings: Settings = DEFAULTS) -> DataFrame:
+def reinforced(events: DataFrame, keys: list[str], delta: str, ts: str, tie: str, settings: Settings = DEFAULTS, state: DataFrame | None = None) -> DataFrame:
     """keys, weight, last_updated after all events of a key: decay to the event, then reinforce by delta in [0, 1].
 
-    w' = d (1 - r) w + r with r = rate * delta is affine, so the steps of a key compose to
-    sum_i r_i D_i prod_{j>i} (1 - r_j), with D_i the decay from event i to the last, and the first event
-    starts at clamp(edge weight * delta).  Products run as sums of logs, so this is a window sum from the end and
-    an aggregate, without a fold.  Rates must be below 1.
+    state (keys, weight, last_updated), if given, is what was before the events, which are later.
+    w' = d (1 - r) w + r with r = rate * delta is affine, so steps compose: n of them give
+    sum_i r_i D_i prod_{j>i} (1 - r_j) with D_i the decay from event i to the last one, and the first event of
+    a new key starts at clamp(edge weight * delta).  Products run as sums of logs.  The events of a key are
+    composed by day first and then the days, so a key's events are never in one task unless of one
+    day.  Rates must be below 1.
     """
+    days = settings.half_life_days
+    rows = events.withColumn("__day", F.to_date(ts))
     rate = settings.learning_rate * F.col(delta)
-    order = [F.col(ts), F.col(tie)]
-    base = W.partitionBy(*keys)
-    first = F.row_number().over(base.orderBy(*order)) == 1
-    later = base.orderBy(*[c.desc() for c in order]).rowsBetween(W.unboundedPreceding, -1)
-    tail = F.exp(F.coalesce(F.sum(F.log1p(-rate)).over(later), F.lit(0.0)))
-    last = F.max(ts).over(base)
-    start = clamp(settings.edge_weights[0] * F.col(delta))
-    step = F.when(first, start).otherwise(rate) * tail * half_life(F.col(ts), last, settings.half_life_days)
-    return events.select(*keys, step.alias("__s"), F.col(ts).alias("__t")).groupBy(*keys).agg(F.sum("__s").alias("weight"), F.max("__t").alias("last_updated"))
+    new = rows.groupBy(*keys).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"))).alias("__first"))
+    if state is not None:
+        new = new.join(state.select(*keys), keys, "left_anti")
+    rows = rows.join(new, keys, "left")
+    first = F.coalesce((F.col(ts) == F.col("__first.t")) & (F.col(tie) == F.col("__first.i")), F.lit(False))
+
+    def compose(df, part, order, step, log, t):
+        """Of rows with a step, the log of what they leave of earlier ones and a time: the same per part."""
+        base = W.partitionBy(*part)
+        later = base.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(W.unboundedPreceding, -1)
+        tail = F.exp(F.coalesce(F.sum(log).over(later), F.lit(0.0)))
+        moved = step * tail * half_life(F.col(t), F.max(t).over(base), days)
+        return df.select(*part, moved.alias("__s"), log.alias("__r"), F.col(t).alias("__t")).groupBy(*part).agg(F.sum("__s").alias("__s"), F.sum("__r").alias("__r"), F.max("__t").alias("__t"))
+
+    start = F.when(first, clamp(settings.edge_weights[0] * F.col(delta))).otherwise(rate)
+    daily = compose(rows, [*keys, "__day"], [ts, tie], start, F.log1p(-rate), ts)
+    done = compose(daily, keys, ["__day"], F.col("__s"), F.col("__r"), "__t")
+    if state is None:
+        return done.select(*keys, F.col("__s").alias("weight"), F.col("__t").alias("last_updated"))
+    old = state.select(*keys, F.col("weight").alias("__w"), F.col("last_updated").alias("__l"))
+    both = done.join(old, keys, "full")
+    carried = F.col("__w") * F.exp(F.coalesce("__r", F.lit(0.0))) * F.coalesce(half_life(F.col("__l"), F.col("__t"), days), F.lit(1.0))
+    return both.select(*keys, (F.coalesce(carried, F.lit(0.0)) + F.coalesce("__s", F.lit(0.0))).alias("weight"), F.coalesce("__t", "__l").alias("last_updated"))
 
 
 def neighbours(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Edges out of the given sources, heaviest first."""
-    best = W.partitionBy("source").orderBy(F.desc("weight"), "target")
-    return edges.join(sources.select("source").distinct(), "source", "left_semi").withColumn("rank", F.row_number().over(best))
+    """Edges out of the given sources, heaviest first; the edges of one source may be any number."""
+    kept = edges.join(sources.select("source").distinct(), "source", "left_semi").withColumn("__w", -F.col("weight"))
+    return with_positions(kept, ["source"], ["__w", "target"], "__pos").withColumn("rank", (F.col("__pos") + 1).cast("int")).drop("__w", "__pos")

@@ -14,7 +14,7 @@ from mnemoweft.config import DEFAULTS, Settings
 from mnemoweft.functions.text import ENUMERATIONS, REASONS, has_any, keyword_ratio
 from mnemoweft.functions.vector import dot
 from mnemoweft.operators.ppr import personalized_pagerank
-from mnemoweft.operators.search import nearest_items
+from mnemoweft.operators.search import in_blocks, nearest_items
 from mnemoweft.runtime import cut
 
 # Weights of the scores.
@@ -52,8 +52,12 @@ def route_all(store: Store, queries: DataFrame) -> DataFrame:
     near = F.round(dot(F.col("qv"), F.col("summary_vector")), 9)
     summary = F.when(near.isNull(), label).otherwise(F.greatest(F.lit(0.0), near))
     score = ROUTE_LABEL * label + ROUTE_SUMMARY * summary + ROUTE_KEYWORDS * keyword_ratio(F.col("keywords"), F.col("text"))
-    pairs = q.select("query", "qv", "text").join(t, F.lit(True))
-    return pairs.select("query", "topic", score.alias("score")).filter("score > 0")
+    out = None
+    for block in in_blocks(q.select("query", "qv", "text")):
+        # a block of some thousand queries against all topics
+        part = t.join(F.broadcast(block), F.lit(True)).select("query", "topic", score.alias("score")).filter("score > 0")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else t.sparkSession.createDataFrame([], f"query {dict(q.dtypes)['query']}, topic {dict(t.dtypes)['topic']}, score double")
 
 
 def route_indexed(store: Store, queries: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 2048  # queries that a task multiplies at once
+ROWS = 1024  # rows that it multiplies them with, 16 MB of products
+HELD = 2_000_000  # candidates that it holds before it drops those that are out
 
 
 def _matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,60 +36,102 @@ def _allowed(topics: list, wanted: dict, shape: tuple[int, int]) -> np.ndarray:
     return mask
 
 
+class _Best:
+    """The k best scores of each query, ties included, of a stream of candidates."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.size = 0
+
+    def add(self, c: np.ndarray, s: np.ndarray, items: pa.Array) -> None:
+        self.parts.append((c, s, items))
+        self.size += len(c)
+        if self.size > HELD:
+            self.shrink()
+
+    def shrink(self) -> None:
+        if not self.parts:
+            return
+        c, s = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        items = pa.concat_arrays([p[2] for p in self.parts])
+        order = np.lexsort((-s, c))
+        c, s = c[order], s[order]
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        rank = np.arange(len(c)) - np.repeat(first, np.diff(np.r_[first, len(c)]))
+        at = rank == self.k - 1
+        self.least[c[at]] = s[at]
+        keep = s >= self.least[c]
+        self.parts = [(c[keep], s[keep], items.take(pa.array(order[keep])))]
+        self.size = int(keep.sum())
+
+
 def _block_scan(names, queries, k: int | None, least: float | None, wanted: dict | None):
+    def out(c, s, items):
+        return pa.RecordBatch.from_arrays([names.take(pa.array(c)), items, pa.array(s)], names=["query", "item", "score"])
+
     def scan(batches):
+        best = _Best(len(queries), k) if k is not None else None
         for batch in batches:
             at, v = _matrix(batch.column(1), queries.shape[1])
-            if not len(at):
-                continue
-            g = np.round(v @ queries.T, 9)
-            if wanted is not None:
-                ok = _allowed(batch.column(2).take(pa.array(at)).to_pylist(), wanted, g.shape)
-                g = np.where(ok, g, -np.inf)
-            if k is not None and len(at) > k:
-                cut = np.partition(g, len(at) - k, axis=0)[len(at) - k]
-                keep = g >= cut[None, :]
-            else:
-                keep = np.ones(g.shape, bool)
-            if least is not None:
-                keep &= g >= least
-            if wanted is not None:
-                keep &= ok
-            r, c = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(c)), batch.column(0).take(pa.array(at[r])), pa.array(g[r, c])], names=["query", "item", "score"]
-            )
+            for lo in range(0, len(at), ROWS):
+                rows = pa.array(at[lo : lo + ROWS])
+                g = np.round(v[lo : lo + ROWS] @ queries.T, 9)
+                keep = np.ones(g.shape, bool) if best is None else g >= best.least[None, :]
+                if least is not None:
+                    keep &= g >= least
+                if wanted is not None:
+                    keep &= _allowed(batch.column(2).take(rows).to_pylist(), wanted, g.shape)
+                if best is not None and wanted is None and len(g) > k:
+                    keep &= g >= np.partition(g, len(g) - k, axis=0)[len(g) - k][None, :]
+                r, c = np.nonzero(keep)
+                if not len(r):
+                    continue
+                items = batch.column(0).take(rows).take(pa.array(r))
+                if best is None:
+                    yield out(c, g[r, c], items)
+                else:
+                    best.add(c, g[r, c], items)
+        if best is not None:
+            best.shrink()
+            for c, s, items in best.parts:
+                yield out(c, s, items)
 
     return scan
 
 
+def in_blocks(queries: DataFrame, size: int | None = None) -> Iterator[DataFrame]:
+    """The rows in parts of about `size` (BLOCK if not given), told apart by a hash of their query."""
+    n = -(-queries.count() // (size or BLOCK))
+    for b in range(n):
+        yield queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == b)
+
+
 def _scan(items: DataFrame, queries: DataFrame, k: int | None, least: float | None, filtered: bool = False) -> DataFrame:
     """items(item, vector), queries(query, qv): query, item, score (dot, nine decimals).
 
     With filtered, both have an array of topics and only rows that share one with the query count.
-
     The queries come to the tasks in blocks of BLOCK, so no task and no broadcast grows with them;
-    each block is one pass over the items with one matrix product per Arrow batch.
+    each block is one pass over the items.
     """
     spark = items.sparkSession
     qtype, itype = dict(queries.dtypes)["query"], dict(items.dtypes)["item"]
-    n = queries.count()
+    extra = ["topics"] if filtered else []
     out = None
-    for b in range(max(1, -(-n // BLOCK))):
-        part = queries if n <= BLOCK else queries.filter(F.pmod(F.xxhash64("query"), F.lit(-(-n // BLOCK))) == b)
-        t = part.filter("qv is not null").select("query", "qv", *(["topics"] if filtered else [])).toArrow()
+    for part in in_blocks(queries.filter("qv is not null").select("query", "qv", *extra)):
+        t = part.toArrow()
         if not t.num_rows:
             continue
         dim = len(t["qv"][0])
         at, q = _matrix(t["qv"].combine_chunks(), dim)
         names = t["query"].combine_chunks().take(pa.array(at))
-        wanted = None
+        wanted: dict | None = None
         if filtered:
             wanted = {}
             for c, topics in enumerate(t["topics"].combine_chunks().take(pa.array(at)).to_pylist()):
                 for x in set(topics or []):
                     wanted.setdefault(x, []).append(c)
-        rows = items.select("item", "vector", *(["topics"] if filtered else []))
+        rows = items.select("item", "vector", *extra)
         found = rows.mapInArrow(_block_scan(names, q, k, least, wanted), f"query {qtype}, item {itype}, score double")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], f"query {qtype}, item {itype}, score double")
@@ -94,7 +140,8 @@ def _scan(items: DataFrame, queries: DataFrame, k: int | None, least: float | No
 def nearest_items(items: DataFrame, queries: DataFrame, k: int, filtered: bool = False) -> DataFrame:
     """query, item, score, rank: the k items of the greatest dot product; ties go to the smaller item.
 
-    With filtered, among the items that share a topic with the query.  Each batch of items keeps its own best k (and ties) per query before anything is shuffled.
+    With filtered, among the items that share a topic with the query.  Each task keeps its own best k
+    (and ties) per query before anything is shuffled.
     """
     best = W.partitionBy("query").orderBy(F.desc("score"), "item")
     return _scan(items, queries, k, None, filtered).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoweft.functions.vector import dot, norm, normalise
+from mnemoweft.functions.vector import norm, normalise
 from mnemoweft.operators import dag as D
 from mnemoweft.operators.assoc import marginals
 from mnemoweft.operators.hierarchy import Hierarchy, links_of
+from mnemoweft.operators.search import items_above
 from mnemoweft.plans import bindings as B
 from mnemoweft.plans.bindings import rounded
 from mnemoweft.runtime import cut
@@ -124,8 +125,8 @@ def drift_jsd(spark: SparkSession, sf: str) -> DataFrame:
 def hac_cut(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of label centroids at two cuts."""
     c = B.centroids(spark, sf).select("topic", "vector")
-    pairs = c.select(F.col("topic").alias("a"), F.col("vector").alias("va")).join(c.select(F.col("topic").alias("b"), F.col("vector").alias("vb")), F.col("a") < F.col("b"))
-    return D.cluster_cuts(pairs.select("a", "b", (0.8 - F.round(dot(F.col("va"), F.col("vb")), 9)).alias("distance")), c, (0.75, 0.7)).select("cluster", "distance", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    pairs = items_above(c.select(F.col("topic").alias("item"), "vector"), c.select(F.col("topic").alias("query"), F.col("vector").alias("qv")), -1.0).filter("query < item")
+    return D.cluster_cuts(pairs.select(F.col("query").alias("a"), F.col("item").alias("b"), (0.8 - F.col("score")).alias("distance")), c, (0.75, 0.7)).select("cluster", "distance", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 def insert_candidates(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,12 +12,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS, Settings
-from mnemoweft.functions.info import clamp, half_life
-from mnemoweft.operators.assoc import bridge, cooccurrences, marginals, with_npmi
+from mnemoweft.operators.assoc import bridge, cooccurrences, marginals, reinforced, with_npmi
 from mnemoweft.runtime import steady
 from mnemoweft.tables import current_rows
 
@@ -91,25 +89,8 @@ class IncrementalAssociation:
 
 
 def reinforce_onto(state: DataFrame, events: DataFrame, keys: list[str], delta: str, ts: str, tie: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """state (keys, weight, last_updated) after the events of a batch, which are later than it.
-
-    The steps of a key compose to w' = A w + B, so the batch is one aggregate per key, joined once.
-    """
-    rate = settings.learning_rate * F.col(delta)
-    old = state.select(*keys, F.col("weight").alias("__w"), F.col("last_updated").alias("__l"))
-    rows = events.join(old, keys, "left")
-    order = [F.col(ts), F.col(tie)]
-    base = W.partitionBy(*keys)
-    first = (F.row_number().over(base.orderBy(*order)) == 1) & F.col("__w").isNull()
-    later = base.orderBy(*[c.desc() for c in order]).rowsBetween(W.unboundedPreceding, -1)
-    tail = F.exp(F.coalesce(F.sum(F.log1p(-rate)).over(later), F.lit(0.0)))
-    last = F.max(ts).over(base)
-    step = F.when(first, clamp(settings.edge_weights[0] * F.col(delta))).otherwise(rate) * tail * half_life(F.col(ts), last, settings.half_life_days)
-    parts = rows.select(*keys, "__w", "__l", step.alias("__s"), F.log1p(-rate).alias("__r"), F.col(ts).alias("__t"))
-    agg = parts.groupBy(*keys).agg(F.max("__w").alias("w"), F.max("__l").alias("l"), F.sum("__s").alias("s"), F.sum("__r").alias("r"), F.max("__t").alias("t"))
-    carried = F.coalesce(F.col("w") * F.exp("r") * half_life(F.col("l"), F.col("t"), settings.half_life_days), F.lit(0.0))
-    done = agg.select(*keys, (carried + F.col("s")).alias("weight"), F.col("t").alias("last_updated"))
-    return state.select(*keys, "weight", "last_updated").join(done.select(*keys), keys, "left_anti").unionByName(done)
+    """state (keys, weight, last_updated) after the events of a batch, which are later than it."""
+    return reinforced(events, keys, delta, ts, tie, settings, state)
 
 
 def event_sessions(events: DataFrame, user: str, ts: str, gap: str = "30 minutes", late: str | None = "1 day") -> DataFrame:

@@ -6,11 +6,12 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mnemoweft.config import Settings
-from mnemoweft.operators import assign, assoc, dag, maintain, retrieve, segment
+from mnemoweft.operators import assign, assoc, dag, maintain, retrieve, search, segment
 from mnemoweft.operators.ppr import personalized_pagerank
 from mnemoweft.operators.search import items_above, nearest_items
 from mnemoweft.runtime import split_join, with_dense_codes, with_positions
@@ -67,6 +68,24 @@ def test_search_against_numpy(spark):
     assert nearest_items(items, asked.limit(0), 3).count() == 0
 
 
+def test_search_in_many_blocks_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 2)
+    monkeypatch.setattr(search, "ROWS", 8)
+    monkeypatch.setattr(search, "HELD", 50)
+    r = np.random.default_rng(2)
+    v, q = r.integers(-2, 3, (200, 4)).astype(float), r.standard_normal((7, 4))
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item int, vector array<double>")
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query int, qv array<double>")
+    g = np.round(q @ v.T, 9)
+    want = sorted((i, k + 1, j) for i in range(7) for k, j in enumerate(sorted(range(200), key=lambda j: (-g[i, j], j))[:5]))
+    assert rows(nearest_items(items, asked, 5), "query", "rank", "item") == want
+    # the same in this process, where the small limits hold
+    scan = search._block_scan(pa.array(range(7)), q, 5, None, None)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(v.tolist())], names=["item", "vector"])
+    got = {(a, b) for out in scan([batch, batch.slice(0, 0)]) for a, b in zip(out[0].to_pylist(), out[1].to_pylist())}
+    assert {(i, j) for i, _, j in want} <= got and len(got) < 7 * 60
+
+
 def naive_clusters(ids, d, cuts):
     groups = [[i] for i in range(len(ids))]
     dist = lambda x, y: np.mean([d[i][j] for i in x for j in y])
