@@ -21,7 +21,7 @@ WANTED = 1_000_000  # 64-bit ids broadcast at most, some 16 MB
 class Curves:
     """Parameters of the index; recall grows with curves and window."""
 
-    curves: int = 12
+    curves: int = 16
     dims: int = 12
     bits: int = 5
     window: int = 64
