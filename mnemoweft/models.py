@@ -6,7 +6,6 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -25,16 +24,20 @@ class Embedder(Protocol):
         ...
 
 
-@lru_cache(maxsize=200_000)
 def _bucket(token: str, dim: int) -> tuple[int, int]:
     h = int(hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()[:4], 16)
     return h % dim, 1 - 2 * ((h // dim) % 2)
 
 
-def hash_vector(text: str | None, dim: int) -> list[float]:
+def hash_vector(text: str | None, dim: int, known: dict[str, tuple[int, int]]) -> list[float]:
+    """known keeps the buckets of tokens between calls; it is emptied when it gets large."""
+    if len(known) > 200_000:
+        known.clear()
     v = np.zeros(dim)
     for token in _TOKEN.findall((text or "").lower()):
-        k, sign = _bucket(token, dim)
+        if token not in known:
+            known[token] = _bucket(token, dim)
+        k, sign = known[token]
         v[k] += sign
     n = np.sqrt((v * v).sum())
     return (v / n if n else v).tolist()
@@ -51,7 +54,8 @@ class HashEmbedder:
 
         @F.pandas_udf("array<double>")
         def embed(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: hash_vector(t, dim))
+            known: dict[str, tuple[int, int]] = {}
+            return texts.map(lambda t: hash_vector(t, dim, known))
 
         return embed(text)
 
