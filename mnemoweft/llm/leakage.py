@@ -39,10 +39,11 @@ def words_of(text: str | None) -> list[str]:
     """Runs of letters and digits, without case, accents, markup and invisible characters."""
     if not text:
         return []
-    if "\\" in text:
-        text = _ESCAPE.sub(_unescape, text)
-    if "&" in text:
-        text = html.unescape(text)
+    for _ in range(2):  # texts are at times escaped twice
+        if "\\" in text:
+            text = _ESCAPE.sub(_unescape, text)
+        if "&" in text:
+            text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(lambda m: "" if m[2] and m[2].lower() in _INLINE else " ", text)
     if "](" in text:
@@ -186,7 +187,7 @@ def leaks(
     fields: tuple[str, ...] = ("question", "context"),
     n_words: int = 12,
     q: int = 24,
-    block_chars: int = 20_000_000,
+    block_chars: int = 2_000_000,
 ) -> DataFrame:
     """doc_id, item_id, n_windows: documents that hold n_words consecutive words of a field of an item.
 

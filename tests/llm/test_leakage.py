@@ -27,6 +27,8 @@ DISGUISED = [
     ITEM.replace(" ", " "),
     ITEM.replace(" ", "&nbsp;"),
     '{"text": "' + ITEM.replace(" ", "\\n").replace("é", "\\u00e9") + '"}',
+    '{"text": "' + ITEM.replace(" ", "\\\\n") + '"}',
+    ITEM.replace(" ", "&amp;nbsp;"),
     "word " * 50_000 + ITEM,
 ]
 CLEAN = [
