@@ -146,6 +146,14 @@ c AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
 r AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated FROM w LEFT JOIN c ON c.doc_id = w.doc_id)
 """
 
+
+
+def _letters(c: str) -> str:
+    """Text in SQL without JSON escapes, tags, entities, case and accents."""
+    bare = rf"regexp_replace(regexp_replace(regexp_replace({c}, '\\[nrtbf]', ' ', 'g'), '<[^<>]*>', '', 'g'), '&[a-zA-Z]+;', ' ', 'g')"
+    return f"strip_accents(replace(lower({bare}), 'ß', 'ss'))"
+
+
 SQL = {
     "p2_found": f"""WITH {_MEMORY_TOPICS}
 SELECT item_a AS topic_id_a, item_b AS topic_id_b FROM pairs
@@ -182,4 +190,9 @@ SELECT DISTINCT c AS collection, least(x, y) AS id_a, greatest(x, y) AS id_b FRO
 SELECT doc_id, n_words, n_repeated, round(CASE WHEN n_words > 0 THEN n_repeated / n_words ELSE 0 END, 6) AS repeated_share FROM r""",
     "p8_found": f"""WITH {_REPEATED}
 SELECT doc_id FROM r WHERE n_words >= 20 AND n_repeated >= 0.3 * n_words""",
+    "p6_found": f"""WITH f AS (SELECT item_id, unnest([question, context]) AS t FROM eval_items),
+w AS (SELECT item_id, regexp_extract_all({_letters('t')}, '[a-z0-9]+') AS ws FROM f WHERE t IS NOT NULL),
+n AS (SELECT DISTINCT item_id, array_to_string(ws[k:k+11], '') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS k FROM w WHERE len(ws) >= 12)),
+d AS (SELECT doc_id, regexp_replace({_letters('text')}, '[^a-z0-9]+', '', 'g') AS s FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM d JOIN n ON contains(d.s, n.s)""",
 }
