@@ -12,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemoweft.runtime import cut, parallelism
+from mnemoweft.operators.components import connected_components, smallest_labels
+from mnemoweft.runtime import cut, iter_groups, parallelism
 
 WANTED = 1_000_000  # 64-bit ids broadcast at most, some 16 MB
+BLOCK = 4_096  # different vectors of a group that a task compares with as many others, 25 MB
 
 
 @dataclass(frozen=True)
@@ -75,15 +77,15 @@ def _directions(dim: int, p: Curves):
 
 
 def _index(dim: int, p: Curves):
-    """Rows of (collection, id, version, vid, vector) to the same with sketch and keys for the vector."""
-    kept = ["collection", "id", "version", "vid"]
+    """Rows of (collection, id, version, vid, same, vector) to the same with sketch and keys for the vector."""
+    kept = ["collection", "id", "version", "vid", "same"]
 
     def run(batches):
         frames, shifts, planes = _directions(dim, p)
         frame = np.concatenate(frames, axis=1).astype(np.float32)
         d = frames[0].shape[1]
         for batch in batches:
-            rows, v = unit_rows(batch.column(4), dim)
+            rows, v = unit_rows(batch.column(5), dim)
             v = v.astype(np.float32)
             sketch = np.packbits(v @ planes > 0, axis=1)
             spread = 1.0 / (1.0 + np.exp(-1.702 * (v @ frame)))  # near the normal distribution's share below
@@ -93,7 +95,7 @@ def _index(dim: int, p: Curves):
                 keys[:, c] = hilbert_keys(np.minimum(cells.astype(np.uint32), (1 << p.bits) - 1), p.bits)
             width = p.sketch_bits // 8
             at = pa.array(np.arange(len(v) + 1, dtype=np.int32) * width)
-            cols = [batch.column(k).take(pa.array(rows)) for k in range(4)]
+            cols = [batch.column(k).take(pa.array(rows)) for k in range(5)]
             cols.append(pa.Array.from_buffers(pa.binary(), len(v), [None, at.buffers()[1], pa.py_buffer(np.ascontiguousarray(sketch))]))
             cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * p.curves), pa.array(keys.ravel())))
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, "sketch", "keys"])
@@ -101,8 +103,12 @@ def _index(dim: int, p: Curves):
     return run
 
 
-def _windows(p: Curves, k: int, most: int):
-    """Pairs (collection, x, y) of each row and its k nearest sketches in the window around it."""
+def _windows(p: Curves, k: int | None, most: int):
+    """Pairs (collection, x, y) of each row and its k nearest sketches in the window around it.
+
+    Without k, as many pairs as tell which rows hang together by sketches that differ in at most
+    `most` bits.
+    """
     words = p.sketch_bits // 64
 
     def pairs(line, vid, sk, fresh):
@@ -120,6 +126,11 @@ def _windows(p: Curves, k: int, most: int):
         if not xs:
             return None
         x, y, h = np.concatenate(xs), np.concatenate(ys), np.concatenate(hs).astype(np.int64)
+        if k is None:
+            label = smallest_labels(n, x, y)
+            x = np.flatnonzero(label != np.arange(n))
+            x, y = x[vid[x] != vid[label[x]]], label[x][vid[x] != vid[label[x]]]
+            return pa.RecordBatch.from_arrays([pa.array(line[x] // p.curves, pa.int32()), pa.array(vid[x]), pa.array(vid[y])], names=["collection", "x", "y"])
         a, b, h = np.r_[x, y], np.r_[y, x], np.r_[h, h]
         order = np.lexsort((b, h, a))
         a, b = a[order], b[order]
@@ -161,6 +172,92 @@ def _cosines(dim: int):
     return run
 
 
+def _tops(u: np.ndarray, v: np.ndarray, most: int):
+    """For each row of u, the `most` rows of v with the highest cosine and these; ties go to the first rows."""
+    most = min(most, len(v))
+    step = max(1, 2_000_000 // len(v))
+    last = np.int64(len(v) - 1)
+    for s in range(0, len(u), step):
+        # twelve decimals, so that ties do not hang on the order of additions
+        cos = np.rint(u[s : s + step] @ v.T * 1e12).astype(np.int64)
+        key = (cos << 13) + (last - np.arange(len(v)))
+        at = np.argpartition(-key, most - 1, axis=1)[:, :most]
+        yield s, at, np.take_along_axis(cos, at, axis=1) / 1e12
+
+
+def _exact(dim: int, k: int, min_cosine: float):
+    """Cells of a group (collection, group, lo, hi, block, same, sketch, ids, vector) to each vector's best ids in the cell."""
+
+    def run(batches):
+        for t in iter_groups(batches, ["collection", "group", "lo", "hi"]):
+            t = t.combine_chunks()
+            t = t.take(np.argsort(np.array([i[0] for i in t["ids"].to_pylist()], object), kind="stable"))
+            ids, block = t["ids"].to_pylist(), t["block"].to_numpy()
+            v = t["vector"].combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+            v = v / np.abs(v).max(axis=1, keepdims=True)
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+            source, found, cosine = [], [], []
+            for x, y in [(lo, hi)] if lo == hi else [(lo, hi), (hi, lo)]:
+                rows, cols = np.flatnonzero(block == x), np.flatnonzero(block == y)
+                if not len(rows) or not len(cols):
+                    continue
+                for s, at, cos in _tops(v[rows], v[cols], k + 1):
+                    for r in range(len(at)):
+                        best = sorted((-c, i) for c, j in zip(cos[r].tolist(), cols[at[r]].tolist()) if c >= min_cosine for i in ids[j])
+                        for c, i in best[: k + 1]:
+                            source.append(rows[s + r]), found.append(i), cosine.append(-c)
+            of = t.select(["collection", "same", "sketch"]).take(pa.array(source, pa.int64()))
+            out = of.append_column("neighbour", pa.array(found, pa.string())).append_column("cosine", pa.array(cosine, pa.float64()))
+            yield from out.combine_chunks().to_batches(max_chunksize=100_000)
+
+    return run
+
+
+def _grouped(current: DataFrame, fit: DataFrame, links: DataFrame, dim: int, k: int, min_cosine: float) -> DataFrame:
+    """The k most similar of each vector within the groups that links (of classes of equal vectors) join.
+
+    A group is compared with itself in full, whatever its size: beyond BLOCK different vectors by blocks,
+    each pair of them in a task of its own.  Of equal vectors one is compared; as neighbours the
+    k + 1 smallest ids are enough.
+    """
+    one = ["collection", "same", "sketch"]
+    # `same` hashes the collection, too; if two hashes meet, two groups are one, which loses nothing
+    groups = connected_components(links, "x", "y").select(F.col("node").alias("same"), F.col("component").alias("group"))
+    several = current.groupBy(*one).agg(F.count("*").alias("n")).filter("n > 1").select("same").distinct()
+    wanted = cut(several.join(groups, "same", "full_outer").select("same", F.coalesce("group", "same").alias("group")))
+    few = wanted.count() <= WANTED
+    members = cut(current.select(*one, "vid", "id", "version").join(F.broadcast(wanted) if few else wanted, "same"))
+    first = members.withColumn("nth", F.row_number().over(W.partitionBy(*one).orderBy("id"))).filter(F.col("nth") <= k + 1)
+    classes = first.groupBy(*one, "group").agg(F.min(F.struct("id", "vid", "version")).alias("r"), F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = cut(classes.select(*one, "group", "r.*", "ids"))
+    heads = classes.select("collection", "vid", "id", "same", F.col("version").alias("last"))
+    ids = classes.select("vid").distinct()
+    # up to WANTED vectors are picked at the scan; beyond, the join moves all vectors once
+    scan = fit.join(F.broadcast(ids), "vid", "left_semi") if few else fit
+    vectors = (
+        scan.join(heads, ["collection", "vid", "id", "same"])
+        .filter(F.col("version").eqNullSafe(F.col("last")))
+        .groupBy("collection", "vid", "id").agg(F.max("vector").alias("vector"))
+    )
+    blocks = classes.groupBy("collection", "group").agg(F.count("*").alias("n")).select("collection", "group", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("blocks"))
+    cells = (
+        classes.join(vectors, ["collection", "vid", "id"]).join(blocks, ["collection", "group"])
+        .withColumn("block", F.pmod(F.xxhash64("same", "sketch"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *one, "ids", "vector")
+    )
+    cell = ["collection", "group", "lo", "hi"]
+    spread = cells.repartition(parallelism(current.sparkSession), *cell).sortWithinPartitions(*cell)
+    lists = spread.mapInArrow(_exact(dim, k, min_cosine), "collection int, same long, sketch binary, neighbour string, cosine double")
+    order = [F.desc("cosine"), "neighbour"]
+    best = lists.withColumn("nth", F.row_number().over(W.partitionBy(*one).orderBy(*order))).filter(F.col("nth") <= k + 1)
+    best = best.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("nth", "neighbour", "cosine"))).alias("best"))
+    others = F.slice(F.filter("best", lambda b: b["neighbour"] != F.col("id")), 1, k)
+    rows = members.join(best, one).select("collection", "id", F.posexplode(others).alias("at", "b"))
+    return rows.select("collection", "id", "b.neighbour", "b.cosine", (F.col("at") + 1).alias("rank"))
+
+
 def nearest(
     collections: list[DataFrame],
     dim: int,
@@ -176,9 +273,14 @@ def nearest(
     count once, null ids are dropped and further columns not read.  Norms do not matter.  Ties in cosine
     go to the smaller id.  A vector without neighbours, and an empty table, give no rows.
 
-    Approximate: a neighbour is found if it is among the k + 3 nearest by sketch within `window` rows on
-    one of the curves.  With min_cosine, rows below it are left out and pairs whose sketches say so by
-    more than four standard deviations are not looked at closer.
+    With min_cosine, rows below it are left out.  Vectors that lie within `window` rows on one of the
+    curves and whose sketches do not rule out min_cosine by more than four standard deviations hang together;
+    all that hang together, by others too, are compared exactly, so a neighbour is missed only if no
+    curve leads to it.  The work is quadratic in the different vectors of a group: a min_cosine that
+    most pairs reach makes all of them one group.  Cosines have twelve decimals.
+
+    Without min_cosine no sketch rules a pair out; a neighbour is found if it is among the k + 3 nearest by
+    sketch within `window` rows on one of the curves.
 
     Method: each curve projects the unit vectors on random orthonormal directions, shifts them, and
     orders them by their place on a Hilbert curve; a range-partitioned sort per collection and
@@ -190,29 +292,35 @@ def nearest(
     spark = collections[0].sparkSession
     vectors = None
     for c, df in enumerate(collections):
-        part = df.filter(F.col("id").isNotNull()).select(F.lit(c).alias("collection"), "id", "version", F.xxhash64("id").alias("vid"), F.col("vector"))
+        part = df.filter(F.col("id").isNotNull()).select(F.lit(c).alias("collection"), "id", "version", F.xxhash64("id").alias("vid"), F.xxhash64(F.lit(c), "vector").alias("same"), F.col("vector"))
         vectors = part if vectors is None else vectors.unionByName(part)
     fit = vectors.filter(F.size("vector") == dim)
-    schema = vectors.select("collection", "id", "version", "vid").schema.add("sketch", "binary").add("keys", T.ArrayType(T.LongType()))
+    schema = vectors.select("collection", "id", "version", "vid", "same").schema.add("sketch", "binary").add("keys", T.ArrayType(T.LongType()))
     # ids without a usable vector take part too: their current row may be the unusable one
     versions = vectors.groupBy("collection", "vid", "id").agg(F.max("version").alias("version"))
     indexed = fit.mapInArrow(_index(dim, p), schema)
-    latest = indexed.groupBy("collection", "vid", "id").agg(F.max(F.struct("version", "sketch", "keys")).alias("r"))
+    latest = indexed.groupBy("collection", "vid", "id").agg(F.max(F.struct("version", "sketch", "same", "keys")).alias("r"))
     current = cut(
         latest.join(versions.withColumnRenamed("version", "last"), ["collection", "vid", "id"])
         .filter(F.col("r.version").eqNullSafe(F.col("last")))
         .select("collection", "vid", "id", "r.*")
     )
-    lines = current.select("vid", "sketch", F.col("collection"), F.posexplode("keys").alias("curve", "key")).select(
-        (F.col("collection") * p.curves + F.col("curve")).cast("int").alias("line"), "vid", "sketch", "key"
+    key = "vid"
+    points = current.select("collection", "vid", "sketch", "keys")
+    if min_cosine is not None:  # equal vectors take one place on the curves
+        key = "same"
+        points = current.groupBy("collection", "same", "sketch").agg(F.first("keys").alias("keys"))
+    lines = points.select(key, "sketch", F.col("collection"), F.posexplode("keys").alias("curve", "key")).select(
+        (F.col("collection") * p.curves + F.col("curve")).cast("int").alias("line"), F.col(key).alias("vid"), "sketch", "key"
     )
     ordered = lines.repartitionByRange(parallelism(spark), "line", "key", "vid").sortWithinPartitions("line", "key", "vid").drop("key")
-    if min_cosine is None:
-        most = p.sketch_bits
-    else:
+    pairs = "collection int, x long, y long"
+    if min_cosine is not None:
         share = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
         most = min(p.sketch_bits, math.ceil(p.sketch_bits * share + 4 * math.sqrt(p.sketch_bits * share * (1 - share))))
-    near = cut(ordered.mapInArrow(_windows(p, k + 3, most), "collection int, x long, y long").distinct())
+        links = cut(ordered.mapInArrow(_windows(p, None, most), pairs).distinct())
+        return _grouped(current, fit, links, dim, k, min_cosine)
+    near = cut(ordered.mapInArrow(_windows(p, k + 3, p.sketch_bits), pairs).distinct())
     ends = cut(near.select("collection", F.explode(F.array("x", "y")).alias("vid")).distinct())
     exact = current.select("collection", "vid", "id", "version").join(ends, ["collection", "vid"], "left_semi")
     # the vectors of the rows that some pair needs; equal rows count once.  Up to WANTED of them, the
@@ -233,8 +341,6 @@ def nearest(
         .select("collection", F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "vx", "vy")
         .mapInArrow(_cosines(dim), "collection int, id_a string, id_b string, cosine double")
     )
-    if min_cosine is not None:
-        scored = scored.filter(F.col("cosine") >= min_cosine)
     both = scored.select("collection", F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("neighbour")))).alias("p"), "cosine")
     rank = F.row_number().over(W.partitionBy("collection", "p.id").orderBy(F.desc("cosine"), "p.neighbour"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("collection", "p.id", "p.neighbour", "cosine", "rank")

@@ -69,3 +69,31 @@ def test_many_equal_vectors(spark):
     df = spark.range(2000).selectExpr("concat('k', id) id", "1 version", "array(1.0, 2.0, 3.0, 4.0) vector")
     rows = nearest([df], 4, k=3, min_cosine=0.9).collect()
     assert len({r.id for r in rows}) == 2000 and all(r.cosine > 0.999999 for r in rows)
+
+
+def test_dense_clusters_lose_nothing(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    parts = [r.standard_normal((800, 64))]
+    for size in (20, 64, 500):
+        parts.append(r.standard_normal(64) + r.standard_normal((size, 64)) * 0.28)
+    v = np.concatenate(parts)
+    df = spark.createDataFrame([(f"v{k:04}", 1, x.tolist()) for k, x in enumerate(v)], "id string, version int, vector array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    g = u @ u.T
+    np.fill_diagonal(g, -2)
+    want = {(f"v{a:04}", f"v{b:04}") for a in range(len(v)) for b in np.argsort(-g[a])[:5] if g[a, b] >= 0.9}
+    assert len(want) > 2500
+    for block in (4096, 200):  # 200: the largest group is compared in several cells
+        monkeypatch.setattr("mnemoweft.llm.knn.BLOCK", block)
+        got = {(r.id, r.neighbour) for r in nearest([df], 64, k=5, min_cosine=0.9).collect()}
+        assert len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
+def test_equal_vectors_take_the_smallest_ids(spark):
+    df = spark.range(500).selectExpr("concat('k', lpad(id, 3, '0')) id", "1 version", "array(1.0, 2.0, 3.0, 4.0 + id div 498) vector")
+    got = {}
+    for r in nearest([df], 4, k=3, min_cosine=0.9).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour))
+    assert sorted(got["k400"]) == [(1, "k000"), (2, "k001"), (3, "k002")]
+    assert sorted(got["k001"]) == [(1, "k000"), (2, "k002"), (3, "k003")]
+    assert sorted(got["k498"]) == [(1, "k499"), (2, "k000"), (3, "k001")]
