@@ -207,8 +207,9 @@ class Hierarchy:
     """The hierarchy of parent-child links of unknown depth, several parents and cycles allowed.
 
     links has a parent and a child column (ids of one type).  Rows with a null end are ignored, repeated
-    links count once, a node naming itself is a cycle of one; nodes need no row of their own, nodes
-    without a link do not occur, further columns are not read, an empty table gives empty results.
+    links count once, a node naming itself is a cycle of one; nodes need no row of their own, further
+    columns are not read, an empty table gives empty results.  nodes has a column node; those of it
+    without a link are tops of their own in paths() and occur nowhere else.
 
     Connected components are found, each is co-located in one task and walked depth first with node
     colouring; small ones share tasks.  A component of more than task_links links is never gathered:
@@ -216,8 +217,9 @@ class Hierarchy:
     links with a growing frontier, one round per level.  Both give the same rows.
     """
 
-    def __init__(self, links: DataFrame, parent: str = "parent", child: str = "child", task_links: int = TASK_LINKS):
+    def __init__(self, links: DataFrame, parent: str = "parent", child: str = "child", task_links: int = TASK_LINKS, nodes: DataFrame | None = None):
         self.task_links = task_links
+        self.nodes = nodes
         self.spark = links.sparkSession
         self.links = cut(clean_links(links, parent, child))
         self.kind = dict(self.links.dtypes)["parent"]
@@ -281,7 +283,13 @@ class Hierarchy:
         equally short paths that through the smallest previous node is taken; a top has depth 0.
         """
         out = self._located(self._small).mapInArrow(_paths, f"node {self.kind}, top {self.kind}, depth int, path array<{self.kind}>")
-        return out if self._large is None else out.unionByName(self._large_paths())
+        if self._large is not None:
+            out = out.unionByName(self._large_paths())
+        if self.nodes is None:
+            return out
+        linked = self.links.select(F.col("parent").alias("node")).union(self.links.select("child"))
+        lone = self.nodes.select("node").filter("node is not null").distinct().join(linked, "node", "left_anti")
+        return out.unionByName(lone.select("node", F.col("node").alias("top"), F.lit(0).alias("depth"), F.array("node").alias("path")))
 
     # --- components beyond one task: one join per level, lineage cut each time
 

@@ -11,7 +11,7 @@ from mnemoweft.tables import current
 
 def _hierarchy(spark: SparkSession, sf: str) -> Hierarchy:
     topics = current(spark, sf, "topics", ["topic_id", "parent_ids", "child_ids"])
-    return Hierarchy(links_of(topics, "topic_id", "parent_ids", "child_ids"))
+    return Hierarchy(links_of(topics, "topic_id", "parent_ids", "child_ids"), nodes=topics.select(F.col("topic_id").alias("node")))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -90,3 +90,23 @@ def test_components(spark, bound):
         groups[r.component].add(r.node)
     assert sorted(map(len, groups.values())) == [1, 31, 41]
     assert all(c in g for c, g in groups.items())
+
+
+@pytest.mark.parametrize("bound", [10**6, 2])
+def test_nodes_without_a_link_are_their_own_tops(spark, bound):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d")], "parent string, child string")
+    nodes = spark.createDataFrame([("a",), ("lone",), ("lone",), ("c",), (None,)], "node string")
+    h = Hierarchy(links, task_links=bound, nodes=nodes)
+    paths = rows(h.paths())
+    assert [p for p in paths if p[0] == "lone"] == [("lone", "lone", 0, ["lone"])]
+    assert len(paths) == 5 and all(t == "a" for v, t, _, _ in paths if v != "lone")
+    alone = Hierarchy(links.limit(0), nodes=nodes.limit(2))
+    assert rows(alone.paths()) == [("a", "a", 0, ["a"]), ("lone", "lone", 0, ["lone"])]
+
+
+def test_every_topic_has_a_path(spark, tmp_path):
+    from mnemoweft.plans.hierarchies import p1_paths
+
+    data = [("r", None, ["x"], 1), ("x", ["r"], None, 1), ("lone", [], None, 1), ("lone", None, None, 2)]
+    spark.createDataFrame(data, "topic_id string, parent_ids array<string>, child_ids array<string>, updated_at int").write.parquet(f"{tmp_path}/topics.parquet")
+    assert rows(p1_paths(spark, str(tmp_path)).select("node", "depth")) == [("lone", 0), ("r", 0), ("x", 1)]
