@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoweft.operators.components import TASK_LINKS, connected_components, encode
-from mnemoweft.runtime import cut, iter_groups, parallelism
+from mnemoweft.runtime import cut, iter_groups, parallelism, with_dense_codes
 
 CHUNK = 50_000  # links of small components that are walked together
 WHITE, GREY, BLACK = 0, 1, 2
@@ -27,8 +28,40 @@ def clean_links(links: DataFrame, parent: str, child: str) -> DataFrame:
     return links.select(F.col(parent).alias("parent"), F.col(child).alias("child")).filter("parent is not null and child is not null").distinct()
 
 
+def back_links(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the links a -> b (sorted by a, b) that close a cycle in a depth-first traversal.
+
+    Nodes 0 .. n - 1 are coloured; roots and children are taken in their order.  Some 20 bytes a
+    link and a node.
+    """
+    ends = memoryview(np.searchsorted(a, np.arange(1, n + 1)).astype(np.int64))
+    at = memoryview(np.searchsorted(a, np.arange(n)).astype(np.int64))  # the next link to follow
+    heads = memoryview(np.ascontiguousarray(b, np.int64))
+    colour, back = bytearray(n), array("q")
+    for root in range(n):
+        if colour[root] != WHITE:
+            continue
+        colour[root] = GREY
+        path = array("q", [root])
+        while path:
+            v = path[-1]
+            k = at[v]
+            if k == ends[v]:
+                colour[v] = BLACK
+                path.pop()
+                continue
+            at[v] = k + 1
+            w = heads[k]
+            if colour[w] == WHITE:
+                colour[w] = GREY
+                path.append(w)
+            elif colour[w] == GREY:
+                back.append(k)
+    return np.array(back, np.int64)
+
+
 class Walk:
-    """Iterative depth-first traversal of some whole components, with node colouring."""
+    """Iterative depth-first traversal of some whole components."""
 
     def __init__(self, table: pa.Table):
         self.ids, a, b = encode(table["parent"].combine_chunks(), table["child"].combine_chunks())
@@ -38,17 +71,16 @@ class Walk:
         starts = np.searchsorted(self.a, np.arange(self.n + 1)).tolist()
         heads = self.b.tolist()
         self.children = [heads[starts[k] : starts[k + 1]] for k in range(self.n)]
-        self.scc, self.back = self._colour()
+        self.scc = self._components()
 
-    def _colour(self):
-        colour, index, low = [WHITE] * self.n, [0] * self.n, [0] * self.n
-        scc, back, stack, clock = [-1] * self.n, [], [], 0
+    def _components(self):
+        index, low = [-1] * self.n, [0] * self.n
+        scc, stack, clock = [-1] * self.n, [], 0
         for root in range(self.n):
-            if colour[root] != WHITE:
+            if index[root] >= 0:
                 continue
             path = [root]
             at = [0]
-            colour[root] = GREY
             index[root] = low[root] = clock
             clock += 1
             stack.append(root)
@@ -57,20 +89,16 @@ class Walk:
                 if at[-1] < len(self.children[v]):
                     w = self.children[v][at[-1]]
                     at[-1] += 1
-                    if colour[w] == WHITE:
-                        colour[w] = GREY
+                    if index[w] < 0:
                         index[w] = low[w] = clock
                         clock += 1
                         stack.append(w)
                         path.append(w)
                         at.append(0)
                         continue
-                    if colour[w] == GREY:
-                        back.append((v, w))
                     if scc[w] < 0:
                         low[v] = min(low[v], index[w])
                     continue
-                colour[v] = BLACK
                 path.pop()
                 at.pop()
                 if path:
@@ -85,7 +113,7 @@ class Walk:
                     name = min(members)
                     for w in members:
                         scc[w] = name
-        return np.array(scc, np.int64), back
+        return np.array(scc, np.int64)
 
     def cyclic(self) -> np.ndarray:
         """Whether each node lies on a cycle."""
@@ -146,8 +174,21 @@ def _cycles(batches):
 def _back_edges(batches):
     for t in _chunks(batches, ["component"]):
         w = Walk(t)
-        pairs = np.array(w.back, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([w.ids.take(pa.array(pairs[:, k])) for k in (0, 1)], names=["parent", "child"])
+        inner = w.scc[w.a] == w.scc[w.b]
+        a, b = w.a[inner], w.b[inner]
+        at = back_links(w.n, a, b)
+        yield pa.RecordBatch.from_arrays([w.ids.take(pa.array(x[at])) for x in (a, b)], names=["parent", "child"])
+
+
+def _back_codes(batches):
+    """The same for whole strongly connected components (cycle, a, b) with dense codes in place of ids."""
+    for t in iter_groups(batches, ["cycle"]):
+        a, b = (t[c].to_numpy() for c in ("a", "b"))
+        low = min(a.min(), b.min())
+        order = np.lexsort((b, a))
+        a, b = a[order] - low, b[order] - low
+        at = back_links(int(max(a.max(), b.max())) + 1, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(x[at] + low) for x in (a, b)], names=["a", "b"])
 
 
 def _descendants(batches):
@@ -247,8 +288,10 @@ class Hierarchy:
     def back_edges(self) -> DataFrame:
         """parent, child of the links that close a cycle in the traversal; without them there is none.
 
-        Of a component beyond task_links, all links within a cycle's nodes that do not lead to a larger
-        id: removing these leaves no cycle either.
+        Each strongly connected component is walked depth first by the links within it, from its smallest
+        node, children in the order of their ids.  A component beyond task_links is taken apart without
+        gathering it; each strongly connected component of it is then walked in one task by
+        numbers in the order of the ids, whatever its size, as depth-first order cannot be divided.
         """
         out = self._located(self._small).mapInArrow(_back_edges, f"parent {self.kind}, child {self.kind}")
         if self._large is None:
@@ -257,9 +300,15 @@ class Hierarchy:
         inner = (
             self._large.join(c.select(F.col("node").alias("parent"), F.col("cycle").alias("x")), "parent")
             .join(c.select(F.col("node").alias("child"), F.col("cycle").alias("y")), "child")
-            .filter("x = y and child <= parent")
+            .filter("x = y")
         )
-        return out.unionByName(inner.select("parent", "child"))
+        codes = cut(with_dense_codes(c, ["cycle", "node"]))
+        number = lambda end, name: codes.select(F.col("node").alias(end), F.col("code").alias(name))
+        first = codes.groupBy("cycle").agg(F.min("code").alias("first"))
+        coded = inner.select("parent", "child", F.col("x").alias("cycle")).join(first, "cycle").join(number("parent", "a"), "parent").join(number("child", "b"), "child")
+        coded = coded.select(F.col("first").alias("cycle"), "a", "b").repartition(parallelism(self.spark), "cycle").sortWithinPartitions("cycle")
+        back = coded.mapInArrow(_back_codes, "a long, b long")
+        return out.unionByName(back.join(number("parent", "a"), "a").join(number("child", "b"), "b").select("parent", "child"))
 
     def descendants(self) -> DataFrame:
         """ancestor, descendant, distance (of the shortest way) of all pairs; a node on a cycle is its own."""

@@ -110,3 +110,11 @@ def test_every_topic_has_a_path(spark, tmp_path):
     data = [("r", None, ["x"], 1), ("x", ["r"], None, 1), ("lone", [], None, 1), ("lone", None, None, 2)]
     spark.createDataFrame(data, "topic_id string, parent_ids array<string>, child_ids array<string>, updated_at int").write.parquet(f"{tmp_path}/topics.parquet")
     assert rows(p1_paths(spark, str(tmp_path)).select("node", "depth")) == [("lone", 0), ("r", 0), ("x", 1)]
+
+
+def test_both_ways_agree_on_back_edges(spark):
+    links = random_links(11, n=30, m=75)
+    ring = [(f"r{k:02}", f"r{(k * 7 + 1) % 20:02}") for k in range(20)] + [(f"r{k:02}", f"r{(k + 1) % 20:02}") for k in range(20)]
+    df = spark.createDataFrame(links + ring, "parent string, child string")
+    want = rows(Hierarchy(df).back_edges())
+    assert want and want == rows(Hierarchy(df, task_links=5).back_edges()) == rows(Hierarchy(df, task_links=50).back_edges())
