@@ -30,9 +30,10 @@ def _hot_ranks(df: DataFrame, group: str, score: str) -> DataFrame:
     ).withColumn("__p", F.spark_partition_id())
     parts = ranged.groupBy("__g", "__p").agg(F.sum("__n").alias("__pn"))
     before = W.partitionBy("__g").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    starts = parts.select("__g", "__p", F.coalesce(F.sum("__pn").over(before), F.lit(0)).alias("__start"))
+    starts = parts.select(F.col("__g").alias("__h"), F.col("__p").alias("__q"), F.coalesce(F.sum("__pn").over(before), F.lit(0)).alias("__start"))
     inside = W.partitionBy("__g", "__p").orderBy(F.desc("__v")).rowsBetween(W.unboundedPreceding, -1)
-    return ranged.join(starts, ["__g", "__p"]).select(
+    same = F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__p") == F.col("__q"))
+    return ranged.join(starts, same).select(
         "__g", "__v", (F.col("__start") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + 1).alias("__rank")
     )
 

@@ -156,7 +156,11 @@ def with_positions(df: DataFrame, group: list[str], order: list[str], name: str
     ranged = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("__p", F.spark_partition_id())
     counts = ranged.groupBy(*group, "__p").agg(F.count("*").alias("__n"))
     before = W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*group, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), "__n")
+    of = [F.col(g).alias(f"__g{k}") for k, g in enumerate(group)]
+    starts = counts.select(*of, F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    same = F.col("__p") == F.col("__q")
+    for k, g in enumerate(group):  # a null group is a group
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
     inside = W.partitionBy(*group, "__p").orderBy(*order)
-    placed = ranged.join(starts.drop("__n"), [*group, "__p"]).withColumn(name, F.col("__start") + F.row_number().over(inside) - 1)
-    return placed.drop("__p", "__start").select(*df.columns, name)
+    placed = ranged.join(starts, same).withColumn(name, F.col("__start") + F.row_number().over(inside) - 1)
+    return placed.select(*df.columns, name)

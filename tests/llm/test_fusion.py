@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from mnemoweft.llm.fusion import fuse_ranks
+from mnemoweft.runtime import with_positions
 
 SCORES = ["a", "b"]
 
@@ -50,3 +51,19 @@ def test_empty_and_clashing(spark):
 def test_range_of_a_score_does_not_matter(spark):
     df = spark.createDataFrame([("g", "x", 0.001, 3.0), ("g", "y", 0.002, 1e12)], "g string, t string, a double, b double")
     assert fuse_ranks(df, "g", SCORES).orderBy("fused", ascending=False).first().t == "y"
+
+
+def test_a_hot_null_group_keeps_its_rows(spark):
+    rows = data(1)
+    df = spark.createDataFrame(rows, "g string, target string, a double, b double, note string")
+    bound = sum(r[0] is None for r in rows) - 1
+    assert bound > 0
+    got = fuse_ranks(df, "g", SCORES, max_group_rows=bound)
+    assert sorted([(str(r.g), r.target, r.note, r.rank_a, r.rank_b, round(r.fused, 12)) for r in got.collect()], key=str) == brute(rows)
+
+
+def test_positions_in_a_null_group(spark):
+    rows = [(g, h, k) for g in ("x", None) for h in (1, None) for k in range(5)]
+    got = with_positions(spark.createDataFrame(rows, "g string, h int, k int"), ["g", "h"], ["k"])
+    assert got.columns == ["g", "h", "k", "pos"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(*r, r[2]) for r in rows], key=str)
