@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS, Settings
-from mnemoweft.functions.loose_json import json_text, labels_of
+from mnemoweft.functions.loose_json import json_text, labels_of, number_or
 from mnemoweft.functions.text import dialogue_text
 from mnemoweft.models import Embedder, FallbackModel, HashEmbedder, TextModel
 from mnemoweft.operators import assoc, dag
@@ -84,7 +84,7 @@ class Engine:
         return memories.join(best, "item", "left").withColumn("topics", F.when(F.col("one").isNotNull(), F.array("one")).otherwise(F.col("topics"))).drop("one")
 
     def build_index(self) -> None:
-        """Hierarchy by clustering, then the association graph."""
+        """Hierarchy by clustering, further parents, summaries and merged siblings, then the association graph."""
         topics, s = self.tables["topics"].filter(~F.col("is_virtual")), self.settings
         # a cut at distance d needs pairs of similarity 1 - d only
         pairs = dag.similar_topics(topics, topics, 1 - max(s.cluster_distances)).filter("a < b").select("a", "b", (1 - F.col("similarity")).alias("distance"))
@@ -94,14 +94,67 @@ class Engine:
         name = self.model.cluster_name(F.col("l"))
         virtual = labels.select(F.col("parent").alias("topic"), name.alias("label"), "keywords").withColumn("label_vector", self.embedder.encode(F.col("label")))
         every = cut(topics.unionByName(virtual.select("topic", "label", "label_vector", F.lit(None).cast("array<double>").alias("summary_vector"), "keywords", F.lit(True).alias("is_virtual"))))
-        links = cut(dag.attach_orphans(every, inner))
+        links = self._more_parents(every, cut(dag.attach_orphans(every, inner)))
+        every, links = self._merge_siblings(self._summarised(every), links)
+        topics = every.filter(~F.col("is_virtual"))
         members = assoc.bridge(self.tables["memories"], "item", "topics")
         soft = assoc.soft_memberships(members, self.tables["memories"].select(F.col("item").alias("memory"), "vector"), topics.select("topic", F.col("label_vector").alias("vector")), s.soft_membership)
         total = self.tables["memories"].agg(F.count("*").alias("n"))
         scored = assoc.with_npmi(assoc.cooccurrences(soft), assoc.marginals(members), total).filter("n_a > 0 and n_b > 0")
         edges = assoc.directed(scored, s.npmi, s.min_cooccurrence, s.direction_epsilon).select("*", F.lit("co").alias("edge_type"), F.lit(0.0).alias("llm_score"), F.lit(0.0).alias("npmi_temp"))
+        edges = edges.unionByName(self._judged(topics, cut(edges)))
         self.tables |= {"topics": every, "links": links, "edges": cut(assoc.prune(assoc.merge_edges(edges, s.edge_weights), s.prune_weight, s.max_out_degree).drop("rank"))}
 
+    def _more_parents(self, topics: DataFrame, links: DataFrame) -> DataFrame:
+        """links and those from similar clusters that the model confirms."""
+        depth = Hierarchy(links).paths().groupBy(F.col("node").alias("topic")).agg(F.min("depth").alias("depth"))
+        t = cut(topics.join(depth, "topic"))
+        found = dag.multi_parents(t.filter("not is_virtual"), t.filter("is_virtual"), links, self.settings.multi_parent, self.settings.multi_parent_candidates)
+        label = lambda end: topics.select(F.col("topic").alias(end), F.col("label").alias(f"{end}_label"))
+        asked = found.join(label("parent"), "parent").join(label("child"), "child")
+        told = cut(asked.withColumn("yes", self.model.is_parent(F.col("parent_label"), F.col("child_label")).try_cast("boolean")))
+        return cut(links.unionByName(told.filter("yes").select("parent", "child")))
+
+    def _summarised(self, topics: DataFrame) -> DataFrame:
+        """topics with the vector of a new summary where enough memories came."""
+        members, s = assoc.bridge(self.tables["memories"], "item", "topics"), self.settings
+        grown = topics.join(assoc.marginals(members).withColumnRenamed("n_topic", "memory_count_since_summary"), "topic")
+        due = dag.summaries_due(grown, members, self.tables["memories"].select(F.col("item").alias("memory"), "content"), s.summary_interval)
+        made = cut(due.join(topics.select("topic", "label"), "topic").select("topic", self.model.summary(F.col("label"), F.col("texts")).alias("summary")))
+        new = made.filter(F.trim("summary") != "").select("topic", self.embedder.encode(F.col("summary")).alias("new"))
+        return cut(topics.join(new, "topic", "left").withColumn("summary_vector", F.coalesce("new", "summary_vector")).drop("new"))
+
+    def _merge_siblings(self, topics: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """topics and links with similar siblings of few memories merged; memories and segments name what is left."""
+        counts = assoc.marginals(assoc.bridge(self.tables["memories"], "item", "topics"))
+        merged = cut(dag.merge_map(cut(dag.mergeable_siblings(topics, links, counts, self.settings))))
+        if merged.isEmpty():
+            return topics, links
+        named = topics.join(merged, "topic", "left").withColumn("into", F.coalesce("into", "topic"))
+        words = named.groupBy("into").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("keywords"), F.min("is_virtual").alias("is_virtual"))
+        kept = topics.drop("keywords", "is_virtual").join(words.withColumnRenamed("into", "topic"), "topic")
+        for table, key, column in (("memories", "item", "topics"), ("segments", "segment_id", "topic_ids")):
+            rows = self.tables[table]
+            each = rows.select(key, F.explode(column).alias("topic")).join(merged, "topic", "left")
+            now = each.groupBy(key).agg(F.array_sort(F.collect_set(F.coalesce("into", "topic"))).alias("now"))
+            self.tables[table] = cut(rows.join(now, key, "left").withColumn(column, F.coalesce("now", column)).drop("now"))
+        return cut(kept.select(*topics.columns)), cut(dag.rewire(links, merged))
+
+    def _judged(self, topics: DataFrame, edges: DataFrame) -> DataFrame:
+        """Edges between moderately similar topics without one, as the model sees them."""
+        s = self.settings
+        pairs = assoc.causal_candidates(topics.select("topic", F.col("label_vector").alias("vector")), edges, s.causal_low, s.causal_high, s.causal_candidates)
+        label = lambda end: topics.select(F.col("topic").alias(end), F.col("label").alias(f"{end}_label"))
+        asked = pairs.join(label("a"), "a").join(label("b"), "b")
+        told = cut(asked.select("a", "b", self.model.association(F.col("a_label"), F.col("b_label")).alias("reply")))
+        v = F.from_json(json_text(F.col("reply")), "struct<related boolean, type string, score string, direction string>")
+        score = F.when(v["score"].isNull(), 0.0).otherwise(number_or(v["score"]))
+        seen = told.select("a", "b", v.alias("v"), score.alias("llm_score")).filter("v.related")
+        forth, back = F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("a").alias("target"))
+        ways = F.when(F.col("v.direction") == "a->b", F.array(forth)).when(F.col("v.direction") == "b->a", F.array(back)).otherwise(F.array(forth, back))
+        rows = seen.select(F.explode(ways).alias("e"), F.coalesce("v.type", F.lit("causal")).alias("edge_type"), "llm_score")
+        return rows.select("e.source", "e.target", F.lit(0.0).alias("npmi_mem"), "edge_type", "llm_score", F.lit(0.0).alias("npmi_temp"))
+
     def store(self) -> Store:
         t = self.tables
         closure = Hierarchy(t["links"]).descendants().select("ancestor", "descendant")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoweft.engine import Engine
-from mnemoweft.models import EchoModel
+from mnemoweft.models import EchoModel, HashEmbedder
 
 GARDEN = [f"garden compost soil {w}" for w in ("needs care", "is rich now", "likes rain", "in spring", "for beds", "stays moist", "smells good")]
 CHESS = [f"chess knight opening {w}" for w in ("by the way", "is sharp", "takes time", "wins games", "was new", "needs nerve", "they said")]
@@ -51,3 +51,36 @@ def test_other_segmentation_and_single_topic(spark, engine):
     rows = [("s", "x", k, f"D{k}", "user", t) for k, t in enumerate(GARDEN)]
     e.ingest(spark.createDataFrame(rows, "sample_id string, session_id string, turn_idx int, dia_id string, role string, content string"), window=3, multilabel=False)
     assert e.tables["segments"].count() == 3 and e.tables["memories"].filter("size(topics) = 1").count() == 3
+
+
+def test_index_asks_the_model_and_merges_siblings(spark):
+    class Telling(EchoModel):
+        def is_parent(self, parent, child):
+            return F.lit(True)
+
+        def summary(self, label, memories):
+            return F.concat(F.lit("about "), label)
+
+        def association(self, a, b):
+            return F.lit('{"related": true, "type": "causal", "score": 0.9, "direction": "a->b"}')
+
+    unit = lambda *v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    vectors = {"a": unit(1.0, 0.0, 0.0), "a2": unit(1.0, 0.01, 0.0), "c": unit(0.45, 0.9, 0.0), "d": unit(0.0, 0.0, 1.0)}
+    words = {"a": "garden care", "a2": "garden care", "c": "chess", "d": "music"}
+    topics = [(t, words[t], v, None, [words[t]], False) for t, v in vectors.items()]
+    memories = [(f"m{k}", "s", f"text {k}", ["d"], ["k"], 0.5, [], vectors["d"]) for k in range(6)] + [("n", "s", "soil", ["a", "a2"], ["k"], 0.5, [], vectors["a"])]
+    e = Engine(spark, embedder=HashEmbedder(3), model=Telling())
+    e.tables = {
+        "topics": spark.createDataFrame(topics, "topic string, label string, label_vector array<double>, summary_vector array<double>, keywords array<string>, is_virtual boolean"),
+        "memories": spark.createDataFrame(memories, "item string, sample_id string, content string, topics array<string>, keywords array<string>, importance double, source_dia_ids array<string>, vector array<double>"),
+        "segments": spark.createDataFrame([("s1", ["a2"])], "segment_id string, topic_ids array<string>"),
+    }
+    e.build_index()
+    got = {r.topic: r for r in e.tables["topics"].collect()}
+    assert "a" in got and "a2" not in got
+    assert e.tables["segments"].first().topic_ids == ["a"]
+    assert e.tables["memories"].filter("item = 'n'").first().topics == ["a"]
+    assert got["d"].summary_vector is not None and got["a"].summary_vector is None
+    assert e.tables["links"].filter("parent = 'a2' or child = 'a2'").isEmpty()
+    judged = {(r.source, r.target): (r.llm_score, r.edge_type) for r in e.tables["edges"].collect() if r.llm_score > 0}
+    assert judged == {("a", "c"): (0.9, "causal")}
