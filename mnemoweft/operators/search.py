@@ -122,18 +122,19 @@ def _scan(items: DataFrame, queries: DataFrame, k: int | None, least: float | No
         t = part.toArrow()
         if not t.num_rows:
             continue
-        dim = len(t["qv"][0])
-        at, q = _matrix(t["qv"].combine_chunks(), dim)
-        names = t["query"].combine_chunks().take(pa.array(at))
-        wanted: dict | None = None
-        if filtered:
-            wanted = {}
-            for c, topics in enumerate(t["topics"].combine_chunks().take(pa.array(at)).to_pylist()):
-                for x in set(topics or []):
-                    wanted.setdefault(x, []).append(c)
-        rows = items.select("item", "vector", *extra)
-        found = rows.mapInArrow(_block_scan(names, q, k, least, wanted), f"query {qtype}, item {itype}, score double")
-        out = found if out is None else out.unionByName(found)
+        # each row is compared with the queries of its own size
+        for dim in sorted({len(v) for v in t["qv"]} - {0}):
+            at, q = _matrix(t["qv"].combine_chunks(), dim)
+            names = t["query"].combine_chunks().take(pa.array(at))
+            wanted: dict | None = None
+            if filtered:
+                wanted = {}
+                for c, topics in enumerate(t["topics"].combine_chunks().take(pa.array(at)).to_pylist()):
+                    for x in set(topics or []):
+                        wanted.setdefault(x, []).append(c)
+            rows = items.select("item", "vector", *extra)
+            found = rows.mapInArrow(_block_scan(names, q, k, least, wanted), f"query {qtype}, item {itype}, score double")
+            out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], f"query {qtype}, item {itype}, score double")
 
 

@@ -258,3 +258,10 @@ def test_result_does_not_depend_on_partitions(spark):
     t = spark.createDataFrame([("s", "x", k, f"so {k % 5} word{k % 3}", [float(k % 2), 1.0]) for k in range(40)], "a string, b string, i int, content string, vector array<double>")
     run = lambda d: rows(segment.segments(segment.boundaries(d, ["a", "b"], "i"), ["a", "b"]))
     assert run(t) == run(t.repartition(9))
+
+
+def test_queries_of_another_size_do_not_hide_the_others(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "item int, vector array<double>")
+    asked = spark.createDataFrame([(0, []), (1, [1.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "query int, qv array<double>").coalesce(1)
+    assert rows(nearest_items(items, asked, 1), "query", "item") == [(2, 1), (3, 2)]
+    assert rows(items_above(items, asked, 0.5), "query", "item") == [(2, 1), (3, 2)]
