@@ -8,58 +8,67 @@ from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS
 from mnemoweft.functions.loose_json import json_text, number_or
+from mnemoweft.functions.vector import dot
 from mnemoweft.operators.components import connected_components
 from mnemoweft.operators.dag import similar_topics
 from mnemoweft.runtime import cut
 
 
-def match_labels(labels: DataFrame, topics: DataFrame, least: float = DEFAULTS.label_match) -> DataFrame:
-    """name, topic, similarity, exact of each label that has a topic.
+def match_labels(labels: DataFrame, topics: DataFrame, least: float = DEFAULTS.label_match, keyed: bool = False) -> DataFrame:
+    """name, topic, similarity, exact of each label that has a topic (with keyed: of the same key).
 
     labels and topics have label, label_vector, summary_vector and keywords; labels are named by `topic`
     (their own id), topics have seq, the order they were made in.  The same label but for case and blanks
     wins, the earliest topic first; only the others are compared, and the most similar topic counts from
     `least` on, again the earliest of equals.
     """
-    name = lambda c: F.lower(F.trim(c))
-    first = topics.groupBy(name("label").alias("__l")).agg(F.min(F.struct("seq", "topic"))["topic"].alias("found")).filter("__l is not null")
-    exact = labels.join(first, name(labels["label"]) == F.col("__l")).select(F.col("topic").alias("name"), F.col("found").alias("topic"), F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
+    key = ["key"] if keyed else []
+    name = F.lower(F.trim("label")).alias("__l")
+    first = topics.select(*key, name, "seq", "topic").groupBy(*key, "__l").agg(F.min(F.struct("seq", "topic"))["topic"].alias("found")).filter("__l is not null")
+    exact = labels.select(*key, name, F.col("topic").alias("name")).join(first, [*key, "__l"]).select("name", F.col("found").alias("topic"), F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
     rest = labels.join(exact.select(F.col("name").alias("topic")), "topic", "left_anti")
-    near = similar_topics(rest, topics, least).join(topics.select(F.col("topic").alias("b"), "seq"), "b")
+    near = similar_topics(rest, topics, least, keyed=keyed).join(topics.select(F.col("topic").alias("b"), "seq"), "b")
     best = near.groupBy(F.col("a").alias("name")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "seq", F.col("b").alias("topic"))).alias("m"))
     return exact.unionByName(best.select("name", "m.topic", (-F.col("m.s")).alias("similarity"), F.lit(False).alias("exact")))
 
 
-def group_labels(labels: DataFrame, least: float = DEFAULTS.label_match) -> DataFrame:
-    """name, leader: new labels that hang together by similarity become one topic, named by the first of them.
+def group_labels(labels: DataFrame, least: float = DEFAULTS.label_match, keyed: bool = False) -> DataFrame:
+    """name, leader: new labels (with keyed: of one key) that hang together by similarity become one topic, named by the first.
 
     This stands for creating topics label by label, where each new topic is seen by the next label: it does
     not depend on the order and joins the chains that the order would cut.
     """
-    key = F.lower(F.trim("label"))
-    same = labels.select("topic", "label", key.alias("k")).groupBy("k").agg(F.min("topic").alias("first"))
-    own = cut(labels.select("topic", key.alias("k")).join(same, "k").select(F.col("topic").alias("name"), "first"))
+    by = [*(["key"] if keyed else []), "k"]
+    named = labels.withColumn("k", F.lower(F.trim("label")))
+    same = named.groupBy(*by).agg(F.min("topic").alias("first"))
+    own = cut(named.select("topic", *by).join(same, by).select(F.col("topic").alias("name"), "first"))
     heads = labels.join(own.select(F.col("first").alias("topic")).distinct(), "topic", "left_semi")
-    pairs = similar_topics(heads, heads, least).filter("a < b").select("a", "b")
+    pairs = similar_topics(heads, heads, least, keyed=keyed).filter("a < b").select("a", "b")
     comp = connected_components(pairs, "a", "b")
     lead = comp.join(comp.groupBy("component").agg(F.min("node").alias("leader")), "component").select(F.col("node").alias("first"), "leader")
     return own.join(lead, "first", "left").select("name", F.coalesce("leader", "first").alias("leader"))
 
 
+def ordered_distinct(rows: DataFrame, owner: list[str], place: str, value: str, name: str) -> DataFrame:
+    """owner, name: the different values of each owner as a list, in the order of their first place."""
+    first = rows.filter(F.col(value).isNotNull()).groupBy(*owner, value).agg(F.min(place).alias("__at"))
+    return first.groupBy(*owner).agg(F.array_sort(F.collect_list(F.struct("__at", value)))[value].alias(name))
+
+
 def resolve(names: DataFrame, topics: DataFrame, least: float = DEFAULTS.label_match) -> DataFrame:
-    """owner, topics: the names of each owner among its own topics.
+    """owner, topics: the names of each owner among its own topics, in the order of the names.
 
-    names(owner, name, vector), topics(owner, topic, label, vector).  A name takes the topic of the same
-    label, else the most similar from `least` on; an owner none of whose names takes one has all its topics.
+    names(owner, pos, name, vector), topics(owner, pos, topic, label, vector).  A name takes the topic of the
+    same label, else the most similar from `least` on, the earliest of equals; an owner none of whose
+    names takes one has all its topics, in their order.
     """
-    from mnemoweft.functions.vector import dot
-
-    pairs = names.join(topics.select("owner", "topic", "label", F.col("vector").alias("tv")), "owner")
+    pairs = names.select("owner", F.col("pos").alias("at"), "name", "vector").join(topics.select("owner", "pos", "topic", "label", F.col("vector").alias("tv")), "owner")
     same = F.lower(F.trim("name")) == F.lower(F.trim("label"))
     score = F.when(same, F.lit(2.0)).otherwise(F.round(F.coalesce(dot(F.col("vector"), F.col("tv")), F.lit(0.0)), 9))
-    best = pairs.select("owner", "name", "topic", score.alias("s")).filter(F.col("s") >= least).groupBy("owner", "name").agg(F.min(F.struct(-F.col("s"), F.col("topic").alias("topic")))["topic"].alias("topic"))
-    picked = best.groupBy("owner").agg(F.array_sort(F.collect_set("topic")).alias("p"))
-    every = topics.groupBy("owner").agg(F.array_sort(F.collect_set("topic")).alias("t"))
+    near = pairs.select("owner", "at", "pos", "topic", score.alias("s")).filter(F.col("s") >= least)
+    best = near.groupBy("owner", "at").agg(F.min(F.struct(-F.col("s"), F.col("pos"), F.col("topic").alias("topic")))["topic"].alias("topic"))
+    picked = ordered_distinct(best, ["owner"], "at", "topic", "p")
+    every = ordered_distinct(topics, ["owner"], "pos", "topic", "t")
     return every.join(picked, "owner", "left").select("owner", F.coalesce("p", "t").alias("topics"))
 
 

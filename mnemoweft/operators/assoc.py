@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS, Settings
 from mnemoweft.functions.info import clamp, half_life, npmi
+from mnemoweft.functions.loose_json import json_text, number_or
 from mnemoweft.operators.search import items_above
 from mnemoweft.runtime import with_positions
 
@@ -20,17 +21,28 @@ def bridge(memories: DataFrame, memory: str, topics: str) -> DataFrame:
 def soft_memberships(hard: DataFrame, memories: DataFrame, topics: DataFrame, threshold: float = DEFAULTS.soft_membership) -> DataFrame:
     """hard plus the topics whose label vector is at least that similar to the memory's vector.
 
-    memories(memory, vector), topics(topic, vector): unit vectors.  The topics are searched for in
-    blocks, each by one pass over the memories.
+    memories(memory, vector), topics(topic, vector): unit vectors.  Where both have a scope, only
+    topics of the memory's scope count.
     """
-    near = items_above(memories.select(F.col("memory").alias("item"), "vector"), topics.select(F.col("topic").alias("query"), F.col("vector").alias("qv")), threshold)
+    items, asked = memories.withColumnsRenamed({"memory": "item"}), topics.withColumnsRenamed({"topic": "query", "vector": "qv"})
+    near = items_above(items, asked, threshold, scoped="scope" in memories.columns)
     return hard.select("memory", "topic").unionByName(near.select(F.col("item").alias("memory"), F.col("query").alias("topic"))).distinct()
 
 
-def cooccurrences(members: DataFrame) -> DataFrame:
-    """a < b, n_ab over memory, topic rows; counted with map-side combine."""
-    sets = members.groupBy("memory").agg(F.array_sort(F.collect_set("topic")).alias("t")).filter(F.size("t") > 1)
-    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+def cooccurrences(members: DataFrame, block: int = 256) -> DataFrame:
+    """a < b, n_ab over memory, topic rows (distinct); counted with map-side combine.
+
+    A memory with more than `block` topics is dealt to blocks before anything is collected, and pairs of
+    blocks are spread over the tasks, so no row holds more than 2 x block topics.
+    """
+    sizes = members.groupBy("memory").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    rows = members.join(sizes.select("memory", "blocks"), "memory").withColumn("block", F.pmod(F.xxhash64("topic"), F.col("blocks")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    sets = cells.select("memory", lo, hi, "block", "topic").groupBy("memory", "lo", "hi").agg(F.array_sort(F.collect_set(F.struct("topic", "block"))).alias("t"))
+    met = lambda x, y: (F.col("lo") == F.col("hi")) | (x["block"] != y["block"])
+    later = lambda i: F.slice(F.col("t"), i + 2, F.size("t"))
+    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.filter(later(i), lambda y: met(x, y)), lambda y: F.struct(x["topic"].alias("a"), y["topic"].alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab"))
 
 
@@ -39,12 +51,14 @@ def marginals(members: DataFrame) -> DataFrame:
 
 
 def with_npmi(pairs: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
-    """Adds n_a, n_b, n and npmi; total has one row and one column."""
-    a = counts.select(F.col("topic").alias("a"), F.col("n_topic").alias("n_a"))
+    """Adds n_a, n_b, n and npmi; total has one row and one column, or scope and n where counts has a scope."""
+    scope = ["scope"] if "scope" in counts.columns else []
+    a = counts.select(F.col("topic").alias("a"), F.col("n_topic").alias("n_a"), *scope)
     b = counts.select(F.col("topic").alias("b"), F.col("n_topic").alias("n_b"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left").join(F.broadcast(total.toDF("n")))
+    joined = pairs.join(a, "a", "left").join(b, "b", "left")
+    joined = joined.join(total.select("scope", "n"), "scope") if scope else joined.join(F.broadcast(total.toDF("n")))
     score = npmi(F.col("n_ab"), F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)), F.col("n"))
-    return joined.select("a", "b", "n_ab", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), "n", score.alias("npmi"))
+    return joined.select("a", "b", "n_ab", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), "n", score.alias("npmi"), *scope)
 
 
 def directed(pairs: DataFrame, threshold: float = DEFAULTS.npmi, least: int = DEFAULTS.min_cooccurrence, epsilon: float = DEFAULTS.direction_epsilon) -> DataFrame:
@@ -61,15 +75,17 @@ def weight(npmi_mem: Column, llm: Column, npmi_temp: Column, weights: tuple[floa
     return clamp(weights[0] * npmi_mem + weights[1] * llm + weights[2] * npmi_temp)
 
 
-def merge_edges(edges: DataFrame, weights: tuple[float, float, float] = DEFAULTS.edge_weights) -> DataFrame:
+def merge_edges(edges: DataFrame, weights: tuple[float, float, float] = DEFAULTS.edge_weights, at: str | None = None) -> DataFrame:
     """One row per source and target: the largest of each score, its weight, and the last type that is not "co".
 
-    edges(source, target, edge_type, npmi_mem, llm_score, npmi_temp); missing scores count as 0.
+    edges(source, target, edge_type, npmi_mem, llm_score, npmi_temp); missing scores count as 0.  The last
+    type is that with the greatest `at` (a column; null is the earliest), then the greatest name.
     """
+    known = F.struct(F.col(at) if at else F.lit(None).cast("int"), F.col("edge_type"))
     best = lambda c: F.greatest(F.coalesce(F.max(F.nanvl(F.col(c), F.lit(None).cast("double"))), F.lit(0.0)), F.lit(0.0)).alias(c)
     merged = edges.groupBy("source", "target").agg(
         best("npmi_mem"), best("llm_score"), best("npmi_temp"),
-        F.coalesce(F.max(F.when(F.col("edge_type") != "co", F.col("edge_type"))), F.lit("co")).alias("edge_type"),
+        F.coalesce(F.max(F.when(F.col("edge_type") != "co", known))["edge_type"], F.lit("co")).alias("edge_type"),
     )
     return merged.withColumn("weight", weight(F.col("npmi_mem"), F.col("llm_score"), F.col("npmi_temp"), weights))
 
@@ -81,12 +97,35 @@ def prune(edges: DataFrame, least: float = DEFAULTS.prune_weight, degree: int =
 
 
 def causal_candidates(topics: DataFrame, edges: DataFrame, low: float = DEFAULTS.causal_low, high: float = DEFAULTS.causal_high, most: int = DEFAULTS.causal_candidates) -> DataFrame:
-    """a < b, similarity of the topics without an edge whose similarity is strictly between, nearest the middle first."""
+    """a < b, similarity of topics without an edge whose similarity is strictly between, nearest the middle first.
+
+    At most `most` of them; where topics(topic, vector) has a scope, that many pairs of each scope.
+    """
+    scoped = "scope" in topics.columns
     known = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    near = items_above(topics.select(F.col("topic").alias("item"), "vector"), topics.select(F.col("topic").alias("query"), F.col("vector").alias("qv")), low)
+    near = items_above(topics.withColumnsRenamed({"topic": "item"}), topics.withColumnsRenamed({"topic": "query", "vector": "qv"}), low, scoped=scoped)
     pairs = near.filter("query < item").select(F.col("query").alias("a"), F.col("item").alias("b"), F.col("score").alias("similarity"))
     fit = pairs.filter((F.col("similarity") > low) & (F.col("similarity") < high)).join(known, ["a", "b"], "left_anti")
-    return fit.orderBy(F.round(F.abs(F.col("similarity") - (low + high) / 2), 9), "a", "b").limit(most)
+    order = [F.round(F.abs(F.col("similarity") - (low + high) / 2), 9), F.col("a"), F.col("b")]
+    if not scoped:
+        return fit.orderBy(*order).limit(most)
+    own = fit.join(topics.select(F.col("topic").alias("a"), "scope"), "a").withColumn("__r", F.row_number().over(W.partitionBy("scope").orderBy(*order)))
+    return own.filter(F.col("__r") <= most).select("a", "b", "similarity")
+
+
+def judged_edges(replies: DataFrame) -> DataFrame:
+    """source, target, npmi_mem, edge_type, llm_score, npmi_temp of a model's verdicts (a, b, reply).
+
+    A reply is a JSON object, loosely written: related, type, score, direction ("a->b", "b->a" or both
+    ways).  Unrelated pairs and replies that are no object give no edge; a missing score is 0.
+    """
+    v = F.from_json(json_text(F.col("reply")), "struct<related boolean, type string, score string, direction string>")
+    score = F.when(v["score"].isNull(), 0.0).otherwise(number_or(v["score"]))
+    seen = replies.select("a", "b", v.alias("v"), score.alias("llm_score")).filter("v.related")
+    forth, back = F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("a").alias("target"))
+    ways = F.when(F.col("v.direction") == "a->b", F.array(forth)).when(F.col("v.direction") == "b->a", F.array(back)).otherwise(F.array(forth, back))
+    rows = seen.select(F.explode(ways).alias("e"), F.coalesce("v.type", F.lit("causal")).alias("edge_type"), "llm_score")
+    return rows.select("e.source", "e.target", F.lit(0.0).alias("npmi_mem"), "edge_type", "llm_score", F.lit(0.0).alias("npmi_temp"))
 
 
 def decayed(edges: DataFrame, as_of: Column, days: float = DEFAULTS.half_life_days, when: str = "last_updated", value: str = "weight") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,14 +13,14 @@ from pyspark.sql import functions as F
 from mnemoweft.config import DEFAULTS, Settings
 from mnemoweft.functions.info import jsd
 from mnemoweft.functions.sets import jaccard
-from mnemoweft.functions.text import containment
+from mnemoweft.functions.text import containment, words
 from mnemoweft.functions.vector import dot
-from mnemoweft.operators.components import connected_components
-from mnemoweft.operators.search import items_above
-from mnemoweft.runtime import cut, with_positions
+from mnemoweft.operators.components import TASK_LINKS, connected_components, encode
+from mnemoweft.operators.hierarchy import Hierarchy
+from mnemoweft.operators.search import Shared, by_size, dots, in_cells
+from mnemoweft.runtime import cut, iter_groups, parallelism, with_positions
 
 ROOT = "__ROOT__"
-MAX_LEAVES = 4_000  # topics of one cluster of similar ones that a task clusters, 128 MB
 
 
 def topic_similarity(a: str, b: str, weights: tuple[float, float, float, float] = DEFAULTS.similarity_weights) -> Column:
@@ -34,97 +36,212 @@ def topic_similarity(a: str, b: str, weights: tuple[float, float, float, float]
     return weights[0] * label + weights[1] * summary + weights[2] * jaccard(x["keywords"], y["keywords"]) + weights[3] * words
 
 
-def similar_topics(left: DataFrame, right: DataFrame, least: float, weights: tuple[float, float, float, float] = DEFAULTS.similarity_weights) -> DataFrame:
-    """a (of left), b (of right), x, y (their rows), similarity >= least (nine decimals), every such pair.
+def _similarities(weights: tuple[float, float, float, float], least: float):
+    """Kernel of similar_topics: topic_similarity of some topics with each topic of a part, by matrices."""
 
-    Both have topic, label, label_vector, summary_vector, keywords, with unit vectors.  Keywords and
-    words give at most the sum of their weights, so the label or the summary must reach the bound
-    below; blocked matrix products find those pairs, the rest is computed for them only.
-    """
-    bound = (least - weights[2] - weights[3]) / (weights[0] + weights[1])
-    fields = ["topic", "label", "label_vector", "summary_vector", "keywords"]
-    by = lambda c: items_above(right.select(F.col("topic").alias("item"), F.col(c).alias("vector")), left.select(F.col("topic").alias("query"), F.col(c).alias("qv")), bound - 1e-6)
-    pairs = by("label_vector").unionByName(by("summary_vector")).select("query", "item").distinct()
-    x, y = left.select(F.col("topic").alias("a"), F.struct(*fields).alias("x")), right.select(F.col("topic").alias("b"), F.struct(*fields).alias("y"))
-    full = pairs.toDF("a", "b").join(x, "a").join(y, "b")
-    return full.withColumn("similarity", F.round(topic_similarity("x", "y", weights), 9)).filter(F.col("similarity") >= least)
+    def sets(column) -> list[set]:
+        return [set(v) if v is not None else set() for v in column.to_pylist()]
 
+    def hold(held):
+        labels, summaries = (by_size(held.field(c)) for c in ("label_vector", "summary_vector"))
+        words, keywords = (Shared(sets(held.field(c))) for c in ("words", "keywords"))
+
+        def ask(asked):
+            shape = (len(asked), len(held))
+            near = np.nan_to_num(dots(by_size(asked.field("label_vector")), labels, shape))
+            about = dots(by_size(asked.field("summary_vector")), summaries, shape)
+            score = weights[0] * near + weights[1] * np.where(np.isnan(about), near, about)
+            for weight, name, known in ((weights[2], "keywords", keywords), (weights[3], "words", words)):
+                own = sets(asked.field(name))
+                n, both = np.array([len(s) for s in own], float)[:, None], known.counts(own)
+                whole = n + known.sizes - both if name == "keywords" else np.minimum(n, known.sizes)
+                score += weight * np.divide(both, whole, out=np.zeros(shape), where=whole > 0)
+            score = np.round(score, 9)
+            r, c = np.nonzero(score >= least)
+            yield r, c, score[r, c]
+
+        return ask
+
+    return hold
 
-def attach_orphans(nodes: DataFrame, links: DataFrame, root: str = ROOT) -> DataFrame:
-    """links and a link from the root to each other node without a parent."""
-    lone = nodes.filter(F.col("topic") != root).join(links.select(F.col("child").alias("topic")), "topic", "left_anti")
-    return links.select("parent", "child").unionByName(lone.select(F.lit(root).alias("parent"), F.col("topic").alias("child")))
 
+def similar_topics(left: DataFrame, right: DataFrame, least: float, weights: tuple[float, float, float, float] = DEFAULTS.similarity_weights, keyed: bool = False) -> DataFrame:
+    """a (of left), b (of right), similarity >= least (nine decimals), every such pair (with keyed: of the same key).
 
-def cluster_cuts(distances: DataFrame, leaves: DataFrame, cuts: tuple[float, ...] = DEFAULTS.cluster_distances, nested: bool = False) -> DataFrame:
-    """cluster, distance, members: average-linkage clusters of two or more leaves at each cut.
+    Both have topic, label, label_vector, summary_vector, keywords; the similarity is topic_similarity.
+    All of left are compared with all of right, in blocks of matrix products, and only pairs that reach
+    the bound leave a task; topics without vectors count by keywords and words.
+    """
+    body = F.struct(
+        F.col("label_vector").cast("array<double>").alias("label_vector"), F.col("summary_vector").cast("array<double>").alias("summary_vector"),
+        "keywords", words(F.coalesce("label", F.lit(""))).alias("words"),
+    ).alias("p")
+    key = ["key"] if keyed else []
+    found = in_cells(right.select(F.col("topic").alias("item"), *key, body), left.select(F.col("topic").alias("query"), *key, body), _similarities(weights, least), keyed)
+    return found.select(F.col("query").alias("a"), F.col("item").alias("b"), F.col("score").alias("similarity"))
+
+
+def attach_orphans(nodes: DataFrame, links: DataFrame, root: str = ROOT) -> DataFrame:
+    """links and a link from the root to each other node without a parent.
 
-    distances(a, b, distance) of pairs; a pair that is missing counts as 1.  Clusters merge only at an
-    average distance up to the largest cut, so never across components of the pairs within it: these
-    are clustered one per task.  The same members at several cuts are one cluster, at its smallest cut;
-    its name is its smallest member's and the number of members.  nested gives the containing cluster too.
+    Where nodes has a column scope, each scope has a root of its own (root_of).
+    """
+    own = root_of(F.col("scope"), root) if "scope" in nodes.columns else F.lit(root)
+    lone = nodes.select("topic", own.alias("parent")).filter("topic <> parent").join(links.select(F.col("child").alias("topic")), "topic", "left_anti")
+    return links.select("parent", "child").unionByName(lone.select("parent", F.col("topic").alias("child")))
+
+
+def root_of(scope: Column, root: str = ROOT) -> Column:
+    return F.when(scope == "", F.lit(root)).otherwise(F.concat(F.lit(root + "/"), scope))
+
+
+def with_depth(topics: DataFrame, links: DataFrame) -> DataFrame:
+    """topics with depth, the length of the shortest path from a top; null for topics without a link."""
+    depth = Hierarchy(links).paths().groupBy(F.col("node").alias("topic")).agg(F.min("depth").alias("depth"))
+    return topics.drop("depth").join(depth, "topic", "left")
+
+
+def _rounds(ids: pa.Array, a: np.ndarray, b: np.ndarray, s: np.ndarray, n: np.ndarray, top: float):
+    """Merges (a, b, distance) by average linkage of nodes numbered in the order of their ids."""
+    while len(a):
+        d = np.round(1 - s / (n[a] * n[b]), 12)
+        order = np.lexsort((b, a, d))
+        order = order[d[order] <= top]
+        if not len(order):
+            return
+        best = np.full(len(n), len(order))
+        place = np.arange(len(order))
+        np.minimum.at(best, a[order], place)
+        np.minimum.at(best, b[order], place)
+        pairs = order[(best[a[order]] == place) & (best[b[order]] == place)]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[pairs])), ids.take(pa.array(b[pairs])), pa.array(d[pairs])], names=["a", "b", "distance"])
+        n = n.copy()
+        n[a[pairs]] += n[b[pairs]]
+        label = np.arange(len(n))
+        label[b[pairs]] = a[pairs]
+        x, y = label[a], label[b]
+        x, y, s = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y], s[x != y]
+        order = np.lexsort((y, x))
+        x, y, s = x[order], y[order], s[order]
+        first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
+        a, b, s = x[first], y[first], np.add.reduceat(s, first) if len(first) else s
+
+
+def _linkage(top: float):
+    def run(batches):
+        for t in iter_groups(batches, ["component"]):
+            ids, a, b = encode(t["a"].combine_chunks(), t["b"].combine_chunks())
+            n = np.ones(len(ids))
+            n[a], n[b] = t["n_a"].to_numpy(), t["n_b"].to_numpy()
+            yield from _rounds(ids, a, b, t["s"].to_numpy(), n, top)
+
+    return run
+
+
+def _merge_rounds(edges: DataFrame, top: float, task_links: int) -> tuple[DataFrame, DataFrame]:
+    """edges(a, b, s, n_a, n_b) after rounds of joins until a task can hold them, and the merges made."""
+    merges = None
+    while edges.count() > task_links:
+        d = F.round(1 - F.col("s") / (F.col("n_a") * F.col("n_b")), 12)
+        near = edges.select(F.struct(d.alias("d"), "a", "b").alias("e"), "n_a", "n_b").filter(F.col("e.d") <= top)
+        best = near.select(F.explode(F.array("e.a", "e.b")).alias("node"), "e", "n_a", "n_b").groupBy("node").agg(F.min(F.struct("e", "n_a", "n_b")).alias("m"))
+        pairs = cut(best.groupBy("m").agg(F.count("*").alias("k")).filter("k = 2").select("m.e.a", "m.e.b", F.col("m.e.d").alias("distance"), (F.col("m.n_a") + F.col("m.n_b")).alias("n")))
+        if pairs.isEmpty():
+            return edges.limit(0), merges
+        found = pairs.select("a", "b", "distance")
+        merges = found if merges is None else cut(merges.unionByName(found))
+        moved = pairs.select(F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), "n")
+        for end in ("a", "b"):
+            m = moved.select(F.col("old").alias(end), F.col("new").alias(f"new_{end}"), F.col("n").alias(f"m_{end}"))
+            edges = edges.join(m, end, "left").withColumn(end, F.coalesce(f"new_{end}", end)).withColumn(f"n_{end}", F.coalesce(f"m_{end}", f"n_{end}")).drop(f"new_{end}", f"m_{end}")
+        turned = F.col("a") > F.col("b")
+        flip = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+        one = edges.filter("a <> b").select(flip("a", "b"), flip("b", "a"), flip("n_a", "n_b"), flip("n_b", "n_a"), "s")
+        edges = cut(one.groupBy("a", "b", "n_a", "n_b").agg(F.sum("s").alias("s")))
+    return edges, merges
+
+
+def cluster_cuts(distances: DataFrame, cuts: tuple[float, ...] = DEFAULTS.cluster_distances, nested: bool = False, task_links: int = TASK_LINKS) -> DataFrame:
+    """cluster, distance, member: average-linkage clusters of two or more leaves at each cut.
+
+    distances(a, b, distance) of pairs; a pair that is missing counts as 1, so cuts are below 1.  The same
+    members at several cuts are one cluster, at its smallest cut; its name is its smallest member's and
+    the number of members.  nested adds the parent, the next larger cluster around it.  Pairs with a null
+    end or distance are ignored, an empty table gives no rows.
+
+    Two clusters that are each other's nearest (ties by name) merge in the same round, which for average
+    linkage gives the tree of merging the nearest pair each time.  Clusters never merge across components
+    of the pairs within the largest cut; a component of up to task_links pairs goes through its rounds in
+    one task, a larger one by joins until that few are left.  Both give the same rows but for sums of
+    distances that agree to twelve decimals.
     """
     top = max(cuts)
     if top >= 1:
         raise ValueError("cuts must be below 1, the distance of missing pairs")
-    pairs = cut(distances.select("a", "b", F.col("distance").cast("double").alias("d")).filter("a <> b"))
-    near = pairs.filter(F.col("d") <= top)
-    named = cut(connected_components(near, "a", "b"))
-    sizes = named.groupBy("component").agg(F.count("*").alias("n"))
-    if not sizes.filter(F.col("n") > MAX_LEAVES).isEmpty():
-        raise ValueError(f"more than {MAX_LEAVES} leaves hang together at distance {top}: lower the largest cut")
-    rows = pairs.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").filter("ca = cb")
+    d = F.col("distance").cast("double")
+    pairs = distances.filter("a is not null and b is not null and distance is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), d.alias("d"))
+    pairs = cut(pairs.groupBy("a", "b").agg(F.min("d").alias("d")))
     kind = dict(pairs.dtypes)["a"]
+    named = cut(connected_components(pairs.filter(F.col("d") <= top), "a", "b", task_links))
+    of = lambda end: named.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").filter("c_a = c_b").select(F.col("c_a").alias("component"), "a", "b", (1 - F.col("d")).alias("s"), F.lit(1.0).alias("n_a"), F.lit(1.0).alias("n_b"))
+    rows = cut(rows)
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > task_links).select("component")
+    large = cut(rows.join(sizes, "component", "left_semi"))
+    made = None
+    if not large.isEmpty():
+        rest, made = _merge_rounds(large.drop("component"), top, task_links)
+        rows = rows.join(sizes, "component", "left_anti").unionByName(rest.withColumn("component", F.lit(None).cast(kind)))
+    spread = rows.repartition(parallelism(rows.sparkSession), "component").sortWithinPartitions("component")
+    merges = spread.mapInArrow(_linkage(top), f"a {kind}, b {kind}, distance double")
+    merges = cut(merges if made is None else merges.unionByName(made))
+    out = None
+    for limit in sorted(cuts):
+        inside = connected_components(merges.filter(F.col("distance") <= limit), "a", "b", task_links)
+        part = inside.select("component", F.col("node").alias("member"), F.lit(float(limit)).alias("distance"))
+        out = part if out is None else out.unionByName(part)
+    every = cut(out)
+    heads = every.groupBy("component", "distance").agg(F.min("member").alias("first"), F.count("*").alias("n"))
+    # a larger cut only adds members, so the smallest one and the number tell clusters apart
+    once = heads.withColumn("nth", F.row_number().over(W.partitionBy("first", "n").orderBy("distance"))).filter("nth = 1").drop("nth")
+    once = cut(once.withColumn("cluster", F.concat(F.col("first").cast("string"), F.lit("+"), F.col("n").cast("string"))))
+    flat = every.join(once, ["component", "distance"])
+    if not nested:
+        return flat.select("cluster", "distance", "member")
+    around = flat.select(F.col("member").alias("first"), F.col("cluster").alias("over"), F.col("n").alias("m"))
+    up = once.join(around, "first").filter("m > n").groupBy("cluster").agg(F.min_by("over", "m").alias("parent"))
+    return flat.join(up, "cluster", "left").select("cluster", "distance", "member", "parent")
+
+
+def cluster_topics(topics: DataFrame, cuts: tuple[float, ...] = DEFAULTS.cluster_distances, nested: bool = False, task_links: int = TASK_LINKS, keyed: bool = False) -> DataFrame:
+    """cluster_cuts of topics (with keyed: within each key) by 1 - topic_similarity.
+
+    Pairs within the largest cut are found first; all distances are then computed within what they join.
+    """
+    near = similar_topics(topics, topics, 1 - max(cuts), keyed=keyed).filter("a < b")
+    named = cut(connected_components(near, "a", "b", task_links)).select(F.col("node").alias("topic"), F.col("component").alias("key"))
+    held = cut(topics.drop("key").join(named, "topic"))
+    pairs = similar_topics(held, held, -math.inf, keyed=True).filter("a < b")
+    return cluster_cuts(pairs.select("a", "b", (1 - F.col("similarity")).alias("distance")), cuts, nested, task_links)
 
-    def linkage(p: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(p["a"]) | set(p["b"]))
-        at = {v: k for k, v in enumerate(ids)}
-        n = len(ids)
-        d = np.ones((n, n))
-        for a, b, x in zip(p["a"], p["b"], p["d"]):
-            d[at[a], at[b]] = d[at[b], at[a]] = x
-        np.fill_diagonal(d, np.inf)
-        members: list[list[int]] = [[k] for k in range(n)]
-        alive, size = np.ones(n, bool), np.ones(n)
-        out, left = {}, sorted(cuts)
-
-        def keep(limit):
-            for k in np.flatnonzero(alive):
-                if len(members[k]) > 1:
-                    out.setdefault(tuple(sorted(members[k])), limit)
-
-        while left:
-            k = int(np.argmin(d)) if n > 1 else 0
-            i, j = divmod(k, n)
-            while left and (n < 2 or d[i, j] > left[0]):
-                keep(left.pop(0))
-            if not left:
-                break
-            merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            d[i], d[:, i] = merged, merged
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            members[i] += members[j]
-            alive[j] = False
-        found = sorted(out.items())
-        name = lambda m: f"{ids[m[0]]}+{len(m)}"
-        inside = lambda m: min((o for o, _ in found if len(o) > len(m) and set(m) <= set(o)), key=len, default=None)
-        return pd.DataFrame(
-            {"cluster": [name(m) for m, _ in found], "distance": [c for _, c in found], "members": [[ids[k] for k in m] for m, _ in found],
-             "parent": [name(o) if nested and (o := inside(m)) else None for m, _ in found]}
-        )
-
-    # a component has at most MAX_LEAVES leaves, checked above
-    return rows.select("a", "b", "d", "ca").groupBy("ca").applyInPandas(linkage, f"cluster string, distance double, members array<{kind}>, parent string")
-
-
-def multi_parents(leaves: DataFrame, uppers: DataFrame, links: DataFrame, least: float = DEFAULTS.multi_parent, most: int = DEFAULTS.multi_parent_candidates) -> DataFrame:
-    """child, parent, similarity: the best links from upper topics of less depth that are no parents yet."""
-    pairs = similar_topics(leaves, uppers, least).filter(F.col("similarity") > least)
-    depths = pairs.join(leaves.select(F.col("topic").alias("a"), F.col("depth").alias("da")), "a").join(uppers.select(F.col("topic").alias("b"), F.col("depth").alias("db")), "b")
+
+def multi_parents(leaves: DataFrame, uppers: DataFrame, links: DataFrame, least: float = DEFAULTS.multi_parent, most: int = DEFAULTS.multi_parent_candidates, keyed: bool = False) -> DataFrame:
+    """child, parent, similarity: the best links from upper topics of less depth that are no parents yet.
+
+    At most `most` of them, with keyed for each key.
+    """
+    pairs = similar_topics(leaves, uppers, least, keyed=keyed).filter(F.col("similarity") > least)
+    key = F.col("key") if keyed else F.lit(0)
+    depths = pairs.join(leaves.select(F.col("topic").alias("a"), F.col("depth").alias("da"), key.alias("key")), "a").join(uppers.select(F.col("topic").alias("b"), F.col("depth").alias("db")), "b")
     new = depths.filter("db < da").join(links.select(F.col("child").alias("a"), F.col("parent").alias("b")), ["a", "b"], "left_anti")
-    return new.orderBy(F.desc("similarity"), "a", "b").limit(most).select(F.col("a").alias("child"), F.col("b").alias("parent"), "similarity")
+    return best_of(new, most, keyed, [F.desc("similarity"), "a", "b"]).select(F.col("a").alias("child"), F.col("b").alias("parent"), "similarity")
+
+
+def best_of(rows: DataFrame, most: int, keyed: bool, order: list) -> DataFrame:
+    """The first rows in that order, with keyed of each key."""
+    if not keyed:
+        return rows.orderBy(*order).limit(most)
+    return rows.withColumn("__r", F.row_number().over(W.partitionBy("key").orderBy(*order))).filter(F.col("__r") <= most).drop("__r")
 
 
 def greedy_descent(new: DataFrame, topics: DataFrame, links: DataFrame, root, least: float = DEFAULTS.multi_parent) -> DataFrame:
@@ -150,9 +267,10 @@ def greedy_descent(new: DataFrame, topics: DataFrame, links: DataFrame, root, le
 
 
 def drift(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, jsd between the two distributions of a value per key; keys on one side only are left out."""
+    """keys, jsd between the two distributions of a value per key; ln 2, the most there is, for keys on one side only."""
     part = lambda df, n: df.groupBy(*keys, value).agg(F.count("*").cast("double").alias("c")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(value, "c"))).alias(n))
-    return part(before, "__p").join(part(after, "__q"), keys).select(*keys, jsd(F.col("__p"), F.col("__q")).alias("jsd"))
+    score = F.when(F.col("__p").isNull() | F.col("__q").isNull(), F.lit(math.log(2))).otherwise(jsd(F.col("__p"), F.col("__q")))
+    return part(before, "__p").join(part(after, "__q"), keys, "full").select(*keys, score.alias("jsd"))
 
 
 def split_halves(members: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -162,13 +280,46 @@ def split_halves(members: DataFrame, group: str, order: list[str]) -> DataFrame:
     return placed.join(sizes, group).withColumn("half", (F.col("__pos") >= F.floor(F.col("__n") / 2)).cast("int")).select(*members.columns, "half")
 
 
+def split_topics(topics: DataFrame, links: DataFrame, members: DataFrame, gone: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """topics, links and members(topic, memory, ...) with each topic of gone split into its halves.
+
+    The halves are new topics, named by the old one and "/1" or "/2"; they keep its other columns, take
+    its parents and children and half of its memories by order; a half without memories is made, too.
+    """
+    old = gone.select("topic").distinct()
+    rest = lambda df, c: df.join(old.select(F.col("topic").alias(c)), c, "left_anti")
+    halves = old.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("new", F.concat("topic", F.lit("/"), (F.col("half") + 1).cast("string")))
+    made = topics.join(halves.select("topic", "new"), "topic").withColumn("topic", F.col("new")).select(*topics.columns)
+    moved = split_halves(members.join(old, "topic", "left_semi"), "topic", order).join(halves, ["topic", "half"]).withColumn("topic", F.col("new")).select(*members.columns)
+    out = links.select("parent", "child")
+    for end in ("parent", "child"):
+        named = halves.select(F.col("topic").alias(end), F.col("new").alias("__new"))
+        out = out.join(named, end, "left").withColumn(end, F.coalesce("__new", end)).select("parent", "child")
+    return rest(topics, "topic").unionByName(made), out, rest(members, "topic").unionByName(moved)
+
+
+def merge_topics(topics: DataFrame, links: DataFrame, members: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """topics, links and members(topic, memory) with the topics of merged(topic, into) taken into the others.
+
+    What is left keeps its row and gets the keywords of all; it is virtual if all were.  Children, parents
+    and memories follow; loops and repeats disappear.
+    """
+    named = topics.select("topic", "keywords", "is_virtual").join(merged, "topic", "left").withColumn("into", F.coalesce("into", "topic"))
+    words_of = named.groupBy(F.col("into").alias("topic")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("keywords", F.array().cast("array<string>")))))).alias("keywords"), F.min("is_virtual").alias("is_virtual"))
+    several = words_of.join(merged.select(F.col("into").alias("topic")).distinct(), "topic", "left_semi")
+    kept = topics.join(merged, "topic", "left_anti").join(several.withColumnsRenamed({"keywords": "__k", "is_virtual": "__v"}), "topic", "left")
+    kept = kept.withColumn("keywords", F.coalesce("__k", "keywords")).withColumn("is_virtual", F.coalesce("__v", "is_virtual")).select(*topics.columns)
+    moved = members.join(merged, "topic", "left").withColumn("topic", F.coalesce("into", "topic")).select(*members.columns).distinct()
+    return kept, rewire(links, merged), moved
+
+
 def mergeable_siblings(topics: DataFrame, links: DataFrame, counts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """a < b, similarity of similar topics with a parent in common and few memories each.
+    """a < b, similarity of similar topics (of the same key, if topics has one) with a parent in common and few memories each.
 
     Similar pairs are found first, then those with a common parent, so the children of one parent are
     never paired with each other.
     """
-    pairs = similar_topics(topics, topics, settings.sibling_merge).filter((F.col("similarity") > settings.sibling_merge) & (F.col("a") < F.col("b"))).select("a", "b", "similarity")
+    pairs = similar_topics(topics, topics, settings.sibling_merge, keyed="key" in topics.columns).filter((F.col("similarity") > settings.sibling_merge) & (F.col("a") < F.col("b"))).select("a", "b", "similarity")
     few = topics.select("topic").join(counts, "topic", "left").filter(F.coalesce("n_topic", F.lit(0)) < settings.sibling_merge_memories).select("topic")
     small = pairs.join(few.withColumnRenamed("topic", "a"), "a", "left_semi").join(few.withColumnRenamed("topic", "b"), "b", "left_semi")
     up = lambda n, p: links.select(F.col("child").alias(n), F.col("parent").alias(p))
@@ -190,10 +341,16 @@ def rewire(links: DataFrame, merged: DataFrame) -> DataFrame:
     return b.filter("parent <> child").distinct()
 
 
-def siblings_of(links: DataFrame, topics: DataFrame) -> DataFrame:
-    """topic, sibling of the given topics: the other children of their parents."""
+def siblings_of(links: DataFrame, topics: DataFrame, part: int = 100_000) -> DataFrame:
+    """topic, sibling of the given topics: the other children of their parents.
+
+    The children of a parent are dealt to parts of that many, so a large parent is spread over tasks.
+    """
     up = links.select(F.col("child").alias("topic"), "parent").join(topics.select("topic").distinct(), "topic", "left_semi")
-    return up.join(links.select("parent", F.col("child").alias("sibling")), "parent").filter("topic <> sibling").select("topic", "sibling").distinct()
+    parts = links.groupBy("parent").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    asked = up.join(parts, "parent").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    down = links.join(parts, "parent").select("parent", F.pmod(F.xxhash64("child"), F.col("parts")).cast("int").alias("part"), F.col("child").alias("sibling"))
+    return asked.join(down, ["parent", "part"]).filter("topic <> sibling").select("topic", "sibling").distinct()
 
 
 def summaries_due(topics: DataFrame, members: DataFrame, memories: DataFrame, interval: int = DEFAULTS.summary_interval, first: int = 20) -> DataFrame:

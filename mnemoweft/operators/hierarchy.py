@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -216,31 +216,35 @@ def _descendants(batches):
 def _paths(batches):
     for t in _chunks(batches, ["component"]):
         w = Walk(t)
-        rows: list[tuple[int, int, list[int]]] = []
-        size = 0
+        nodes, tops, ways = array("q"), array("q"), array("q")  # ways: paths one after the other
+        ends = array("q", [0])
 
         def out():
-            flat = np.fromiter((x for r in rows for x in r[2]), np.int64)  # noqa: B023
-            ends = np.cumsum([0, *(len(r[2]) for r in rows)])  # noqa: B023
-            take = lambda v: w.ids.take(pa.array(v, pa.int64()))  # noqa: B023, E731
-            node, top = take([r[0] for r in rows]), take([r[1] for r in rows])  # noqa: B023
-            paths = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), take(flat))
-            depth = pa.array(np.diff(ends) - 1, pa.int32())
-            rows.clear()  # noqa: B023
-            return pa.RecordBatch.from_arrays([node, top, depth, paths], names=["node", "top", "depth", "path"])
+            take = lambda v: w.ids.take(pa.array(np.array(v, np.int64)))  # noqa: B023, E731
+            paths = pa.ListArray.from_arrays(pa.array(np.array(ends), pa.int32()), take(ways))  # noqa: B023
+            depth = pa.array(np.diff(np.array(ends)) - 1, pa.int32())  # noqa: B023
+            batch = pa.RecordBatch.from_arrays([take(nodes), take(tops), depth, paths], names=["node", "top", "depth", "path"])  # noqa: B023
+            for held in (nodes, tops, ways, ends):  # noqa: B023
+                del held[:]
+            ends.append(0)  # noqa: B023
+            return batch
 
         for top in w.tops():
-            way = {top: [top]}
-            rows.append((top, top, [top]))
-            for x, _, previous in w.below(top):
-                if x == top:
+            before = {top: -1}  # only predecessors are kept; a path is written when its node is met
+            for x, _, previous in chain([(top, 0, -1)], w.below(top)):
+                if x == top and previous >= 0:
                     continue
-                way[x] = [*way[previous], x]
-                rows.append((x, top, way[x]))
-                size += len(way[x])
-                if size > 500_000:
+                before[x] = previous
+                way = [x]
+                while (previous := before[way[-1]]) >= 0:
+                    way.append(previous)
+                way.reverse()
+                ways.extend(way)
+                nodes.append(x)
+                tops.append(top)
+                ends.append(len(ways))
+                if len(ways) > 500_000:
                     yield out()
-                    size = 0
         yield out()
 
 
@@ -343,14 +347,17 @@ class Hierarchy:
     # --- components beyond one task: one join per level, lineage cut each time
 
     def _grow(self, links: DataFrame, seeds: DataFrame, carry) -> DataFrame:
-        """Breadth-first rows (source, node, distance, ...) from seeds until nothing new comes."""
+        """Breadth-first rows (source, node, distance, ...) from seeds until nothing new comes.
+
+        Each level is written once; what was found before is read, not written again.
+        """
         seen = frontier = cut(seeds)
         while True:
             step = carry(frontier.join(links.select(F.col("parent").alias("node"), "child"), "node"))
             frontier = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
             if frontier.isEmpty():
                 return seen
-            seen = cut(seen.unionByName(frontier))
+            seen = seen.unionByName(frontier)
 
     def _large_descendants(self) -> DataFrame:
         links = self._large.select("parent", "child")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS, Settings
 from mnemoweft.functions.text import ENUMERATIONS, REASONS, has_any, keyword_ratio
-from mnemoweft.functions.vector import dot
 from mnemoweft.operators.ppr import personalized_pagerank
-from mnemoweft.operators.search import in_blocks, nearest_items
+from mnemoweft.operators.search import by_size, candidates, dots, in_cells, nearest_items
 from mnemoweft.runtime import cut
 
 # Weights of the scores.
@@ -29,6 +28,7 @@ class Store:
 
     topics(topic, label_vector, summary_vector, keywords, is_virtual), memories(item, vector, topics,
     keywords, importance), dag(parent, child), closure(ancestor, descendant), edges(source, target, weight).
+    Where topics and memories have a scope, queries have one, too, and see nothing of other scopes.
     """
 
     topics: DataFrame
@@ -38,6 +38,18 @@ class Store:
     edges: DataFrame
     settings: Settings = DEFAULTS
 
+    @property
+    def scoped(self) -> bool:
+        return "scope" in self.topics.columns
+
+
+def _nearest(store: Store, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """nearest_items among items(item, vector, ...) of the query's scope, or all."""
+    if not store.scoped:
+        return nearest_items(items.select("item", "vector"), queries.select("query", "qv"), k)
+    scope = F.array("scope").alias("topics")
+    return nearest_items(items.select("item", "vector", scope), queries.select("query", "qv", scope), k, filtered=True)
+
 
 def _live(store: Store) -> DataFrame:
     """Topics that are not virtual and have memories."""
@@ -45,19 +57,43 @@ def _live(store: Store) -> DataFrame:
     return store.topics.filter(~F.col("is_virtual")).join(used, "topic", "left_semi")
 
 
+def _routing(held):
+    """Kernel of route_all."""
+    labels, summaries = (by_size(held.field(c)) for c in ("label_vector", "summary_vector"))
+    lists = [[k.lower() if k is not None else None for k in v or []] for v in held.field("keywords").to_pylist()]
+    known = sorted({k for v in lists for k in v if k is not None})
+    number = {k: i for i, k in enumerate(known)}
+    of = np.array([number[k] for v in lists for k in v if k is not None], np.int64)
+    at = np.array([t for t, v in enumerate(lists) for k in v if k is not None], np.int64)
+    size = np.array([len(v) for v in lists], float)
+
+    def ask(asked):
+        shape = (len(asked), len(held))
+        vectors = by_size(asked.field("label_vector"))
+        label = np.maximum(0.0, np.nan_to_num(dots(vectors, labels, shape)))
+        about = dots(vectors, summaries, shape)
+        ratio = np.zeros(shape)
+        for k, text in enumerate(asked.field("text").to_pylist()):
+            if text is not None and len(of):
+                inside = np.array([w in text for w in known])
+                ratio[k] = np.bincount(at, inside[of], minlength=len(held)) / np.maximum(size, 1.0)
+        score = ROUTE_LABEL * label + ROUTE_SUMMARY * np.where(np.isnan(about), label, np.maximum(0.0, about)) + ROUTE_KEYWORDS * ratio
+        r, c = np.nonzero(score > 0)
+        yield r, c, score[r, c]
+
+    return ask
+
+
 def route_all(store: Store, queries: DataFrame) -> DataFrame:
-    """query, topic, score of every live topic with a positive score (no index needed)."""
-    t, q = _live(store), queries
-    label = F.greatest(F.lit(0.0), F.coalesce(F.round(dot(F.col("qv"), F.col("label_vector")), 9), F.lit(0.0)))
-    near = F.round(dot(F.col("qv"), F.col("summary_vector")), 9)
-    summary = F.when(near.isNull(), label).otherwise(F.greatest(F.lit(0.0), near))
-    score = ROUTE_LABEL * label + ROUTE_SUMMARY * summary + ROUTE_KEYWORDS * keyword_ratio(F.col("keywords"), F.col("text"))
-    out = None
-    for block in in_blocks(q.select("query", "qv", "text")):
-        # a block of some thousand queries against all topics
-        part = t.join(F.broadcast(block), F.lit(True)).select("query", "topic", score.alias("score")).filter("score > 0")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else t.sparkSession.createDataFrame([], f"query {dict(q.dtypes)['query']}, topic {dict(t.dtypes)['topic']}, score double")
+    """query, topic, score of every live topic with a positive score (no index needed).
+
+    By blocks of topics and queries; null vectors and texts add nothing to the score.
+    """
+    double = lambda c, name: F.col(c).cast("array<double>").alias(name)
+    key = [F.col("scope").alias("key")] if store.scoped else []
+    topics = _live(store).select(F.col("topic").alias("item"), *key, F.struct(double("label_vector", "label_vector"), double("summary_vector", "summary_vector"), "keywords", F.lit(None).cast("string").alias("text")).alias("p"))
+    asked = queries.select("query", *key, F.struct(double("qv", "label_vector"), double("qv", "summary_vector"), F.lit(None).cast("array<string>").alias("keywords"), F.lower("text").alias("text")).alias("p"))
+    return in_cells(topics, asked, _routing, keyed=store.scoped).select("query", F.col("item").alias("topic"), "score")
 
 
 def route_indexed(store: Store, queries: DataFrame) -> DataFrame:
@@ -66,18 +102,12 @@ def route_indexed(store: Store, queries: DataFrame) -> DataFrame:
     Either search takes three times max_routed of all topics; virtual and empty ones go afterwards.
     """
     k = 3 * store.settings.max_routed
-    by = lambda c, w: nearest_items(store.topics.select(F.col("topic").alias("item"), c.alias("vector")), queries, k).select("query", F.col("item").alias("topic"), (w * F.col("score")).alias("s"))
+    by = lambda c, w: _nearest(store, store.topics.withColumn("vector", c).withColumnRenamed("topic", "item"), queries, k).select("query", F.col("item").alias("topic"), (w * F.col("score")).alias("s"))
     hits = by(F.col("label_vector"), ROUTE_LABEL).unionByName(by(F.coalesce("summary_vector", "label_vector"), ROUTE_SUMMARY))
     summed = hits.groupBy("query", "topic").agg(F.sum("s").alias("s")).join(_live(store).select("topic", "keywords"), "topic").join(queries.select("query", "text"), "query")
     return summed.select("query", "topic", (F.col("s") + ROUTE_KEYWORDS * keyword_ratio(F.col("keywords"), F.col("text"))).alias("score"))
 
 
-def siblings(dag: DataFrame) -> DataFrame:
-    """topic, sibling: others with a parent in common."""
-    a, b = dag.select("parent", F.col("child").alias("topic")), dag.select("parent", F.col("child").alias("sibling"))
-    return a.join(b, "parent").filter("topic <> sibling").select("topic", "sibling").distinct()
-
-
 def adjust(store: Store, routed: DataFrame) -> DataFrame:
     """query, topic, score, rank: siblings join where few topics were routed, ancestors leave where many were; at most max_routed stay."""
     s = store.settings
@@ -101,8 +131,9 @@ def adjust(store: Store, routed: DataFrame) -> DataFrame:
 def intra(store: Store, queries: DataFrame, adjusted: DataFrame, precut: bool = True) -> DataFrame:
     """query, item, score, matched, rank: the best memories of the routed topics.
 
-    The vector search takes 2 x intra_top_k of the memories with a routed topic (all of them without
-    precut); those of a scoring topic gain by the topic's score, keywords and importance.
+    The vector search takes 2 x intra_top_k of the memories with a routed topic; without precut it takes
+    all whose similarity is not too far below the best intra_top_k for the rest of the score to make up.
+    Those of a scoring topic gain by the topic's score, keywords and importance.
     """
     s = store.settings
     lists = adjusted.groupBy("query").agg(
@@ -111,8 +142,16 @@ def intra(store: Store, queries: DataFrame, adjusted: DataFrame, precut: bool =
         F.collect_list(F.when(F.col("rank") <= s.scoring_topics, F.col("topic"))).alias("scoring"),
     )
     lists = cut(lists.join(queries, "query"))
-    k = 2 * s.intra_top_k if precut else 2_000_000_000
-    hits = nearest_items(store.memories.select("item", "vector", "topics"), lists, k, filtered=True).select("query", "item", F.col("score").alias("sim"))
+    rows = store.memories.select("item", "vector", "topics")
+    if precut:
+        hits = nearest_items(rows, lists, 2 * s.intra_top_k, filtered=True).select("query", "item", F.col("score").alias("sim"))
+    else:
+        # the gain lies between low and high, so what is further below the k-th best cannot come in
+        most = adjusted.agg(F.max("score")).first()[0] or 0.0
+        weight = INTRA_IMPORTANCE * F.coalesce("importance", F.lit(0.5))
+        low, high = store.memories.agg(F.min(weight), F.max(weight)).first()
+        slack = INTRA_TOPIC * max(0.0, most) + INTRA_KEYWORDS + max(0.0, high or 0.0) - min(0.0, low or 0.0)
+        hits = candidates(rows, lists, s.intra_top_k, slack + 1e-6).select("query", "item", F.col("score").alias("sim"))
     full = hits.join(store.memories.drop("vector"), "item").join(lists.select("query", "scores", "scoring", "text"), "query")
     found = F.array_sort(F.filter("topics", lambda t: F.map_contains_key("scores", t)))
     best = F.coalesce(F.array_max(F.transform(found, lambda t: F.col("scores")[t])), F.lit(0.0))
@@ -125,7 +164,7 @@ def intra(store: Store, queries: DataFrame, adjusted: DataFrame, precut: bool =
 
 def fuse(store: Store, queries: DataFrame, inner: DataFrame, k: int) -> DataFrame:
     """query, item, score, source_type, matched: intra hits and the 2k nearest of all memories, these discounted."""
-    near = nearest_items(store.memories.select("item", "vector"), queries, 2 * k).select("query", "item", (store.settings.global_weight * F.col("score")).alias("g"))
+    near = _nearest(store, store.memories, queries, 2 * k).select("query", "item", (store.settings.global_weight * F.col("score")).alias("g"))
     both = inner.select("query", "item", "score", "matched").join(near, ["query", "item"], "full")
     return cut(both.select(
         "query", "item", F.greatest("score", "g").alias("score"),
@@ -164,6 +203,8 @@ def retrieve(store: Store, queries: DataFrame, k: int = 10, mode: str = "store",
     mode "memory" routes by all topics, searches without a pre-cut and does not fuse with the global
     search.  Flags leave out the hierarchy or the expansion, for ablations.
     """
+    # both are read by several stages
+    store = replace(store, topics=cut(store.topics), memories=cut(store.memories))
     routed = route_indexed(store, queries) if mode == "store" else route_all(store, queries)
     if use_dag:
         adjusted = adjust(store, routed)
@@ -223,3 +264,15 @@ def diversified(candidates: DataFrame, k: int, settings: Settings = DEFAULTS) ->
     return candidates.select("query", "item", "score", "rank", "vector", "topics").groupBy("query").applyInPandas(
         order, f"query {kinds['query']}, item {kinds['item']}, score double, rank int"
     )
+
+
+def formatted(found: DataFrame, memories: DataFrame, topics: DataFrame) -> DataFrame:
+    """query, rank, item, content, score (two decimals), source_type, labels of what retrieve found.
+
+    labels names the topics of each memory in their order; ids without a topic are left out.
+    """
+    flat = memories.select("item", F.posexplode("topics").alias("at", "topic")).join(topics.select("topic", "label"), "topic").filter("label is not null")
+    named = flat.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "label")))["label"].alias("labels"))
+    none = F.array().cast("array<string>")
+    rows = found.join(memories.select("item", "content"), "item", "left").join(named, "item", "left")
+    return rows.select("query", "rank", "item", "content", F.round("score", 2).alias("score"), "source_type", F.coalesce("labels", none).alias("labels"))

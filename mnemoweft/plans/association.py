@@ -67,25 +67,25 @@ def edge_direction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    known = ["source_id", "target_id", "edge_type", "npmi_mem", "llm_score", "npmi_temp"]
+    known = ["source_id", "target_id", "edge_type", "npmi_mem", "llm_score", "npmi_temp", "last_updated"]
     rows = table(spark, sf, "assoc_edges").select(*known).withColumn("llm_score", F.col("llm_score") / 100)
-    return assoc.merge_edges(rows.withColumnsRenamed({"source_id": "source", "target_id": "target"}))
+    return assoc.merge_edges(rows.withColumnsRenamed({"source_id": "source", "target_id": "target"}), at="last_updated")
 
 
 def edge_weight(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("source", "target", "edge_type", *rounded("npmi_mem", "llm_score", "npmi_temp", "weight"))
+    return _scored(spark, sf).select("source", "target", "edge_type", *rounded("npmi_mem", "llm_score", "npmi_temp", "weight", digits=9))
 
 
 def edge_prune(spark: SparkSession, sf: str) -> DataFrame:
     merged = _scored(spark, sf).withColumn("weight", F.round("weight", 9))
-    return assoc.prune(merged).select("source", "target", "rank", *rounded("weight"))
+    return assoc.prune(merged).select("source", "target", "rank", "weight")
 
 
 def build_association(spark: SparkSession, sf: str) -> DataFrame:
     """Co-occurrence to NPMI to direction to weight to pruning, in one plan."""
     e = assoc.directed(_memory_pairs(spark, sf))
     merged = assoc.merge_edges(e.select("*", F.lit("co").alias("edge_type"), F.lit(0.0).alias("llm_score"), F.lit(0.0).alias("npmi_temp")))
-    return assoc.prune(merged.withColumn("weight", F.round("weight", 9))).select("source", "target", "rank", *rounded("weight"))
+    return assoc.prune(merged.withColumn("weight", F.round("weight", 9))).select("source", "target", "rank", "weight")
 
 
 def causal_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,13 +139,13 @@ _NPMI_OUT = "SELECT a, b, n_ab, n_a, n_b, round(npmi, 6) + 0.0 AS npmi FROM np"
 _SCORED = """
 raw AS (SELECT source_id AS source, target_id AS target, edge_type,
                CASE WHEN isnan(npmi_mem) THEN NULL ELSE npmi_mem END AS a, CASE WHEN isnan(llm_score) THEN NULL ELSE llm_score / 100 END AS b,
-               CASE WHEN isnan(npmi_temp) THEN NULL ELSE npmi_temp END AS c FROM assoc_edges),
+               CASE WHEN isnan(npmi_temp) THEN NULL ELSE npmi_temp END AS c, last_updated FROM assoc_edges),
 mx AS (SELECT source, target, greatest(coalesce(max(a), 0), 0) AS npmi_mem, greatest(coalesce(max(b), 0), 0) AS llm_score,
-              greatest(coalesce(max(c), 0), 0) AS npmi_temp, coalesce(max(edge_type) FILTER (edge_type <> 'co'), 'co') AS edge_type
+              greatest(coalesce(max(c), 0), 0) AS npmi_temp, coalesce(max({'t': last_updated, 'e': edge_type}) FILTER (edge_type <> 'co')['e'], 'co') AS edge_type
        FROM raw GROUP BY 1, 2),
 scored AS (SELECT *, greatest(0, least(1, 0.4::DOUBLE * npmi_mem + 0.4::DOUBLE * llm_score + 0.2::DOUBLE * npmi_temp)) AS weight FROM mx)
 """
-_PRUNE = """SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY round(weight, 9) DESC, target)::INT AS rank, round(weight, 6) AS weight
+_PRUNE = """SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY round(weight, 9) DESC, target)::INT AS rank, round(weight, 9) AS weight
 FROM {t} WHERE round(weight, 9) >= 0.08 QUALIFY rank <= 5"""
 
 
@@ -173,8 +173,8 @@ cells AS (SELECT a, b, unnest([n_ab, n_a - n_ab, n_b - n_ab, n - n_a - n_b + n_a
                  unnest([n_a::DOUBLE * n_b / n, n_a::DOUBLE * (n - n_b) / n, (n - n_a)::DOUBLE * n_b / n, (n - n_a)::DOUBLE * (n - n_b) / n]) AS e FROM np)
 SELECT a, b, round(2 * sum(CASE WHEN o > 0 THEN o * ln(o / e) ELSE 0 END), 4) AS llr FROM cells GROUP BY 1, 2""",
     "edge_direction": f"WITH {B.MEMORY_TOPICS}, {_MTOT}, {B.PAIRS}, {B.NPMI}, {B.DIRECTED.format(t=0.1)} SELECT source, target, round(npmi_mem, 6) AS npmi_mem FROM edges",
-    "edge_weight": f"""WITH {_SCORED} SELECT source, target, edge_type, round(npmi_mem, 6) AS npmi_mem, round(llm_score, 6) AS llm_score,
-round(npmi_temp, 6) AS npmi_temp, round(weight, 6) AS weight FROM scored""",
+    "edge_weight": f"""WITH {_SCORED} SELECT source, target, edge_type, round(npmi_mem, 9) AS npmi_mem, round(llm_score, 9) AS llm_score,
+round(npmi_temp, 9) AS npmi_temp, round(weight, 9) AS weight FROM scored""",
     "edge_prune": f"WITH {_SCORED} {_PRUNE.format(t='scored')}",
     "build_association": f"""WITH {B.MEMORY_TOPICS}, {_MTOT}, {B.PAIRS}, {B.NPMI}, {B.DIRECTED.format(t=0.1)},
 w AS (SELECT source, target, greatest(0, least(1, 0.4::DOUBLE * npmi_mem)) AS weight FROM edges) {_PRUNE.format(t='w')}""",

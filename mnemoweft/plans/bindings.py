@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoweft.functions.vector import dot, mean_vector, normalise
+from mnemoweft.functions.vector import mean_vector, normalise
 from mnemoweft.operators.assoc import bridge
+from mnemoweft.operators.search import nearest_items
 from mnemoweft.tables import current, table
 
 
@@ -48,9 +49,9 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
 def vector_topics(spark: SparkSession, sf: str) -> DataFrame:
     """memory, topic: the own label and the most similar other centroid."""
     v, c = vectors(spark, sf), centroids(spark, sf)
-    near = v.join(F.broadcast(c), F.col("label") != F.col("topic")) if c.limit(10_001).count() <= 10_000 else v.join(c, F.col("label") != F.col("topic"))
-    score = F.round(dot(F.col("v"), F.col("vector")), 9)
-    best = near.groupBy("vec_id").agg(F.max_by("topic", F.struct(score, -F.col("topic"))).alias("topic"))
+    # the two nearest centroids hold the nearest other one
+    near = nearest_items(c.select(F.col("topic").alias("item"), "vector"), v.select(F.struct("vec_id", "label").alias("query"), F.col("v").alias("qv")), 2).filter("query.label <> item")
+    best = near.groupBy("query.vec_id").agg(F.min_by("item", "rank").alias("topic"))
     return v.select(F.col("vec_id").alias("memory"), F.col("label").alias("topic")).unionByName(best.select(F.col("vec_id").alias("memory"), "topic"))
 
 

@@ -9,7 +9,6 @@ from mnemoweft.functions.vector import norm, normalise
 from mnemoweft.operators import dag as D
 from mnemoweft.operators.assoc import marginals
 from mnemoweft.operators.hierarchy import Hierarchy, links_of
-from mnemoweft.operators.search import items_above
 from mnemoweft.plans import bindings as B
 from mnemoweft.plans.bindings import rounded
 from mnemoweft.runtime import cut
@@ -55,8 +54,9 @@ def ancestors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def siblings(spark: SparkSession, sf: str) -> DataFrame:
-    geo = _geo(spark, sf).filter("parent like 'R%'")
-    return D.siblings_of(geo, geo.select(F.col("child").alias("topic")))
+    """Of every 50th customer, among all nodes of the geography."""
+    asked = table(spark, sf, "customer").filter(F.col("c_custkey") % 50 == 0).select(F.concat(F.lit("C"), "c_custkey").alias("topic"))
+    return D.siblings_of(_geo(spark, sf), asked)
 
 
 def children_parents(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,10 +123,8 @@ def drift_jsd(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hac_cut(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of label centroids at two cuts."""
-    c = B.centroids(spark, sf).select("topic", "vector")
-    pairs = items_above(c.select(F.col("topic").alias("item"), "vector"), c.select(F.col("topic").alias("query"), F.col("vector").alias("qv")), -1.0).filter("query < item")
-    return D.cluster_cuts(pairs.select(F.col("query").alias("a"), F.col("item").alias("b"), (0.8 - F.col("score")).alias("distance")), c, (0.75, 0.7)).select("cluster", "distance", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    """Clusters of all topics that are not virtual, by their own distance at the default cuts."""
+    return D.cluster_topics(cut(_topics(spark, sf).filter("not is_virtual"))).select("cluster", "distance", "member")
 
 
 def insert_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +176,7 @@ sim AS MATERIALIZED (SELECT a, b, da, db, va, vb, round(0.35::DOUBLE * l + 0.25:
 SQL = {
     "descendants": f"WITH RECURSIVE {_DOWN} SELECT ancestor, descendant, distance::BIGINT AS distance FROM down",
     "ancestors": f"WITH RECURSIVE {_DOWN} SELECT descendant AS node, string_agg(ancestor, ',' ORDER BY ancestor) AS ancestors FROM down GROUP BY 1",
-    "siblings": f"WITH {_GEO} SELECT DISTINCT a.child AS topic, b.child AS sibling FROM geo a JOIN geo b ON a.parent = b.parent AND a.child <> b.child WHERE a.parent LIKE 'R%'",
+    "siblings": f"WITH {_GEO} SELECT DISTINCT a.child AS topic, b.child AS sibling FROM geo a JOIN geo b ON a.parent = b.parent AND a.child <> b.child WHERE a.child LIKE 'C%' AND substr(a.child, 2)::INT % 50 = 0",
     "children_parents": f"""WITH {_LINKS} SELECT topic, (count(*) FILTER (down))::BIGINT AS n_children, (count(*) FILTER (NOT down))::BIGINT AS n_parents
 FROM (SELECT parent AS topic, true AS down FROM links UNION ALL SELECT child, false FROM links) GROUP BY 1""",
     "dag_depth": f"""WITH RECURSIVE {_LINKS}, d AS (SELECT DISTINCT parent AS node, 0 AS depth FROM links WHERE parent NOT IN (SELECT child FROM links)
@@ -201,12 +199,13 @@ WHERE a < b AND similarity > 0.5 AND a IN (SELECT topic FROM few) AND b IN (SELE
 r AS (SELECT topic, memory, row_number() OVER (PARTITION BY topic ORDER BY created_at, memory) AS k, count(*) OVER (PARTITION BY topic) AS n FROM mt JOIN c ON memory_id = memory)
 SELECT topic, memory, (k > n // 2)::INT AS half FROM r""",
     "drift_jsd": f"""WITH h AS (SELECT user_id, event_type, ts < '{MIDDLE}' AS early, count(*)::DOUBLE AS c FROM events GROUP BY ALL),
-us AS (SELECT user_id FROM h GROUP BY 1 HAVING bool_or(early) AND bool_or(NOT early)),
-k AS (SELECT DISTINCT user_id, event_type FROM h JOIN us USING (user_id)),
+us AS (SELECT user_id, bool_or(early) AND bool_or(NOT early) AS both_ FROM h GROUP BY 1),
+k AS (SELECT DISTINCT user_id, event_type FROM h),
 w AS (SELECT user_id, event_type, coalesce(p.c, 1e-10) AS p, coalesce(q.c, 1e-10) AS q FROM k LEFT JOIN (SELECT * FROM h WHERE early) p USING (user_id, event_type)
       LEFT JOIN (SELECT * FROM h WHERE NOT early) q USING (user_id, event_type)),
-z AS (SELECT user_id, p / sum(p) OVER (PARTITION BY user_id) AS p, q / sum(q) OVER (PARTITION BY user_id) AS q FROM w)
-SELECT user_id, round(sum(0.5::DOUBLE * p * ln(p / ((p + q) / 2)) + 0.5::DOUBLE * q * ln(q / ((p + q) / 2))), 6) + 0.0 AS jsd FROM z GROUP BY 1""",
+z AS (SELECT user_id, p / sum(p) OVER (PARTITION BY user_id) AS p, q / sum(q) OVER (PARTITION BY user_id) AS q FROM w),
+j AS (SELECT user_id, sum(0.5::DOUBLE * p * ln(p / ((p + q) / 2)) + 0.5::DOUBLE * q * ln(q / ((p + q) / 2))) AS j FROM z GROUP BY 1)
+SELECT user_id, round(CASE WHEN both_ THEN j ELSE ln(2) END, 6) + 0.0 AS jsd FROM j JOIN us USING (user_id)""",
     "summary_due": f"""WITH {B.MEMORY_TOPICS}, c AS (SELECT memory_id, content FROM memories QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY ingested_at DESC, content DESC NULLS LAST) = 1),
 d AS (SELECT topic_id FROM (SELECT * FROM topics QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY updated_at DESC) = 1) WHERE memory_count_since_summary >= 5 AND NOT is_virtual),
 r AS (SELECT topic, content, memory FROM mt JOIN d ON topic_id = topic JOIN c ON memory_id = memory WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic ORDER BY memory) <= 20)

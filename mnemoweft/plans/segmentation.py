@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoweft.functions.text import dialogue_text, history_line, memory_line
+from mnemoweft.functions.text import TRANSITIONS, dialogue_text, history_line, memory_line
 from mnemoweft.models import HashEmbedder
 from mnemoweft.operators import segment as S
 from mnemoweft.operators.search import nearest_items
+from mnemoweft.runtime import cut
 from mnemoweft.tables import current, table
 
 SESSION = ["sample_id", "session_id"]
@@ -24,7 +25,7 @@ def _marked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def boundary_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return _marked(spark, sf).select(*SESSION, "turn_idx", F.round("similarity", 6).alias("similarity"), "boundary")
+    return _marked(spark, sf).select(*SESSION, "turn_idx", "similarity", "boundary")
 
 
 def segment(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,8 +33,9 @@ def segment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def segment_text(spark: SparkSession, sf: str) -> DataFrame:
-    marked = _marked(spark, sf).select(*SESSION, "pos", "role", "content", "dia_id")
-    runs = S.segments(_marked(spark, sf), SESSION).withColumn("pos", F.explode(F.sequence("start_pos", "end_pos")))
+    whole = cut(_marked(spark, sf).select(*SESSION, "pos", "role", "content", "dia_id", "boundary"))
+    marked = whole.drop("boundary")
+    runs = S.segments(whole, SESSION).withColumn("pos", F.explode(F.sequence("start_pos", "end_pos")))
     rows = runs.select(*SESSION, "segment", "pos").join(marked, [*SESSION, "pos"]).groupBy(*SESSION, "segment").agg(F.array_sort(F.collect_list(F.struct("pos", F.lower(F.trim("role")).alias("role"), "content", "dia_id"))).alias("t"))
     ids = F.array_join(F.filter(F.col("t")["dia_id"], lambda x: x.isNotNull()), ",")
     return rows.select(*SESSION, "segment", ids.alias("dia_ids"), dialogue_text(F.col("t")).alias("text"))
@@ -87,7 +89,7 @@ def hashed(source: str, key: str, text: str, name: str) -> str:
 {name} AS (SELECT {key}, i, x / n AS x FROM {name}_r JOIN {name}_n USING ({key}) WHERE n > 0)"""
 
 
-_PHRASES = "by the way|speaking of|on another note|also|however|anyway|actually|so|well|oh|let me change the subject"
+_PHRASES = "|".join(TRANSITIONS).lower()
 _TURNS = f"""tcur AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY sample_id, session_id, turn_idx
       ORDER BY ingested_at DESC, content DESC NULLS LAST, role DESC NULLS LAST) = 1),
 tp AS (SELECT *, row_number() OVER (PARTITION BY sample_id, session_id ORDER BY turn_idx) - 1 AS pos FROM tcur),
@@ -114,7 +116,7 @@ al AS (SELECT item_id, doc_id, chunk, coalesce(s, 0) AS s FROM (SELECT item_id,
 top AS (SELECT item_id, doc_id, chunk, round(s, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id, chunk)::INT AS rank FROM al QUALIFY rank <= 2)"""
 
 SQL = {
-    "boundary_detect": f"WITH {_TURNS} SELECT sample_id, session_id, turn_idx, round(sim, 6) AS similarity, boundary FROM m",
+    "boundary_detect": f"WITH {_TURNS} SELECT sample_id, session_id, turn_idx, sim AS similarity, boundary FROM m",
     "segment": f"WITH {_TURNS}, {_SEGMENTS} SELECT * FROM seg",
     "segment_text": f"""WITH {_TURNS}, {_SEGMENTS} SELECT sample_id, session_id, segment,
 coalesce(string_agg(dia_id, ',' ORDER BY pos), '') AS dia_ids,

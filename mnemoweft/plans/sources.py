@@ -116,11 +116,12 @@ def assign_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolve_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels of each segment among its topics, both in their order."""
     e = HashEmbedder(64)
     seg = table(spark, sf, "segments").groupBy("segment_id").agg(F.max("topic_ids").alias("topic_ids"), F.max("raw_labels").alias("raw_labels"))
-    names = seg.select(F.col("segment_id").alias("owner"), F.explode("raw_labels").alias("l")).select("owner", F.col("l.label").alias("name")).filter("name is not null").distinct()
+    names = seg.select(F.col("segment_id").alias("owner"), F.posexplode("raw_labels").alias("pos", "l")).select("owner", "pos", F.col("l.label").alias("name")).filter("name is not null")
     labels = current(spark, sf, "topics", ["topic_id", "label"]).filter("label is not null")
-    topics = seg.select(F.col("segment_id").alias("owner"), F.explode("topic_ids").alias("topic_id")).distinct().join(labels, "topic_id").select("owner", F.col("topic_id").alias("topic"), "label")
+    topics = seg.select(F.col("segment_id").alias("owner"), F.posexplode("topic_ids").alias("pos", "topic_id")).join(labels, "topic_id").select("owner", "pos", F.col("topic_id").alias("topic"), "label")
     found = A.resolve(names.withColumn("vector", e.encode(F.col("name"))), topics.withColumn("vector", e.encode(F.col("label"))))
     return found.select(F.col("owner").alias("segment_id"), F.array_join("topics", ",").alias("topics"))
 

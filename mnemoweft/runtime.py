@@ -42,10 +42,19 @@ def steady(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage (eager)."""
-    steady(df.sparkSession)
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared checkpoint folder and cut its lineage (eager).
+
+    A checkpoint keeps the estimated size of its plan, and a join's is the product of its inputs': through
+    a chain of joins and cuts the digits grow exponentially, and planning never ends.  An estimate
+    beyond 2^62 bytes is therefore dropped.
+    """
+    spark = steady(df.sparkSession)
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    execution = done._jdf.queryExecution()
+    if execution.optimizedPlan().stats().sizeInBytes() <= 1 << 62:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(execution.logical().rdd(), done._jdf.schema(), False), spark)
 
 
 def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
@@ -53,13 +62,14 @@ def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def parallelism(spark: SparkSession) -> int:
+def parallelism(spark: SparkSession, rows: int | None = None, per_task: int = 1_000_000) -> int:
     """Partitions for stages whose work is CPU and whose shuffled bytes are few.
 
-    AQE sizes partitions by bytes, which would leave such stages on one core.
+    AQE sizes partitions by bytes, which would leave such stages on one core.  Where the number of rows is
+    known there are as many as keep a task at per_task of them.
     """
     steady(spark)
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // per_task))
 
 
 def with_dense_codes(df: DataFrame, order: list, name: str = "code") -> DataFrame:

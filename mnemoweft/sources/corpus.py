@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BASE = "2023-05-01"  # default time of session n: this and n days
+#: Fixed value: the default time of session n is this and n days.
+BASE = "2023-05-01"
 #: The time formats of session headers.
 FORMATS = ["h:mm a 'on' d MMMM, yyyy", "h:mm a 'on' MMMM d, yyyy", "H:mm 'on' d MMMM, yyyy", "h:mm a 'on' d MMM, yyyy"]
 QA = "array<struct<question string, answer string, evidence array<string>, category int, adversarial_answer string>>"
 TURN = "array<struct<speaker string, dia_id string, text string, blip_caption string>>"
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """sample_id, conversation (map of JSON texts), qa of a file with one JSON array, or of one sample per line."""
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank holds a whole JSON object."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("v")).first()
+    if first is None or not first["v"].startswith("{"):
+        return False
+    try:
+        json.loads(first["v"])
+    except ValueError:
+        return False
+    return True
+
+
+def read_samples(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """sample_id, conversation (map of JSON texts), qa of files with one JSON array each, or of one sample per line.
+
+    Unless lines says so, the first line tells which.  Only files with a sample per line are split.
+    """
     schema = "sample_id string, conversation string, qa string"
-    lines = spark.read.schema(schema).option("multiLine", True).json(path)
-    return lines.select("sample_id", F.from_json("conversation", "map<string,string>").alias("conversation"), F.from_json("qa", QA).alias("qa"))
+    by_lines = _by_lines(spark, path) if lines is None else lines
+    read = spark.read.schema(schema).option("multiLine", not by_lines).json(path)
+    return read.select("sample_id", F.from_json("conversation", "map<string,string>").alias("conversation"), F.from_json("qa", QA).alias("qa"))
+
+
+def sample(samples: DataFrame, sample_id: str) -> DataFrame:
+    """The one sample of that id; an empty frame without it, one row also where it is repeated."""
+    return samples.filter(F.col("sample_id") == sample_id).limit(1)
 
 
 def parse_time(text: Column, default: Column) -> Column:

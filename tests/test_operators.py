@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -14,7 +15,7 @@ from mnemoweft.config import Settings
 from mnemoweft.operators import assign, assoc, dag, maintain, retrieve, search, segment
 from mnemoweft.operators.ppr import personalized_pagerank
 from mnemoweft.operators.search import items_above, nearest_items
-from mnemoweft.runtime import split_join, with_dense_codes, with_positions
+from mnemoweft.runtime import cut, split_join, with_dense_codes, with_positions
 from mnemoweft.sources import corpus
 from mnemoweft.sources.store import TableStore
 from mnemoweft.streaming.incremental import IncrementalAssociation, reinforce_onto
@@ -72,6 +73,8 @@ def test_search_in_many_blocks_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 2)
     monkeypatch.setattr(search, "ROWS", 8)
     monkeypatch.setattr(search, "HELD", 50)
+    monkeypatch.setattr(search, "PART", 16)
+    monkeypatch.setattr(search, "PRODUCTS", 40)
     r = np.random.default_rng(2)
     v, q = r.integers(-2, 3, (200, 4)).astype(float), r.standard_normal((7, 4))
     items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item int, vector array<double>")
@@ -79,8 +82,11 @@ def test_search_in_many_blocks_and_chunks(spark, monkeypatch):
     g = np.round(q @ v.T, 9)
     want = sorted((i, k + 1, j) for i in range(7) for k, j in enumerate(sorted(range(200), key=lambda j: (-g[i, j], j))[:5]))
     assert rows(nearest_items(items, asked, 5), "query", "rank", "item") == want
+    assert rows(items_above(items, asked, 2.0), "query", "item") == sorted((int(a), int(b)) for a, b in zip(*np.nonzero(g >= 2.0)))
+    monkeypatch.setattr(search, "BLOCK", 100)
+    assert rows(nearest_items(items, asked, 5), "query", "rank", "item") == want
     # the same in this process, where the small limits hold
-    scan = search._block_scan(pa.array(range(7)), q, 5, None, None)
+    scan = search._block_scan(pa.array(range(7)), q, 5, None)
     batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(v.tolist())], names=["item", "vector"])
     got = {(a, b) for out in scan([batch, batch.slice(0, 0)]) for a, b in zip(out[0].to_pylist(), out[1].to_pylist())}
     assert {(i, j) for i, _, j in want} <= got and len(got) < 7 * 60
@@ -108,8 +114,15 @@ def test_average_linkage(spark):
     points = [(r.random(), r.random()) for _ in ids]
     d = [[min(1.0, 2 * ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5) for b in points] for a in points]
     pairs = spark.createDataFrame([(ids[i], ids[j], float(d[i][j])) for i in range(24) for j in range(i + 1, 24)], "a string, b string, distance double")
-    got = {tuple(x.members): x.distance for x in dag.cluster_cuts(pairs, None, (0.5, 0.3, 0.2)).collect()}
-    assert got == naive_clusters(ids, d, (0.5, 0.3, 0.2))
+    want = naive_clusters(ids, d, (0.5, 0.3, 0.2))
+    for bound in (10**6, 9):
+        held = defaultdict(list)
+        for x in dag.cluster_cuts(pairs, (0.5, 0.3, 0.2), task_links=bound).collect():
+            held[x.cluster, x.distance].append(x.member)
+        assert {tuple(sorted(m)): c for (_, c), m in held.items()} == want
+    inner = {x.cluster: x.parent for x in dag.cluster_cuts(pairs, (0.5, 0.3, 0.2), nested=True).collect()}
+    assert set(inner.values()) - {None} <= set(inner) and all(p is None or int(p.split("+")[1]) > int(c.split("+")[1]) for c, p in inner.items())
+    assert dag.cluster_cuts(pairs.limit(0)).count() == 0
 
 
 def topics_frame(spark, data):
@@ -179,6 +192,9 @@ def test_reinforcement_in_one_and_in_many_batches(spark):
 def test_edges(spark):
     pairs = spark.createDataFrame([("a", "b", 4, 4, 40, 0.5), ("c", "d", 5, 10, 10, 0.5), ("e", "f", 9, 9, 9, 0.05)], "a string, b string, n_ab int, n_a int, n_b int, npmi double")
     assert rows(assoc.directed(pairs), "source", "target") == [("a", "b"), ("c", "d"), ("d", "c")]
+    typed = spark.createDataFrame([("a", "b", "zz", 1), ("a", "b", "causal", 2), ("a", "b", "co", 3)], "source string, target string, edge_type string, at int")
+    typed = typed.withColumns({c: F.lit(0.0) for c in ("npmi_mem", "llm_score", "npmi_temp")})
+    assert assoc.merge_edges(typed, at="at").first().edge_type == "causal" and assoc.merge_edges(typed).first().edge_type == "zz"
     e = spark.createDataFrame([("a", "b", "co", 0.5, None, 0.0), ("a", "b", "causal", 0.2, 0.9, float("nan")), ("a", "c", "co", 9.0, 9.0, 9.0)], "source string, target string, edge_type string, npmi_mem double, llm_score double, npmi_temp double")
     got = {r.target: r for r in assoc.merge_edges(e).collect()}
     assert got["b"].edge_type == "causal" and got["b"].weight == pytest.approx(0.4 * 0.5 + 0.4 * 0.9) and got["c"].weight == 1
@@ -198,9 +214,12 @@ def test_labels_match_and_group(spark):
     labels = topics_frame(spark, [("n1", " GARDEN care", [0.0, 1.0], None, []), ("n2", "chess club", [0.0, 1.0], None, []), ("n3", "far", [-1.0, 0.0], None, [])])
     assert rows(assign.match_labels(labels, t), "name", "topic", "exact") == [("n1", "t1", True), ("n2", "t2", False)]
     assert rows(assign.group_labels(t)) == [("t0", "t0"), ("t1", "t0"), ("t2", "t2")]
-    names = spark.createDataFrame([("o", "Chess", None), ("p", "none", [1.0, 0.0])], "owner string, name string, vector array<double>")
-    own = spark.createDataFrame([("o", "t2", "chess", None), ("o", "t1", "x", None), ("p", "t1", "x", [0.0, 1.0]), ("p", "t2", "y", None)], "owner string, topic string, label string, vector array<double>")
-    assert rows(assign.resolve(names, own)) == [("o", ["t2"]), ("p", ["t1", "t2"])]
+    names = spark.createDataFrame([("o", 0, "Chess", None), ("p", 0, "none", [1.0, 0.0]), ("q", 0, "y", None), ("q", 1, "x", None), ("q", 2, "Y", None)], "owner string, pos int, name string, vector array<double>")
+    data = [("o", 0, "t2", "chess", None), ("o", 1, "t1", "x", None), ("p", 0, "t2", "y", [0.0, 1.0]), ("p", 1, "t1", "x", None), ("q", 0, "t1", "x", None), ("q", 1, "t2", "y", None)]
+    own = spark.createDataFrame(data, "owner string, pos int, topic string, label string, vector array<double>")
+    assert rows(assign.resolve(names, own)) == [("o", ["t2"]), ("p", ["t2", "t1"]), ("q", ["t2", "t1"])]
+    keyed = labels.withColumn("key", F.lit("other"))
+    assert assign.match_labels(keyed, t.withColumn("key", F.lit("own")), keyed=True).count() == 0
 
 
 def test_memories_of_replies(spark):
@@ -215,6 +234,11 @@ def test_corpus(spark, tmp_path):
     qa = [{"question": "q", "answer": 2022, "evidence": ["D1:1"], "category": 1}, {"question": "r", "evidence": ["D4:1", "odd"], "category": 5}]
     (tmp_path / "c.json").write_text(json.dumps([{"sample_id": "s1", "conversation": conv, "qa": qa}]))
     samples = corpus.read_samples(spark, str(tmp_path / "c.json"))
+    line = json.dumps({"sample_id": "s1", "conversation": conv, "qa": qa})
+    (tmp_path / "lines.json").write_text("\n" + line + "\n" + line.replace('"s1"', '"s2"') + "\n" + line.replace('"s1"', '"s3"'))
+    assert rows(corpus.read_samples(spark, str(tmp_path / "lines.json")), "sample_id") == [("s1",), ("s2",), ("s3",)]
+    assert corpus.read_samples(spark, str(tmp_path / "lines.json"), lines=True).count() == 3
+    assert corpus.sample(samples, "s1").count() == 1 and corpus.sample(samples, "no").count() == 0
     assert rows(corpus.sessions(samples), "n") == [(1,)] and rows(corpus.sessions(samples, stop_at_gap=False), "n") == [(1,), (4,)]
     turns = corpus.flatten(corpus.sessions(samples, stop_at_gap=False)).orderBy("session_id", "turn_idx").collect()
     assert [t.content for t in turns] == ["text 1", "text 2 [shares image: a cat]", "text 1"]
@@ -265,3 +289,48 @@ def test_queries_of_another_size_do_not_hide_the_others(spark):
     asked = spark.createDataFrame([(0, []), (1, [1.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "query int, qv array<double>").coalesce(1)
     assert rows(nearest_items(items, asked, 1), "query", "item") == [(2, 1), (3, 2)]
     assert rows(items_above(items, asked, 0.5), "query", "item") == [(2, 1), (3, 2)]
+
+
+def test_similar_topics_without_vectors_and_below_any_bound(spark):
+    t = topics_frame(spark, [("a", "red fox", None, None, ["k"]), ("b", "red fox", None, None, ["k"]), ("c", "blue", [1.0, 0.0], None, []), ("d", None, [-1.0, 0.0], [0.0, 1.0], None)])
+    got = {(r.a, r.b): r.similarity for r in dag.similar_topics(t, t, 0.3).filter("a < b").collect()}
+    assert got == {("a", "b"): pytest.approx(0.4)}
+    every = {(r.a, r.b): r.similarity for r in dag.similar_topics(t, t, -2.0).filter("a < b").collect()}
+    assert len(every) == 6 and every["c", "d"] == pytest.approx(-0.6)
+    x = F.struct(*t.columns)
+    same = t.select(F.col("topic").alias("a"), x.alias("x")).crossJoin(t.select(F.col("topic").alias("b"), x.alias("y"))).filter("a < b")
+    assert {(r.a, r.b): r.s for r in same.select("a", "b", dag.topic_similarity("x", "y").alias("s")).collect()} == pytest.approx(every)
+
+
+def test_cooccurrence_of_a_large_memory(spark):
+    members = spark.createDataFrame([("m", f"t{k:03}") for k in range(50)] + [("n", "t001"), ("n", "t002"), ("o", "t003")], "memory string, topic string")
+    got = {(r.a, r.b): r.n_ab for r in assoc.cooccurrences(members, block=7).collect()}
+    assert len(got) == 50 * 49 // 2 and got["t001", "t002"] == 2 and got["t001", "t003"] == 1
+    assert got == {(r.a, r.b): r.n_ab for r in assoc.cooccurrences(members).collect()}
+
+
+def test_split_and_merge_topics(spark):
+    t = topics_frame(spark, [("a", "x", [1.0], None, ["k"]), ("b", "y", [1.0], None, ["m"]), ("c", "z", [1.0], None, None)]).withColumn("is_virtual", F.lit(False))
+    links = spark.createDataFrame([("r", "a"), ("r", "b"), ("b", "c")], "parent string, child string")
+    members = spark.createDataFrame([("b", k) for k in range(5)] + [("a", 9)], "topic string, memory int")
+    topics, now, held = dag.split_topics(t, links, members, t.filter("topic = 'b'"), ["memory"])
+    assert rows(topics, "topic") == [("a",), ("b/1",), ("b/2",), ("c",)]
+    assert rows(now) == [("b/1", "c"), ("b/2", "c"), ("r", "a"), ("r", "b/1"), ("r", "b/2")]
+    assert rows(held, "topic", "memory") == [("a", 9), ("b/1", 0), ("b/1", 1), ("b/2", 2), ("b/2", 3), ("b/2", 4)]
+    topics, now, held = dag.merge_topics(t, links, members, spark.createDataFrame([("b", "a")], "topic string, into string"))
+    assert rows(topics, "topic", "keywords") == [("a", ["k", "m"]), ("c", None)] or {r.topic: r.keywords for r in topics.collect()} == {"a": ["k", "m"], "c": None}
+    assert rows(now) == [("a", "c"), ("r", "a")] and held.filter("topic = 'a'").count() == 6
+
+
+def test_drift_of_keys_on_one_side(spark):
+    side = lambda data: spark.createDataFrame(data, "k string, v string")
+    got = {r.k: r.jsd for r in dag.drift(side([("a", "x"), ("b", "x")]), side([("a", "x"), ("c", "y")]), ["k"], "v").collect()}
+    assert got == {"a": pytest.approx(0.0, abs=1e-9), "b": pytest.approx(0.6931, abs=1e-3), "c": pytest.approx(0.6931, abs=1e-3)}
+
+
+def test_estimates_do_not_grow_through_cuts(spark):
+    df = spark.createDataFrame([(k, k) for k in range(3)], "a int, b int")
+    for _ in range(7):
+        df = cut(df.join(df.withColumnRenamed("b", "c"), "a").select("a", "b"))
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+    assert df.count() == 3
