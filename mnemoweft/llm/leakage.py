@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoweft.runtime import cut
+from mnemoweft.runtime import bounded, cut, split_join
 
 _ESCAPE = re.compile(r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])')
 _CONTROL = {"b": " ", "f": " ", "n": "\n", "r": "\n", "t": "\t"}
@@ -76,21 +75,27 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
 
 
-class _Known:
-    """Which of many hashes are in a set: a bit table for most of them, a sorted array for the rest."""
+BITS = 26  # of the largest bit table, 8 MB; with more shingles it lets more through and stays right
 
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.unique(hashes)
-        self.bits = max(16, int(len(self.sorted) * 16).bit_length())
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(self.sorted >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of those in the set, and their index in it."""
-        at = np.flatnonzero(self.table[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.sorted, hashes[at]), max(0, len(self.sorted) - 1))
-        hit = self.sorted[k] == hashes[at] if len(self.sorted) else np.zeros(0, bool)
-        return at[hit], k[hit]
+def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash in a bit table."""
+    h = hashes.astype(np.uint64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64), ((h * _BASE) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bit_words(bits: int):
+    """Shingles to the words of the bit table they set, combined per task."""
+
+    def run(batches):
+        table = np.zeros(1 << (bits - 6), np.uint64)
+        for batch in batches:
+            for at in _slots(batch.column(0).to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(table, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        k = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(table[k].view(np.int64))], names=["word", "bits"])
+
+    return run
 
 
 def _chunks(texts: list[str], most: int = 2_000_000):
@@ -105,76 +110,125 @@ def _chunks(texts: list[str], most: int = 2_000_000):
         yield s, len(texts)
 
 
-def _hits(squashed: list[str], known: _Known, q: int):
-    """(text, position in it, index of the shingle) of the known shingles of some texts."""
-    for s, e in _chunks(squashed):
-        lengths = np.array([len(t) for t in squashed[s:e]])
-        ends = np.cumsum(lengths)
-        at, k = known.find(shingle_hashes(_codes(squashed[s:e]), q))
-        doc = np.searchsorted(ends, at, side="right")
-        fits = at + q <= ends[doc] if len(at) else np.zeros(0, bool)
-        yield doc[fits] + s, (at - (ends - lengths)[doc])[fits] if len(at) else at, k[fits]
+def _texts(n_words: int):
+    """(item, text) to (item, words): normalised, those of at least n_words."""
 
+    def run(batches):
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            rows = [k for k, w in enumerate(words) if len(w) >= n_words]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([" ".join(words[k]) for k in rows], pa.string())], names=["item", "words"])
+
+    return run
+
+
+def _shortest(n_words: int):
+    """Least length of a window, and the characters, of the texts of a task."""
+
+    def run(batches):
+        least, chars = None, 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                ends = np.cumsum([0, *map(len, t.split(" "))])
+                short = int((ends[n_words:] - ends[:-n_words]).min())
+                least = short if least is None else min(least, short)
+                chars += int(ends[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([chars], pa.int64())], names=["least", "chars"])
 
-def _scan(known: _Known, q: int):
-    """Rows (null, null, shingle, its documents here) and (id, words, null, null) of documents with any."""
+    return run
+
+
+def _shingles(q: int):
+    """(id, words) to (id, pos, shingle): all runs of q characters."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [w.replace(" ", "") for w in batch.column(1).to_pylist()]
+            for s, e in _chunks(texts):
+                found = [shingle_hashes(_codes([t]), q) for t in texts[s:e]]
+                n = [len(h) for h in found]
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(s, e), n)))
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int32()), pa.array(np.concatenate(found).view(np.int64))], names=["id", "pos", "shingle"])
+
+    return run
+
+
+def _scan(table: np.ndarray, bits: int, q: int, need: int):
+    """(doc, text) to (doc, words): the stretches of a document whose next `need` shingles may all be known."""
 
     def scan(batches):
         for batch in batches:
-            words = [" ".join(words_of(t)) for t in batch.column(1).to_pylist()]
-            squashed = [w.replace(" ", "") for w in words]
-            of, counts = set(), np.zeros(len(known.sorted), np.int64)
-            for doc, _, k in _hits(squashed, known, q):
-                pairs = np.unique(np.stack([doc, k]), axis=1)
-                np.add.at(counts, pairs[1], 1)
-                of.update(pairs[0].tolist())
-            rows = pa.array(sorted(of), pa.int64())
-            ids, kept, k = batch.column(0).take(rows), [words[i] for i in sorted(of)], np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids, pa.nulls(len(k), ids.type)]),
-                    pa.array(kept + [None] * len(k), pa.string()),
-                    pa.array([None] * len(kept) + k.tolist(), pa.int64()),
-                    pa.array([None] * len(kept) + counts[k].tolist(), pa.int64()),
-                ],
-                names=["doc", "words", "shingle", "n"],
-            )
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            texts = ["".join(w) for w in words]
+            docs, parts = [], []
+            for s, e in _chunks(texts):
+                h = shingle_hashes(_codes(texts[s:e]), q)
+                ends = np.cumsum([len(t) for t in texts[s:e]])
+                hit = np.zeros(len(h) + 1, np.int8)
+                first, second = _slots(h, bits)
+                hit[:-1] = table[first >> 6] >> (first & 63).astype(np.uint64) & table[second >> 6] >> (second & 63).astype(np.uint64) & np.uint64(1)
+                for k in range(1, q):  # runs across the end of a text do not count
+                    at = ends - k
+                    hit[at[(at >= 0) & (at < len(h))]] = 0
+                edge = np.diff(np.r_[np.int8(0), hit])
+                starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                long = stops - starts >= need
+                starts, stops = starts[long], stops[long] + q - 1
+                of = np.searchsorted(ends, starts, side="right")
+                for d in np.unique(of).tolist():
+                    begin = ends[d] - len(texts[s + d])
+                    borders = np.cumsum([0, *map(len, words[s + d])])
+                    for a, b in zip(starts[of == d] - begin, stops[of == d] - begin):
+                        i, j = int(np.searchsorted(borders, a)), int(np.searchsorted(borders, b, side="right")) - 1
+                        if i < j:
+                            docs.append(s + d)
+                            parts.append(" ".join(words[s + d][i:j]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(parts, pa.string())], names=["doc", "words"])
 
     return scan
 
 
-def _verify(anchors: dict[int, list[tuple[int, str, tuple[int, ...]]]], known: _Known, q: int, n_words: int):
-    """Rows (id, item number, windows found) of documents that hold a whole window of an item."""
+def _prefixes(n_words: int, q: int):
+    """(words, ranks: list of (pos, n, shingle)) to (window, shingle, offset) of windows all of whose shingles occur.
 
-    def verify(batches):
+    The shingle is the rarest of the window, the first of equals.
+    """
+
+    def run(batches):
         for batch in batches:
-            words = batch.column(1).to_pylist()
-            squashed = [w.replace(" ", "") for w in words]
-            found: dict[tuple[int, int], set[str]] = defaultdict(set)
-            for docs, at, k in _hits(squashed, known, q):
-                bounds: dict[int, set[int]] = {}
-                for d, p, a in zip(docs.tolist(), at.tolist(), k.tolist()):
-                    for offset, window, items in anchors[a]:
-                        s = p - offset
-                        e = s + len(window)
-                        if s < 0 or e > len(squashed[d]) or not squashed[d].startswith(window, s):
-                            continue
-                        if d not in bounds:
-                            bounds[d] = {0, *np.cumsum([len(w) for w in words[d].split(" ")]).tolist()}
-                        if s in bounds[d] and e in bounds[d]:
-                            for item in items:
-                                found[d, item].add(window)
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array([d for d, _ in rows], pa.int64())),
-                    pa.array([i for _, i in rows], pa.int64()),
-                    pa.array([len(found[r]) for r in rows], pa.int64()),
-                ],
-                names=["doc", "item", "n_windows"],
-            )
-
-    return verify
+            windows, shingles, offsets = [], [], []
+            for text, ranks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = text.split(" ")
+                ends = np.cumsum([0, *map(len, words)])
+                count, name = np.zeros(max(0, int(ends[-1]) - q + 1), np.int64), np.zeros(max(0, int(ends[-1]) - q + 1), np.int64)
+                for r in ranks:
+                    count[r["pos"]], name[r["pos"]] = r["n"], r["shingle"]
+                for k in range(len(words) - n_words + 1):
+                    a, b = int(ends[k]), int(ends[k + n_words]) - q + 1
+                    if count[a:b].all():
+                        at = a + int(np.argmin(count[a:b]))
+                        windows.append("".join(words[k : k + n_words]))
+                        shingles.append(int(name[at]))
+                        offsets.append(at - a)
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(shingles, pa.int64()), pa.array(offsets, pa.int32())], names=["window", "shingle", "offset"])
+
+    return run
+
+
+def _verify(batches):
+    """(doc, words, start, window) to (doc, window) where the window stands there, between borders of words."""
+    for batch in batches:
+        rows = []
+        held, borders, squashed = None, set(), ""
+        for k, (words, start, window) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+            if words != held:
+                held, squashed = words, words.replace(" ", "")
+                borders = {0, *np.cumsum([len(w) for w in words.split(" ")]).tolist()}
+            if start in borders and start + len(window) in borders and squashed.startswith(window, start):
+                rows.append(k)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at)], names=["doc", "window"])
 
 
 def leaks(
@@ -187,7 +241,6 @@ def leaks(
     fields: tuple[str, ...] = ("question", "context"),
     n_words: int = 12,
     q: int = 24,
-    block_chars: int = 2_000_000,
 ) -> DataFrame:
     """doc_id, item_id, n_windows: documents that hold n_words consecutive words of a field of an item.
 
@@ -197,55 +250,61 @@ def leaks(
     texts and fields, items of fewer words, null ids and empty tables give no rows.  Further columns are
     not read; the result's columns always have the two id columns' names.
 
-    Method: every window of an item must be in the document as a whole, so one of its shingles (q
-    characters) suffices as prefix.  A first pass counts, over all documents, those that hold each shingle
-    of the items and keeps the normalised documents with any; each window's rarest shingle becomes its
-    prefix token; a second pass joins these with the kept documents, bounds the position and the length
-    and verifies the whole window.  The items are broadcast in blocks of block_chars characters, whose
-    number grows with the items: documents are read once per block.
+    Method: every window of an item must be in the document as a whole, so all its shingles (q characters)
+    are, one after the other.  A bit table of the shingles of all items, of at most 2^BITS bits whatever their
+    number, goes over the documents in their only pass: only stretches with as many consecutive hits as the
+    shortest window has shingles are kept.  Shingles are then counted in these; each window's rarest
+    becomes its prefix token, which is joined with the stretches' shingles, bounds the position and the
+    length, and the whole window is verified there.
     """
     spark = documents.sparkSession
     docs = documents.filter(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("doc"), F.col(text).alias("text"))
     kind, item_kind = dict(docs.dtypes)["doc"], dict(items.dtypes)[item]
-    listed = items.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)])
-    chars = sum((F.coalesce(F.length(f"f{k}"), F.lit(0)) for k in range(len(fields))), F.lit(0))
-    blocks = max(1, -(-int(listed.agg(F.sum(chars)).first()[0] or 0) // block_chars))
-    out = None
-    for b in range(blocks):
-        rows = listed.filter(F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(blocks)) == b).collect()
-        ids = sorted({r["item"] for r in rows}, key=str)
-        number = {v: k for k, v in enumerate(ids)}
-        windows: dict[str, set[int]] = defaultdict(set)
-        for r in rows:
-            for f in range(len(fields)):
-                w = words_of(r[f"f{f}"])
-                for s in range(len(w) - n_words + 1):
-                    windows["".join(w[s : s + n_words])].add(number[r["item"]])
-        if not windows:
-            continue
-        texts = sorted(windows)
-        size = min(q, min(map(len, texts)))
-        hashes = [shingle_hashes(_codes([t]), size) for t in texts]
-        known = _Known(np.concatenate(hashes))
-        seen = cut(docs.mapInArrow(_scan(known, size), f"doc {kind}, words string, shingle long, n long"))
-        frequency = np.zeros(len(known.sorted), np.int64)
-        # one row per shingle of the block, whatever the number of documents
-        for r in seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).collect():
-            frequency[r["shingle"]] = r["n"]
-        anchors: dict[int, list] = defaultdict(list)
-        for t, h in zip(texts, hashes):
-            k = np.searchsorted(known.sorted, h)
-            p = int(np.argmin(frequency[k]))
-            if frequency[k[p]]:
-                anchors[known.sorted[k[p]]].append((p, t, tuple(sorted(windows[t]))))
-        if not anchors:
-            continue
-        prefix = _Known(np.array(list(anchors), np.uint64))
-        by_index = {int(np.searchsorted(prefix.sorted, h)): v for h, v in anchors.items()}
-        kept = seen.filter("doc is not null").select("doc", "words")
-        found = kept.mapInArrow(_verify(by_index, prefix, size, n_words), f"doc {kind}, item long, n_windows long")
-        names = spark.createDataFrame([(k, v) for v, k in number.items()], f"item long, __name {item_kind}")
-        part = found.groupBy("doc", "item").agg(F.max("n_windows").alias("n_windows")).join(names, "item")
-        part = part.select(F.col("doc").alias(id), F.col("__name").alias(item), "n_windows")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"{id} {kind}, {item} {item_kind}, n_windows long")
+    flat = items.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.explode(F.array(*[F.col(f) for f in fields])).alias("text"))
+    none = spark.createDataFrame([], f"{id} {kind}, {item} {item_kind}, n_windows long")
+    owners = cut(flat.filter("text is not null").mapInArrow(_texts(n_words), f"item {item_kind}, words string").distinct())
+    texts = cut(owners.select("words").distinct()).withColumn("id", F.monotonically_increasing_id())
+    size = texts.select("words").mapInArrow(_shortest(n_words), "least long, chars long").agg(F.min("least").alias("least"), F.sum("chars").alias("chars")).first()
+    if size["least"] is None:
+        return none
+    width = min(q, size["least"])
+    bits = min(BITS, max(12, int(size["chars"] * 16).bit_length()))
+    known = cut(texts.select("id", "words").mapInArrow(_shingles(width), "id long, pos int, shingle long"))
+    # at most 2^BITS / 64 numbers, whatever the items
+    words = known.select("shingle").mapInArrow(_bit_words(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    parts = cut(docs.mapInArrow(_scan(table, bits, width, size["least"] - width + 1), f"doc {kind}, words string")).withColumn("id", F.monotonically_increasing_id())
+    hits = cut(parts.select("id", "words").mapInArrow(_shingles(width), "id long, pos int, shingle long"))
+    counts = hits.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranks = known.join(counts, "shingle").groupBy("id").agg(F.collect_list(F.struct("pos", "n", "shingle")).alias("ranks"))
+    windows = texts.join(ranks, "id").select("words", "ranks").mapInArrow(_prefixes(n_words, width), "window string, shingle long, offset int").distinct()
+    tokens = windows.groupBy("shingle").agg(F.collect_list(F.struct("window", "offset")).alias("w"))
+    tokens = cut(tokens.join(counts, "shingle"))
+    total = tokens.agg(F.sum("n")).first()[0]
+    if not total:
+        return none
+    met = split_join(hits, tokens, "shingle", "n", total).select("id", "pos", F.explode("w").alias("w"))
+    places = met.select("id", (F.col("pos") - F.col("w.offset")).alias("start"), "w.window").filter("start >= 0")
+    asked = places.join(parts, "id").filter(F.length(F.replace("words", F.lit(" "))) >= F.col("start") + F.length("window"))
+    found = asked.select("doc", "words", "start", "window").mapInArrow(_verify, f"doc {kind}, window string").distinct()
+    of = owners.select("item", "words").mapInArrow(_owned(n_words), f"item {item_kind}, window string").distinct()
+    wanted = tokens.select(F.explode("w.window").alias("window")).distinct()
+    named = found.join(bounded(cut(of.join(wanted, "window", "left_semi")), 200_000), "window")
+    return named.groupBy("doc", "item").agg(F.count("*").alias("n_windows")).select(F.col("doc").alias(id), F.col("item").alias(item), "n_windows")
+
+
+def _owned(n_words: int):
+    """(item, words) to (item, window)."""
+
+    def run(batches):
+        for batch in batches:
+            rows, windows = [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                words = t.split(" ")
+                for s in range(len(words) - n_words + 1):
+                    rows.append(k)
+                    windows.append("".join(words[s : s + n_words]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(windows, pa.string())], names=["item", "window"])
+
+    return run

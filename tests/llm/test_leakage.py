@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemoweft.llm.leakage import leaks, shingle_hashes, words_of
 
@@ -38,7 +39,7 @@ CLEAN = [
 ]
 
 
-@pytest.mark.parametrize("kw", [{}, {"q": 5}, {"block_chars": 100}])
+@pytest.mark.parametrize("kw", [{}, {"q": 5}])
 def test_disguises_are_found_and_others_not(spark, kw):
     docs = list(enumerate(DISGUISED)) + [(100 + k, t) for k, t in enumerate(CLEAN)] + [(None, ITEM), (0, ITEM)]
     items = [(1, ITEM, None), (2, None, "entirely other words that never come up in any of these documents at all today"), (3, "too short", ""), (None, ITEM, ITEM), (1, ITEM, None)]
@@ -81,3 +82,37 @@ def test_rolling_hashes():
     h = shingle_hashes(codes, 3)
     assert len(h) == 6 and h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 4
     assert len(shingle_hashes(codes, 9)) == 0
+
+
+def test_many_items_and_one_pass_over_the_documents(spark, tmp_path):
+    r = np.random.default_rng(6)
+    names = [f"{a}{b}" for a in "badefigoku" for b in ("ran", "mol", "tis", "ven", "quo", "lar", "pes", "dun")]
+    items = [(k, " ".join(r.choice(names, 14)), " ".join(r.choice(names, 40))) for k in range(400)]
+    docs = [(k, " ".join(r.choice(names, 60))) for k in range(300)]
+    want = set()
+    for k in range(0, 300, 3):  # a third of the documents holds one passage
+        docs[k] = (k, docs[k][1] + ". " + items[0][2].title())
+        want.add((k, 0))
+    for k in range(1, 300, 10):
+        words = items[k][2].split()
+        docs[k] = (k, docs[k][1] + " " + " ".join(words[5:17]) + " " + docs[k][1])
+        want.add((k, k))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    read = spark.sparkContext.accumulator(0)
+    df = spark.read.parquet(str(tmp_path / "d")).select("doc_id", F.col("text"))
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = {(x.doc_id, x.item_id) for x in leaks(df.mapInArrow(counted, df.schema), spark.createDataFrame(items, "item_id long, question string, context string")).collect()}
+    assert got == want and read.value == 300
+
+
+def test_a_full_bit_table_stays_right(spark, monkeypatch):
+    monkeypatch.setattr("mnemoweft.llm.leakage.BITS", 12)
+    words = [[f"w{(k * 31 + j * 7) % 997}" for j in range(40)] for k in range(200)]
+    items = [(k, " ".join(w), None) for k, w in enumerate(words)]
+    want = [(1, k) for k, w in enumerate(words) if any("".join(w[s : s + 12]) in "".join(words[5]) for s in range(29))]
+    assert run(spark, [(1, "x " + items[5][1]), (2, "nothing of the kind " * 20)], items) == want
