@@ -98,8 +98,8 @@ def cooccurrence(records: DataFrame, record: str, items: str, min_count: int = 1
     every record holds both.
 
     Method: items get dense codes, a basket becomes packed codes (a << 32 | b), sorted runs with
-    counts are spilled, merged by Spark's external sort and run-length counted.  A basket of more
-    than `block` items is split into pairs of blocks that are spread over the tasks.
+    counts are spilled, merged by Spark's external sort and run-length counted.  The items of a basket of
+    more than `block` are dealt to blocks of about that many, and pairs of blocks are spread over the tasks.
     """
     base = records.filter(F.col(record).isNotNull()).select(
         F.col(record).alias("r"),
@@ -107,32 +107,24 @@ def cooccurrence(records: DataFrame, record: str, items: str, min_count: int = 1
     )
     base = cut(base)
     total = base.count()
-    flat = base.select("r", F.explode("xs").alias("item"))
+    flat = base.select("r", F.greatest(F.lit(1), F.ceil(F.size("xs") / block)).cast("int").alias("blocks"), F.explode("xs").alias("item"))
     counted = flat.groupBy("item").agg(F.count("*").alias("n_item")).filter(F.col("n_item") >= min_count)
     codes = with_dense_codes(counted, ["item"])
     stats = codes.agg(F.sum("n_item").alias("s"), F.count("*").alias("c")).first()
     if stats["c"] >= 1 << 31:
         raise ValueError("more than 2^31 different items do not fit packed pair codes")
-    coded = split_join(flat, codes, "item", "n_item", stats["s"] or 0)
-    baskets = (
-        coded.groupBy("r")
-        .agg(F.collect_list(F.col("code").cast("int")).alias("c"))
-        .filter(F.size("c") > 1)
-        .select("c")
-    )
-    none = F.array().cast("array<int>")
-    small = baskets.filter(F.size("c") <= block).select(F.col("c").alias("x"), none.alias("y"))
-    chunks = F.expr(f"transform(sequence(0, cast(ceil(size(c) / {block}) as int) - 1), k -> slice(c, k * {block} + 1, {block}))")
-    large = (
-        baskets.filter(F.size("c") > block)
-        .select(chunks.alias("k"))
-        .select("k", F.posexplode("k").alias("i", "x"))
-        .select("x", F.explode(F.expr("slice(k, i + 1, size(k))")).alias("y"), "i", "k")
-        .select("x", F.when(F.col("y") == F.col("x"), none).otherwise(F.col("y")).alias("y"))
-        .repartition(parallelism(records.sparkSession))
-    )
+    coded = split_join(flat, codes, "item", "n_item", stats["s"] or 0).select("r", "blocks", F.col("code").cast("int").alias("code"))
+    # items are dealt to blocks before anything of a basket is collected
+    own = coded.withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("r", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "code")
+    side = lambda end: F.collect_list(F.when(F.col("own") == F.col(end), F.col("code")))
+    inside = F.col("lo") == F.col("hi")
+    both = cells.groupBy("r", "lo", "hi").agg(side("lo").alias("x"), side("hi").alias("z"))
+    both = both.filter(F.when(inside, F.size("x") > 1).otherwise((F.size("x") > 0) & (F.size("z") > 0)))
+    baskets = both.select("x", F.when(inside, F.array().cast("array<int>")).otherwise(F.col("z")).alias("y"))
     n = parallelism(records.sparkSession)
-    runs = small.unionByName(large).mapInArrow(_spill_runs, "pair long, n_ab long")
+    runs = baskets.mapInArrow(_spill_runs, "pair long, n_ab long")
     pairs = (
         runs.repartition(n, "pair")
         .sortWithinPartitions("pair")

@@ -44,3 +44,11 @@ def test_every_record_and_none(spark):
 
 def test_npmi_is_one_for_items_that_only_meet(spark):
     assert run(spark, [("a", ["x", "y"]), ("b", ["z"])])["x", "y"].npmi == pytest.approx(1)
+
+
+def test_one_large_basket_is_dealt_to_blocks(spark):
+    data = [("big", [f"i{k:04}" for k in range(1500)])] + [(f"m{k}", ["i0000", "i0001"]) for k in range(5)]
+    df = spark.createDataFrame(data, "id string, xs array<string>")
+    got = cooccurrence(df, "id", "xs", block=100)
+    assert got.count() == 1500 * 1499 // 2
+    assert [r.n_ab for r in got.filter("item_a = 'i0000' and item_b = 'i0001'").collect()] == [6]
