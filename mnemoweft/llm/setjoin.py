@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoweft.runtime import cut, iter_groups, parallelism, split_join, with_dense_codes
+from mnemoweft.runtime import bounded, cut, iter_groups, parallelism, split_join, with_dense_codes
 
 EPS = 1e-9
 
@@ -59,18 +59,23 @@ def merge_lists(lists: list[list[int]], need: int):
                 heapq.heappush(heap, (short[k][j], k, j))
 
 
-def _join_group(token: int, rids, sides, blocks, sets, threshold: float, two: bool, crossing: bool):
-    """Pairs of a group whose rarest common token is `token`: (rid, rid, overlap)."""
+def _join_group(token: int, second: int, rids, sides, blocks, sets, threshold: float, two: bool, crossing: bool, lone: bool):
+    """Pairs whose rarest common token is `token` (and the next `second`, if not -1): (rid, rid, overlap).
+
+    With lone only pairs that have no other token in common.
+    """
     order = sorted(range(len(rids)), key=lambda k: (len(sets[k]), rids[k]))
     lists: dict[int, list[int]] = defaultdict(list)
     tails, firsts, sizes = [], [], []
+    known = 1 if second < 0 else 2
     for at, k in enumerate(order):
         s = sets[k]
-        here = bisect_left(s, token)
+        here = bisect_left(s, token if second < 0 else second)
         tail, size = s[here + 1 :], len(s)
-        least = math.ceil(threshold * size - EPS)  # of any partner's size
+        head = s[:here] if second < 0 else [t for t in s[:here] if t != token]
+        least = math.ceil(threshold * size - EPS)  # of any partner's size, and of the common tokens
         start = bisect_left(sizes, least)
-        need = math.ceil(threshold * size - EPS) - 1  # common tokens after this one, at least
+        need = least - known
         if need <= 0:
             found = ((p, None) for p in range(start, at))
         else:
@@ -80,21 +85,23 @@ def _join_group(token: int, rids, sides, blocks, sets, threshold: float, two: bo
                 if v and (i := bisect_left(v, start)) < len(v):
                     cut_lists.append(v[i:] if i else v)
             found = merge_lists(cut_lists, need) if len(cut_lists) >= need else ()
-        head = set(s[:here])
+        before = set(head)
         for p, n in found:
             o = order[p]
             if two and sides[o] == sides[k] or crossing and blocks[o] == blocks[k]:
                 continue
             if n is None:
                 n = len(set(tail) & set(tails[p]))
-            overlap = n + 1
-            if overlap * (1 + threshold) < threshold * (size + sizes[p]) - EPS or not head.isdisjoint(firsts[p]):
+            overlap = n + known
+            if overlap * (1 + threshold) < threshold * (size + sizes[p]) - EPS or not before.isdisjoint(firsts[p]):
+                continue
+            if lone and overlap > 1:  # pairs with more in common meet at their second token
                 continue
             yield rids[k], rids[o], overlap
         for t in tail:
             lists[t].append(at)
         tails.append(tail)
-        firsts.append(s[:here])
+        firsts.append(head)
         sizes.append(size)
 
 
@@ -109,13 +116,13 @@ def _join(threshold: float, two: bool):
             held.clear()
             return pa.RecordBatch.from_arrays(cols, names=names)
 
-        for g in iter_groups(batches, ["token", "i", "j"]):
+        for g in iter_groups(batches, ["token", "second", "i", "j"]):
             if g.num_rows < 2:
                 continue
             g = g.combine_chunks()
             col = {c: g[c].to_pylist() for c in ("rid", "side", "block", "codes")}
-            token, crossing = g["token"][0].as_py(), g["i"][0].as_py() != g["j"][0].as_py()
-            for pair in _join_group(token, col["rid"], col["side"], col["block"], col["codes"], threshold, two, crossing):
+            token, second, i, j, lone = (g[c][0].as_py() for c in ("token", "second", "i", "j", "lone"))
+            for pair in _join_group(token, second, col["rid"], col["side"], col["block"], col["codes"], threshold, two, i != j, lone):
                 held.append(pair)
                 if len(held) >= 50_000:
                     yield out()
@@ -132,15 +139,19 @@ class SimilarSets:
     members: DataFrame
     pairs: DataFrame
 
-    def expanded(self) -> DataFrame:
-        """id_a < id_b, overlap, jaccard of all pairs, those of equal sets too."""
+    def expanded(self, part: int = 2_000) -> DataFrame:
+        """id_a < id_b, overlap, jaccard of all pairs, those of equal sets too.
+
+        A class of many records is dealt to parts of that many and paired part by part.
+        """
         m = self.members
         a = m.select(F.col("class_id").alias("class_a"), F.col("id").alias("a"))
         b = m.select(F.col("class_id").alias("class_b"), F.col("id").alias("b"))
         apart = self.pairs.join(a, "class_a").join(b, "class_b").select("a", "b", "overlap", "jaccard")
-        several = self.classes.filter("copies > 1").select("class_id", F.col("size").cast("long").alias("overlap"))
-        mates = m.join(several, "class_id")
-        same = mates.select("class_id", F.col("id").alias("a"), "overlap").join(m.select("class_id", F.col("id").alias("b")), "class_id")
+        several = self.classes.filter("copies > 1").select("class_id", F.col("size").cast("long").alias("overlap"), F.ceil(F.col("copies") / part).cast("int").alias("parts"))
+        mates = m.join(several, "class_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        first = mates.select("class_id", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"), F.col("id").alias("a"), "overlap")
+        same = first.join(mates.select("class_id", F.col("own").alias("to"), F.col("id").alias("b")), ["class_id", "to"])
         both = apart.unionByName(same.filter("a < b").select("a", "b", "overlap", F.lit(1.0).alias("jaccard")))
         return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "overlap", "jaccard").filter("id_a < id_b")
 
@@ -168,8 +179,9 @@ def similar_sets(
     Method: tokens are numbered from rare to common; a record goes to the inverted lists of the
     tokens in its prefix (similar sets share one), where T-occurrence merging finds the records that
     share enough tokens; a pair counts in the group of its rarest common token.  A token of more than
-    group_rows records is split into blocks of them and joined by pairs of blocks.  Tokens that stand in
-    one prefix only are dropped, as no pair needs them.
+    group_rows records is divided by the next token that a pair must share, too, and pairs that share no
+    other are joined apart; what still is larger is split into blocks and joined by pairs of blocks.
+    Tokens that stand in one prefix only are dropped, as no pair needs them.
     """
     spark = records.sparkSession
     two = other is not None
@@ -190,21 +202,32 @@ def similar_sets(
         .join(classes.select("class_id", "side"), "class_id")
         .select(F.col("class_id").alias("rid"), "side", "codes")
     )
-    length = F.size("codes") - F.ceil(F.size("codes") * threshold - EPS) + 1
-    placed = sets.select("rid", "side", "codes", F.explode(F.slice("codes", F.lit(1), length.cast("int"))).alias("token"))
+    required = F.ceil(F.size("codes") * threshold - EPS).cast("int")
+    length = F.size("codes") - required + 1
+    placed = sets.select("rid", "side", "codes", required.alias("required"), F.posexplode(F.slice("codes", F.lit(1), length)).alias("at", "token"))
     crowd = cut(placed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
-    split = F.ceil(F.col("n") / group_rows).cast("int")
     weight = crowd.agg(F.sum("n")).first()[0] or 0
+    met = split_join(placed, crowd, "token", "n", weight)
+    none = F.lit(-1).cast("long")
+    fields = ["token", "second", "lone", "rid", "side", "codes"]
+    few = met.filter(F.col("n") <= group_rows).select("token", none.alias("second"), F.lit(False).alias("lone"), "rid", "side", "codes")
+    many = met.filter(F.col("n") > group_rows)
+    # the next tokens, one further than the prefix: sets with two tokens in common share two there
+    after = F.slice("codes", F.col("at") + 2, F.greatest(F.size("codes") - F.col("required") + 1 - F.col("at"), F.lit(0)))
+    pairs_of = many.select("token", F.explode(after).alias("second"), F.lit(False).alias("lone"), "rid", "side", "codes")
+    lone = many.filter("required = 1").select("token", none.alias("second"), F.lit(True).alias("lone"), "rid", "side", "codes")
+    crowded = cut(pairs_of.unionByName(lone).groupBy("token", "second").agg(F.count("*").alias("n")).filter("n > 1"))
+    crowded = crowded.withColumn("blocks", F.ceil(F.col("n") / group_rows).cast("int")).drop("n")
+    split = pairs_of.unionByName(lone).join(bounded(crowded, 100_000), ["token", "second"])
     grouped = (
-        split_join(placed, crowd, "token", "n", weight)
-        .withColumn("blocks", split)
+        few.withColumn("blocks", F.lit(1)).unionByName(split.select(*fields, "blocks"))
         .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "rid", "side", "block", "codes")
+        .select("token", "second", "lone", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "rid", "side", "block", "codes")
     )
     found = (
-        grouped.repartition(parallelism(spark), "token", "i", "j")
-        .sortWithinPartitions("token", "i", "j")
+        grouped.repartition(parallelism(spark, weight), "token", "second", "i", "j")
+        .sortWithinPartitions("token", "second", "i", "j")
         .mapInArrow(_join(threshold, two), "x long, y long, overlap long")
     )
     size = classes.select("class_id", "size")

@@ -31,7 +31,7 @@ def sample(seed, n=90):
     return data + [("nul", None), ("emp", []), ("bad", [None, "", " "]), (None, ["c1"]), ("t000", data[0][1]), ("dup", data[0][1] + data[0][1])]
 
 
-@pytest.mark.parametrize(("seed", "t", "least", "rows"), [(1, 0.6, 4, 2000), (2, 0.8, 1, 5), (3, 0.3, 1, 2000), (4, 1.0, 2, 7)])
+@pytest.mark.parametrize(("seed", "t", "least", "rows"), [(1, 0.6, 4, 2000), (2, 0.8, 1, 5), (3, 0.3, 1, 2000), (3, 0.3, 1, 6), (6, 0.45, 1, 3), (4, 1.0, 2, 7)])
 def test_brute_force(spark, seed, t, least, rows):
     data = sample(seed)
     df = spark.createDataFrame([(i, xs, "clash", 1) for i, xs in data], "id string, xs array<string>, token string, class_id int")
@@ -71,3 +71,14 @@ def test_merge_lists():
         need = r.randrange(1, len(lists) + 1)
         want = {v: n for v in range(30) if (n := sum(v in x for x in lists)) >= need}
         assert dict(merge_lists(lists, need)) == want
+
+
+def test_a_token_of_a_third_of_all_records(spark):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    data = [(f"a{k:05}", ["hot", "warm"] + r.sample(words, 3)) for k in range(3000)]
+    data += [(f"b{k:05}", data[k][1][:4] + r.sample(words, 1)) for k in range(0, 3000, 10)]
+    df = spark.createDataFrame(data, "id string, xs array<string>")
+    got = {(x.id_a, x.id_b, x.overlap) for x in similar_sets(df, "id", "xs", 0.6, group_rows=100).expanded().collect()}
+    one = {(x.id_a, x.id_b, x.overlap) for x in similar_sets(df, "id", "xs", 0.6, group_rows=10**6).expanded().collect()}
+    assert got == one and len(got) >= 300
