@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from mnemoweft.operators.components import connected_components, smallest_labels
 from mnemoweft.runtime import cut, iter_groups, parallelism
 
+ROWS = 2_000_000  # places on curves that a task passes, some 100 MB sorted
 WANTED = 1_000_000  # 64-bit ids broadcast at most, some 16 MB
 BLOCK = 4_096  # different vectors of a group that a task compares with as many others, 25 MB
 
@@ -103,18 +104,14 @@ def _index(dim: int, p: Curves):
     return run
 
 
-def _windows(p: Curves, k: int | None, most: int):
-    """Pairs (collection, x, y) of each row and its k nearest sketches in the window around it.
-
-    Without k, as many pairs as tell which rows hang together by sketches that differ in at most
-    `most` bits.
-    """
+def _windows(p: Curves, most: int):
+    """Links (collection, x, y) that tell which rows of a window hang together by sketches that differ in at most `most` bits."""
     words = p.sketch_bits // 64
 
     def pairs(line, vid, sk, fresh):
         """fresh: rows before that position have met each other already."""
         n, w = len(vid), p.window
-        xs, ys, hs = [], [], []
+        xs, ys = [], []
         for o in range(1, min(w, n - 1) + 1):
             s = max(0, fresh - o)
             h = np.bitwise_count(sk[0][s : n - o] ^ sk[0][s + o :]).astype(np.uint16)
@@ -122,25 +119,14 @@ def _windows(p: Curves, k: int | None, most: int):
                 h += np.bitwise_count(sk[q][s : n - o] ^ sk[q][s + o :])
             at = np.flatnonzero((h <= most) & (line[s : n - o] == line[s + o :]))
             if len(at):
-                xs.append(at + s), ys.append(at + s + o), hs.append(h[at])
+                xs.append(at + s), ys.append(at + s + o)
         if not xs:
             return None
-        x, y, h = np.concatenate(xs), np.concatenate(ys), np.concatenate(hs).astype(np.int64)
-        if k is None:
-            label = smallest_labels(n, x, y)
-            x = np.flatnonzero(label != np.arange(n))
-            x, y = x[vid[x] != vid[label[x]]], label[x][vid[x] != vid[label[x]]]
-            return pa.RecordBatch.from_arrays([pa.array(line[x] // p.curves, pa.int32()), pa.array(vid[x]), pa.array(vid[y])], names=["collection", "x", "y"])
-        a, b, h = np.r_[x, y], np.r_[y, x], np.r_[h, h]
-        order = np.lexsort((b, h, a))
-        a, b = a[order], b[order]
-        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        rank = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
-        a, b = a[rank < k], b[rank < k]
-        lo, hi = np.minimum(vid[a], vid[b]), np.maximum(vid[a], vid[b])
-        keep = lo != hi
-        got = np.unique(np.stack([line[a][keep], lo[keep], hi[keep]]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(got[0] // p.curves, pa.int32()), pa.array(got[1]), pa.array(got[2])], names=["collection", "x", "y"])
+        label = smallest_labels(n, np.concatenate(xs), np.concatenate(ys))
+        x = np.flatnonzero(label != np.arange(n))
+        x = x[vid[x] != vid[label[x]]]
+        y = label[x]
+        return pa.RecordBatch.from_arrays([pa.array(line[x] // p.curves, pa.int32()), pa.array(vid[x]), pa.array(vid[y])], names=["collection", "x", "y"])
 
     def run(batches):
         line, vid, sk = np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * words
@@ -160,18 +146,6 @@ def _windows(p: Curves, k: int | None, most: int):
     return run
 
 
-def _cosines(dim: int):
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(k) for k in (3, 4))
-            x, y = (c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim) for c in (a, b))
-            x, y = (v / np.abs(v).max(axis=1, keepdims=True, initial=0.0) for v in (x, y))
-            cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(cos)], names=["collection", "id_a", "id_b", "cosine"])
-
-    return run
-
-
 def _tops(u: np.ndarray, v: np.ndarray, most: int):
     """For each row of u, the `most` rows of v with the highest cosine and these; ties go to the first rows."""
     most = min(most, len(v))
@@ -262,10 +236,10 @@ def nearest(
     collections: list[DataFrame],
     dim: int,
     k: int = 5,
-    min_cosine: float | None = None,
+    min_cosine: float = 0.9,
     params: Curves = Curves(),
 ) -> DataFrame:
-    """collection, id, neighbour, cosine, rank: the k most similar vectors of each vector.
+    """collection, id, neighbour, cosine, rank: the k most similar vectors of each vector, of those at least that similar.
 
     Each collection has the columns id (string), version and vector; its number in the list is its name in the
     result.  A row counts if its version is the latest of its id and its vector has exactly dim finite
@@ -273,14 +247,11 @@ def nearest(
     count once, null ids are dropped and further columns not read.  Norms do not matter.  Ties in cosine
     go to the smaller id.  A vector without neighbours, and an empty table, give no rows.
 
-    With min_cosine, rows below it are left out.  Vectors that lie within `window` rows on one of the
-    curves and whose sketches do not rule out min_cosine by more than four standard deviations hang together;
-    all that hang together, by others too, are compared exactly, so a neighbour is missed only if no
-    curve leads to it.  The work is quadratic in the different vectors of a group: a min_cosine that
-    most pairs reach makes all of them one group.  Cosines have twelve decimals.
-
-    Without min_cosine no sketch rules a pair out; a neighbour is found if it is among the k + 3 nearest by
-    sketch within `window` rows on one of the curves.
+    Vectors that lie within `window` rows on one of the curves and whose sketches do not rule out
+    min_cosine by more than four standard deviations hang together; all that hang together, by others too,
+    are compared exactly, so a neighbour is missed only if no curve leads to it.  The work is quadratic in
+    the different vectors of a group: a min_cosine that most pairs reach makes all of them one group.
+    Cosines have twelve decimals.  Without any bound operators.search.nearest_items is the exact way.
 
     Method: each curve projects the unit vectors on random orthonormal directions, shifts them, and
     orders them by their place on a Hilbert curve; a range-partitioned sort per collection and
@@ -305,42 +276,14 @@ def nearest(
         .filter(F.col("r.version").eqNullSafe(F.col("last")))
         .select("collection", "vid", "id", "r.*")
     )
-    key = "vid"
-    points = current.select("collection", "vid", "sketch", "keys")
-    if min_cosine is not None:  # equal vectors take one place on the curves
-        key = "same"
-        points = current.groupBy("collection", "same", "sketch").agg(F.first("keys").alias("keys"))
-    lines = points.select(key, "sketch", F.col("collection"), F.posexplode("keys").alias("curve", "key")).select(
-        (F.col("collection") * p.curves + F.col("curve")).cast("int").alias("line"), F.col(key).alias("vid"), "sketch", "key"
-    )
-    ordered = lines.repartitionByRange(parallelism(spark), "line", "key", "vid").sortWithinPartitions("line", "key", "vid").drop("key")
-    pairs = "collection int, x long, y long"
-    if min_cosine is not None:
-        share = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
-        most = min(p.sketch_bits, math.ceil(p.sketch_bits * share + 4 * math.sqrt(p.sketch_bits * share * (1 - share))))
-        links = cut(ordered.mapInArrow(_windows(p, None, most), pairs).distinct())
-        return _grouped(current, fit, links, dim, k, min_cosine)
-    near = cut(ordered.mapInArrow(_windows(p, k + 3, p.sketch_bits), pairs).distinct())
-    ends = cut(near.select("collection", F.explode(F.array("x", "y")).alias("vid")).distinct())
-    exact = current.select("collection", "vid", "id", "version").join(ends, ["collection", "vid"], "left_semi")
-    # the vectors of the rows that some pair needs; equal rows count once.  Up to WANTED of them, the
-    # others are left at the scan; beyond, the join moves all vectors once
-    wanted = ends.select("vid").distinct()
-    scan = fit.join(F.broadcast(wanted), "vid", "left_semi") if ends.count() <= WANTED else fit
-    held = (
-        scan.join(exact.withColumnRenamed("version", "last"), ["collection", "vid", "id"])
-        .filter(F.col("version").eqNullSafe(F.col("last")))
-        .groupBy("collection", "vid", "id")
-        .agg(F.max("vector").alias("vector"))
-    )
-    held = cut(held)
-    a = held.select("collection", F.col("vid").alias("x"), F.col("id").alias("id_x"), F.col("vector").alias("vx"))
-    b = held.select("collection", F.col("vid").alias("y"), F.col("id").alias("id_y"), F.col("vector").alias("vy"))
-    scored = (
-        near.join(a, ["collection", "x"]).join(b, ["collection", "y"])
-        .select("collection", F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "vx", "vy")
-        .mapInArrow(_cosines(dim), "collection int, id_a string, id_b string, cosine double")
+    # equal vectors take one place on the curves
+    points = current.groupBy("collection", "same", "sketch").agg(F.first("keys").alias("keys"))
+    lines = points.select("same", "sketch", F.col("collection"), F.posexplode("keys").alias("curve", "key")).select(
+        (F.col("collection") * p.curves + F.col("curve")).cast("int").alias("line"), F.col("same").alias("vid"), "sketch", "key"
     )
-    both = scored.select("collection", F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("neighbour")))).alias("p"), "cosine")
-    rank = F.row_number().over(W.partitionBy("collection", "p.id").orderBy(F.desc("cosine"), "p.neighbour"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("collection", "p.id", "p.neighbour", "cosine", "rank")
+    tasks = parallelism(spark, current.count() * p.curves, ROWS)
+    ordered = lines.repartitionByRange(tasks, "line", "key", "vid").sortWithinPartitions("line", "key", "vid").drop("key")
+    share = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
+    most = min(p.sketch_bits, math.ceil(p.sketch_bits * share + 4 * math.sqrt(p.sketch_bits * share * (1 - share))))
+    links = cut(ordered.mapInArrow(_windows(p, most), "collection int, x long, y long").distinct())
+    return _grouped(current, fit, links, dim, k, min_cosine)

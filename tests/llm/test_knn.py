@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from mnemoweft.llm.knn import Curves, hilbert_keys, nearest
+from mnemoweft.llm.knn import hilbert_keys, nearest
 
 
 def test_hilbert_curve_is_a_walk():
@@ -36,21 +36,6 @@ def test_recall_against_brute_force(spark):
         assert c == pytest.approx(g[int(a[1:]), int(b[1:])], abs=1e-6)
 
 
-def test_without_threshold_finds_the_nearest_in_few_dimensions(spark):
-    v = np.random.default_rng(3).standard_normal((1500, 6))
-    df = spark.createDataFrame([(f"v{k:04}", 1, x.tolist()) for k, x in enumerate(v)], "id string, version int, vector array<double>")
-    got = {}
-    for r in nearest([df], 6, k=5, params=Curves(dims=6, bits=8)).collect():
-        got.setdefault(r.id, []).append(r.neighbour)
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    g = u @ u.T
-    np.fill_diagonal(g, -2)
-    top = np.argsort(-g, axis=1)[:, :5]
-    hits = sum(f"v{b:04}" in got.get(f"v{a:04}", []) for a in range(len(v)) for b in top[a])
-    assert hits >= 0.9 * top.size
-    assert max(map(len, got.values())) <= 5
-
-
 def test_dirty_vectors_and_versions(spark):
     e = [1.0, 0.0, 0.0, 0.0]
     data = [
