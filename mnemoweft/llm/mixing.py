@@ -6,6 +6,7 @@ import base64
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from mnemoweft.runtime import bounded, cut
 
 #: Fixed value: the pre-tokenisation pattern that belongs to the published byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONGEST = 20_000  # characters encoded at once; a longer run without a blank is cut there
+LONGEST = 20_000  # characters encoded at once
+_PATTERN = regex.compile(PATTERN)
 
 
 def load_encoding(path: str):
@@ -26,13 +28,21 @@ def load_encoding(path: str):
 
 
 def pieces(text: str):
-    """The whole text in pieces that end before a blank, so that their tokens add up."""
-    s = 0
-    while len(text) - s > LONGEST:
-        e = text.rfind(" ", s + 1, s + LONGEST)
-        e = e if e > s else s + LONGEST
-        yield text[s:e]
-        s = e
+    """The whole text in pieces cut where the pre-tokenisation pattern cuts, so that their tokens are the text's.
+
+    The pattern's matches inside a window are those of the whole text but for the last, which the end of
+    the window may have shortened.  A match longer than LONGEST stays one piece.
+    """
+    s, width = 0, LONGEST
+    while len(text) - s > width:
+        e = s
+        for m in _PATTERN.finditer(text, s, s + width):
+            e = m.start()
+        if e > s:
+            yield text[s:e]
+            s, width = e, LONGEST
+        else:
+            width *= 2
     yield text[s:]
 
 

@@ -10,12 +10,13 @@ from mnemoweft.llm.fusion import fuse_ranks
 from mnemoweft.llm.knn import nearest
 from mnemoweft.llm.leakage import leaks
 from mnemoweft.llm.mixing import mix_sources
-from mnemoweft.llm.repetition import fertility, repetition
+from mnemoweft.llm.repetition import fertility, repetition, repetitive
 from mnemoweft.llm.setjoin import similar_sets
 from mnemoweft.tables import current, table
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+VOCABULARIES = [f"{TOKENIZERS}/{name}" for name in ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")]
 SCORES = ["npmi_mem", "llm_score", "npmi_temp", "weight"]
 
 
@@ -93,7 +94,7 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repetition(table(spark, sf, "documents")).filter("n_words >= 20 and repeated_share >= 0.3").select("doc_id")
+    return repetitive(table(spark, sf, "documents"), VOCABULARY, share=0.3, least=20).select("doc_id")
 
 
 def p8_repetition(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,7 +102,7 @@ def p8_repetition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_fertility(spark: SparkSession, sf: str) -> DataFrame:
-    return fertility(table(spark, sf, "documents"), VOCABULARY)
+    return fertility(table(spark, sf, "documents"), VOCABULARIES)
 
 
 QUERIES = {

@@ -65,51 +65,123 @@ def repetition(documents: DataFrame, id: str = "doc_id", text: str = "text", str
     return documents.select(id, F.col(text).alias("__text")).mapInArrow(measure, schema).select("*", share.alias("repeated_share"))
 
 
-def fertility(documents: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", lang: str = "lang", bands: float = 4.0) -> DataFrame:
-    """id, lang, n_tokens, chars_per_token, byte_share, token_entropy, in_band of every document.
-
-    chars_per_token and the entropy (bits, of the document's own tokens) come from a public byte-level
-    vocabulary; byte_share is the share of tokens that hold no whole character, to which it falls back
-    for what it has no entry for.  in_band tells whether chars_per_token is within `bands` times the
-    language's spread of its median, and the entropy per log2 of the tokens not below it by more; a
-    spread is the median absolute deviation, at least 5 % of the median.  The medians are of all documents
-    of the language (approximate percentiles, one pass with map-side combine).  Languages are trimmed and lower-cased, null is "und".  Null and empty texts
-    have null measures and are out of band; further columns are not read.
+def _encoder(path: str):
+    """Text to token ids, and whether each id is a byte that stands for no whole character, of a public vocabulary."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return (lambda t: model.encode(t, num_threads=1)), np.array([model.is_byte(k) for k in range(model.vocab_size())])
+    encoding = load_encoding(path)
+    byte = np.zeros(encoding.n_vocab + 1, bool)
+    for k in range(encoding.n_vocab):
+        try:
+            encoding.decode_single_token_bytes(k).decode()
+        except (UnicodeDecodeError, KeyError):
+            byte[k] = True
+    return (lambda t: [x for p in pieces(t) for x in encoding.encode_ordinary(p)]), byte
+
+
+def repetitive(documents: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", share: float = 0.3, least: int = 20, stretch: int = 5) -> DataFrame:
+    """id, n_words, tokens_per_word, type_entropy, n_repeated, repeated_share of the documents of at least
+    `least` words whose share of repeated words (see repetition) is at least `share`.
+
+    Method: the fertility of a public vocabulary (tokens per word, each word encoded by itself) and the
+    entropy of the token types (order 0: log2 of the different tokens) reject what cannot be repetitive.
+    Every token of a repeated word came before, and a word has a token or more, so a document of n words
+    with that share has at most n (fertility - share) different tokens: the band of its entropy ends at
+    log2 n + log2(fertility - share), wherever its language's fertility lies.  Only documents within it are
+    measured exactly; none is lost.  Null and empty texts never come out, an empty table gives no rows,
+    repeated ids are measured each, further columns are not read.  No shuffle.
     """
-    schema = f"__id {dict(documents.dtypes)[id]}, lang string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+    schema = documents.select(F.col(id)).schema.add("n_words", "long").add("tokens_per_word", "double").add("type_entropy", "double").add("n_repeated", "long")
 
     def measure(batches):
-        encoding = load_encoding(vocabulary)
-        whole = np.ones(encoding.n_vocab + 1, bool)
-        for k in range(encoding.n_vocab):
-            try:
-                encoding.decode_single_token_bytes(k).decode()
-            except (UnicodeDecodeError, KeyError):
-                whole[k] = False
+        encoding, known = load_encoding(vocabulary), {}
         for batch in batches:
-            rows = []
-            for t in batch.column(2).to_pylist():
-                ids = np.fromiter((x for p in pieces(t) for x in encoding.encode_ordinary(p)), np.int64) if t else np.zeros(0, np.int64)
-                if not len(ids):
-                    rows.append((0, None, None, None))
+            kept, rows = [], []
+            if len(known) > 200_000:
+                known.clear()
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                words = WORD.findall(t.lower()) if t else []
+                n = len(words)
+                if n < max(1, least):
                     continue
-                p = np.unique(ids, return_counts=True)[1] / len(ids)
-                rows.append((len(ids), len(t) / len(ids), float((~whole[ids]).mean()), float(-(p * np.log2(p)).sum())))
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), *[pa.float64()] * 3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["__id", "lang", "n_tokens", "chars_per_token", "byte_share", "token_entropy"])
-
-    language = F.coalesce(F.nullif(F.lower(F.trim(F.col(lang))), F.lit("")), F.lit("und"))
-    sized = cut(documents.select(F.col(id).alias("__id"), language.alias("lang"), F.col(text).alias("__text")).mapInArrow(measure, schema))
-    flat = F.when(F.col("n_tokens") > 1, F.col("token_entropy") / F.log2(F.col("n_tokens"))).otherwise(F.lit(1.0))
+                for w in set(words) - known.keys():
+                    known[w] = encoding.encode_ordinary(" " + w)
+                tokens = sum(map(len, map(known.__getitem__, words)))
+                types = len(set().union(*map(known.__getitem__, set(words))))
+                if tokens <= share * n or np.log2(types) > np.log2(n) + np.log2(tokens / n - share) + 1e-9:
+                    continue
+                r = repeated_words(t, stretch)[1]
+                if r >= share * n:
+                    kept.append(k)
+                    rows.append((n, tokens / n, float(np.log2(types)), r))
+            cols = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *cols], names=schema.names)
+
+    return documents.select(id, F.col(text).alias("__text")).mapInArrow(measure, schema).withColumn("repeated_share", F.col("n_repeated") / F.col("n_words"))
+
+
+def script_of(text: str) -> str:
+    """The script of most letters of a text, "none" without letters."""
+    best, most = "none", 0
+    for name, letters in _SCRIPTS.items():
+        n = sum(map(len, letters.findall(text)))
+        if n > most:
+            best, most = name, n
+    return best
+
+
+#: Scripts that are told apart.
+_SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}+") for s in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Thai", "Hangul", "Han", "Hiragana", "Katakana")}
+
+
+def fertility(documents: DataFrame, vocabularies: list[str], id: str = "doc_id", text: str = "text", lang: str = "lang", bands: float = 4.0) -> DataFrame:
+    """id, vocabulary, band, n_tokens, chars_per_token, byte_share, token_entropy, in_band of every document and vocabulary.
+
+    vocabularies are paths of public ones that every executor can read (.tiktoken ranks or .model of
+    sentencepiece), named by their file.  byte_share is the share of tokens that are bytes and hold no whole
+    character, to which a vocabulary falls back for what it has no entry for; the entropy (bits) is that
+    of the document's own tokens.
+
+    band is the language (trimmed, lower-cased), or the script of the text where that is null, empty or
+    "und".  in_band tells whether chars_per_token is within `bands` times the band's spread of its median,
+    byte_share not above its median by more, and the entropy per log2 of the tokens not below it by more; a
+    spread is the median absolute deviation, at least 5 % of the median (of byte_share at least 0.02).  The
+    medians are of all documents of the band (approximate percentiles, one pass with map-side combine).
+    Null and empty texts have null measures and are out of band; further columns are not read.
+    """
+    schema = f"__id {dict(documents.dtypes)[id]}, vocabulary string, band string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+
+    def measure(batches):
+        encoders = {path.rsplit("/", 1)[-1].split(".")[0]: _encoder(path) for path in vocabularies}
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            langs = [(v or "").strip().lower() for v in batch.column(1).to_pylist()]
+            band = pa.array([v if v not in ("", "und") else f"script {script_of(t or '')}" for v, t in zip(langs, texts)], pa.string())
+            for name, (encode, byte) in encoders.items():
+                rows = []
+                for t in texts:
+                    ids = np.array(encode(t), np.int64) if t else np.zeros(0, np.int64)
+                    if not len(ids):
+                        rows.append((0, None, None, None))
+                        continue
+                    p = np.unique(ids, return_counts=True)[1] / len(ids)
+                    rows.append((len(ids), len(t) / len(ids), float(byte[ids].mean()), float(-(p * np.log2(p)).sum())))
+                cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), *[pa.float64()] * 3))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(texts), pa.string()), band, *cols], names=["__id", "vocabulary", "band", "n_tokens", "chars_per_token", "byte_share", "token_entropy"])
+
+    sized = cut(documents.select(F.col(id).alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("__text")).mapInArrow(measure, schema))
+    flat = F.when(F.col("n_tokens") > 1, F.col("token_entropy") / F.log2(F.col("n_tokens"))).when(F.col("n_tokens") == 1, F.lit(1.0))
     sized = sized.withColumn("__flat", flat)
-    middle = sized.groupBy("lang").agg(F.percentile_approx("chars_per_token", 0.5).alias("__m"), F.percentile_approx("__flat", 0.5).alias("__f"))
-    near = sized.join(middle, "lang")
-    spread = near.groupBy("lang").agg(
-        F.percentile_approx(F.abs(F.col("chars_per_token") - F.col("__m")), 0.5).alias("__ms"),
-        F.percentile_approx(F.abs(F.col("__flat") - F.col("__f")), 0.5).alias("__fs"),
-    )
-    width, drop = F.greatest("__ms", 0.05 * F.col("__m")), F.greatest("__fs", 0.05 * F.col("__f"))
-    inside = (F.abs(F.col("chars_per_token") - F.col("__m")) <= bands * width) & (F.col("__flat") >= F.col("__f") - bands * drop)
-    return near.join(spread, "lang").select(
-        F.col("__id").alias(id), "lang", "n_tokens", "chars_per_token", "byte_share", "token_entropy", F.coalesce(inside, F.lit(False)).alias("in_band")
+    measures = {"chars_per_token": "__m", "__flat": "__f", "byte_share": "__b"}
+    by = ["vocabulary", "band"]
+    middle = sized.groupBy(*by).agg(*[F.percentile_approx(c, 0.5).alias(m) for c, m in measures.items()])
+    near = sized.join(F.broadcast(middle) if middle.limit(10_001).count() <= 10_000 else middle, by)
+    spread = near.groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(m)), 0.5).alias(f"{m}s") for c, m in measures.items()])
+    width, drop, more = F.greatest("__ms", 0.05 * F.col("__m")), F.greatest("__fs", 0.05 * F.col("__f")), F.greatest("__bs", F.lit(0.02))
+    inside = (F.abs(F.col("chars_per_token") - F.col("__m")) <= bands * width) & (F.col("__flat") >= F.col("__f") - bands * drop) & (F.col("byte_share") <= F.col("__b") + bands * more)
+    return near.join(spread, by).select(
+        F.col("__id").alias(id), "vocabulary", "band", "n_tokens", "chars_per_token", "byte_share", "token_entropy", F.coalesce(inside, F.lit(False)).alias("in_band")
     )
