@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS
 from mnemoweft.functions.vector import dot
+from mnemoweft.operators.search import items_above
 
 
 def matches(retrieved: DataFrame, memories: DataFrame, evidence: DataFrame, texts: DataFrame, least: float = DEFAULTS.evidence_similarity) -> DataFrame:
@@ -73,6 +74,24 @@ def noise(retrieved: DataFrame, members: DataFrame, reference: DataFrame) -> Dat
     return retrieved.select("query").distinct().join(bad, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n_noise"))
 
 
+def evidence_memories(memories: DataFrame, evidence: DataFrame, texts: DataFrame, least: float = DEFAULTS.evidence_similarity) -> DataFrame:
+    """query, item: the memories of the query's sample that hold a piece of its evidence or are similar to its text.
+
+    memories(item, sample, sources, vector), evidence(query, sample, dia), texts(sample, dia, vector).
+    """
+    own = memories.select("item", "sample", F.explode("sources").alias("dia"))
+    held = evidence.join(own, ["sample", "dia"]).select("query", "item")
+    asked = evidence.join(texts, ["sample", "dia"]).select(F.struct("query", "dia").alias("query"), F.col("vector").alias("qv"), F.col("sample").alias("scope"))
+    near = items_above(memories.select("item", "vector", F.col("sample").alias("scope")), asked, least, scoped=True)
+    return held.unionByName(near.select("query.query", "item")).distinct()
+
+
+def flattened(results: DataFrame, sample: str, items: str, skip: tuple[int, ...] = (5,)) -> DataFrame:
+    """sample, pos and the fields of each element of a list of items per sample, but for the skipped categories."""
+    rows = results.select(sample, F.posexplode(items).alias("pos", "one")).select(sample, "pos", "one.*")
+    return rows.filter(~F.coalesce(F.col("category").isin(*skip), F.lit(False)))
+
+
 def cross_topic(evidence_memories: DataFrame, members: DataFrame, seeds: DataFrame) -> DataFrame:
     """query, item: evidence memories outside the seed topics, of the queries whose evidence spans two topics or more."""
     rows = evidence_memories.join(members, "item")

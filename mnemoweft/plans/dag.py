@@ -173,6 +173,11 @@ pr AS (SELECT a.topic AS a, b.topic AS b, a.depth AS da, b.depth AS db, a.is_vir
 sim AS MATERIALIZED (SELECT a, b, da, db, va, vb, round(0.35::DOUBLE * l + 0.25::DOUBLE * coalesce(s, l) + CASE WHEN ka + kb > 0 THEN 0.2::DOUBLE * (ki / (ka + kb - ki)::DOUBLE) ELSE 0 END
         + CASE WHEN wm > 0 THEN 0.2::DOUBLE * (wi / wm::DOUBLE) ELSE 0 END, 9) AS similarity FROM pr)"""
 
+_FEW = """few AS (SELECT topic FROM u WHERE topic NOT IN (SELECT topic FROM mt GROUP BY 1 HAVING count(*) >= 1000)),
+al AS (SELECT parent, child FROM links UNION SELECT '__ROOT__', topic FROM u WHERE topic <> '__ROOT__' AND topic NOT IN (SELECT child FROM links)),
+mg AS (SELECT DISTINCT a, b, round(similarity, 6) AS similarity FROM sim JOIN al x ON x.child = a JOIN al y ON y.child = b AND x.parent = y.parent
+       WHERE a < b AND similarity > 0.5 AND a IN (SELECT topic FROM few) AND b IN (SELECT topic FROM few))"""
+
 SQL = {
     "descendants": f"WITH RECURSIVE {_DOWN} SELECT ancestor, descendant, distance::BIGINT AS distance FROM down",
     "ancestors": f"WITH RECURSIVE {_DOWN} SELECT descendant AS node, string_agg(ancestor, ',' ORDER BY ancestor) AS ancestors FROM down GROUP BY 1",
@@ -180,7 +185,7 @@ SQL = {
     "children_parents": f"""WITH {_LINKS} SELECT topic, (count(*) FILTER (down))::BIGINT AS n_children, (count(*) FILTER (NOT down))::BIGINT AS n_parents
 FROM (SELECT parent AS topic, true AS down FROM links UNION ALL SELECT child, false FROM links) GROUP BY 1""",
     "dag_depth": f"""WITH RECURSIVE {_LINKS}, d AS (SELECT DISTINCT parent AS node, 0 AS depth FROM links WHERE parent NOT IN (SELECT child FROM links)
-UNION SELECT child, depth + 1 FROM d JOIN links ON parent = node WHERE depth < 60) SELECT node, min(depth) AS depth FROM d GROUP BY 1""",
+UNION SELECT child, depth + 1 FROM d JOIN links ON parent = node WHERE depth < 400) SELECT node, min(depth) AS depth FROM d GROUP BY 1""",
     "attach_orphans": f"""WITH {_LINKS} SELECT parent, child FROM links UNION ALL
 SELECT '__ROOT__', topic_id FROM kcur WHERE topic_id <> '__ROOT__' AND topic_id NOT IN (SELECT child FROM links)""",
     "dag_tree": f"""WITH {_GEO}, r AS (SELECT 'R' || r_regionkey AS id, r_name AS l FROM region), n AS (SELECT 'N' || n_nationkey AS id, n_name AS l FROM nation),
@@ -191,10 +196,17 @@ UNION ALL SELECT g.parent || '/' || h.parent || '/' || h.child, '    ' || h.chil
     "topic_similarity_pairs": f"WITH {_SIM} SELECT a, b, round(similarity, 6) AS similarity FROM sim WHERE a < b AND similarity >= 0.55",
     "multi_parent_candidates": f"""WITH {_LINKS}, {_SIM} SELECT a AS child, b AS parent, round(similarity, 6) AS similarity FROM sim
 WHERE NOT va AND vb AND db < da AND similarity > 0.45 AND (a, b) NOT IN (SELECT (child, parent) FROM links) ORDER BY sim.similarity DESC, a, b LIMIT 50""",
-    "sibling_merge_candidates": f"""WITH {_LINKS}, {_SIM}, {B.MEMORY_TOPICS}, few AS (SELECT topic FROM u WHERE topic NOT IN (SELECT topic FROM mt GROUP BY 1 HAVING count(*) >= 1000)),
-al AS (SELECT parent, child FROM links UNION SELECT '__ROOT__', topic FROM u WHERE topic <> '__ROOT__' AND topic NOT IN (SELECT child FROM links))
-SELECT DISTINCT a, b, round(similarity, 6) AS similarity FROM sim JOIN al x ON x.child = a JOIN al y ON y.child = b AND x.parent = y.parent
-WHERE a < b AND similarity > 0.5 AND a IN (SELECT topic FROM few) AND b IN (SELECT topic FROM few)""",
+    "sibling_merge_candidates": f"""WITH {_LINKS}, {_SIM}, {B.MEMORY_TOPICS}, {_FEW} SELECT * FROM mg""",
+    "sibling_merge": f"""WITH RECURSIVE {_LINKS}, {_SIM}, {B.MEMORY_TOPICS}, {_FEW},
+ed AS (SELECT a AS x, b AS y FROM mg UNION SELECT b, a FROM mg), rc AS (SELECT x, y FROM ed UNION SELECT rc.x, ed.y FROM rc JOIN ed ON rc.y = ed.x),
+mp AS (SELECT x AS k, min(y) AS into_ FROM rc GROUP BY 1 HAVING min(y) < x)
+SELECT DISTINCT coalesce(p.into_, parent) AS parent, coalesce(q.into_, child) AS child FROM links LEFT JOIN mp p ON p.k = parent LEFT JOIN mp q ON q.k = child
+WHERE coalesce(p.into_, parent) <> coalesce(q.into_, child)""",
+    "insert_candidates": f"""WITH RECURSIVE {_LINKS}, {_SIM},
+go AS (SELECT topic, '__ROOT__' AS visited, 0 AS depth, ['__ROOT__'] AS seen FROM u WHERE topic <> '__ROOT__' AND topic NOT IN (SELECT child FROM links) UNION ALL
+SELECT topic, child, depth + 1, list_append(seen, child) FROM (SELECT topic, child, depth, seen, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, child) AS k
+      FROM go JOIN links ON parent = visited JOIN sim ON a = topic AND b = child WHERE similarity >= 0.15) WHERE k = 1 AND NOT list_contains(seen, child))
+SELECT topic, visited, depth FROM go""",
     "topic_split_halves": f"""WITH {B.MEMORY_TOPICS}, c AS (SELECT memory_id, created_at FROM memories QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY ingested_at DESC) = 1),
 r AS (SELECT topic, memory, row_number() OVER (PARTITION BY topic ORDER BY created_at, memory) AS k, count(*) OVER (PARTITION BY topic) AS n FROM mt JOIN c ON memory_id = memory)
 SELECT topic, memory, (k > n // 2)::INT AS half FROM r""",

@@ -76,11 +76,6 @@ def macro_average(spark: SparkSession, sf: str) -> DataFrame:
     return E.macro_mean(_scored(spark, sf), "sample", ["p_at_k", "r_at_k"]).select(*rounded("p_at_k", "r_at_k"), "n_groups")
 
 
-def ablation_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    both = _scored(spark, sf).withColumn("variant", F.lit("own_sample")).unionByName(_scored(spark, sf, False).withColumn("variant", F.lit("dense")))
-    return E.compare(both, "variant", ["own_sample", "dense"], ["p_at_k", "r_at_k"]).select("measure", *rounded("own_sample", "dense"))
-
-
 def _reference(spark: SparkSession, sf: str) -> DataFrame:
     """query, topic: topics of the segments that hold evidence."""
     seg = table(spark, sf, "segments").select("sample_id", F.explode("dia_ids").alias("dia"), "topic_ids").select("sample_id", "dia", F.explode("topic_ids").alias("topic")).filter("topic is not null").distinct()
@@ -148,7 +143,7 @@ def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evaluate_retrieval, evidence_recall, per_category, macro_average, ablation_pivot, noise_count, cross_topic_recall, token_f1, answer_scores,
+        evaluate_retrieval, evidence_recall, per_category, macro_average, noise_count, cross_topic_recall, token_f1, answer_scores,
         score_report, judge_accuracy, metric_summary,
     )
 }
@@ -196,8 +191,6 @@ FROM eval_items e LEFT JOIN g USING (item_id)""",
 UNION ALL SELECT NULL, round(avg(round(p_at_k, 4)), 4), round(avg(round(r_at_k, 4)), 4), count(*), 1 FROM sc""",
     "macro_average": f"""WITH {_OWN}, {_SCORED}, g AS (SELECT sample_id, avg(p_at_k) AS p, avg(r_at_k) AS r FROM sc GROUP BY 1)
 SELECT round(avg(p), 6) AS p_at_k, round(avg(r), 6) AS r_at_k, count(*) AS n_groups FROM g""",
-    "ablation_pivot": f"""WITH a AS (WITH {_OWN}, {_SCORED} SELECT avg(p_at_k) AS p, avg(r_at_k) AS r FROM sc), b AS (WITH {_ALL}, {_SCORED} SELECT avg(p_at_k) AS p, avg(r_at_k) AS r FROM sc)
-SELECT 'p_at_k' AS measure, round(a.p, 6) AS own_sample, round(b.p, 6) AS dense FROM a, b UNION ALL SELECT 'r_at_k', round(a.r, 6), round(b.r, 6) FROM a, b""",
     "noise_count": f"""WITH {_OWN}, {_MEMBERS}, ev AS (SELECT DISTINCT item_id, sample_id, dia FROM (SELECT item_id, sample_id, unnest(evidence) AS dia FROM eval_items)),
 rf AS (SELECT DISTINCT item_id, topic FROM ev JOIN (SELECT sample_id, dia, unnest(topic_ids) AS topic FROM (SELECT sample_id, unnest(dia_ids) AS dia, topic_ids FROM segments)) USING (sample_id, dia) WHERE topic IS NOT NULL),
 ok AS (SELECT DISTINCT ret.item_id, ret.item FROM ret JOIN mm USING (item) JOIN rf ON rf.item_id = ret.item_id AND rf.topic = mm.topic)

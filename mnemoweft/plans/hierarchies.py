@@ -31,7 +31,7 @@ def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return _hierarchy(spark, sf).paths()
+    return _hierarchy(spark, sf).paths().withColumn("path", F.array_join("path", "/"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_cycles, p1_back_edges, p1_descendants, p1_paths)}
@@ -48,5 +48,14 @@ SQL = {
     "p1_found": f"WITH RECURSIVE {_REACH} SELECT a AS topic_id FROM reach WHERE a = d",
     "p1_cycles": f"""WITH RECURSIVE {_REACH} SELECT x.a AS topic_id, min(x.d) AS cycle_id
 FROM reach x JOIN reach y ON x.a = y.d AND x.d = y.a GROUP BY 1""",
+    "p1_paths": f"""WITH RECURSIVE {_REACH},
+nodes AS (SELECT topic_id AS v FROM cur WHERE topic_id IS NOT NULL UNION SELECT p FROM links UNION SELECT c FROM links),
+above AS (SELECT r.d AS v, r.a, b.a IS NOT NULL AS back FROM reach r LEFT JOIN reach b ON b.a = r.d AND b.d = r.a),
+tops AS (SELECT v FROM nodes WHERE v NOT IN (SELECT v FROM above WHERE NOT back OR a < v)),
+near AS (SELECT v AS top, v AS node, 0 AS depth FROM tops UNION SELECT top, c, depth + 1 FROM near JOIN links ON p = node WHERE depth < 400),
+dist AS MATERIALIZED (SELECT top, node, min(depth)::INT AS depth FROM near GROUP BY 1, 2),
+pred AS MATERIALIZED (SELECT x.top, x.node, min(p) AS p FROM dist x JOIN links ON c = x.node JOIN dist y ON y.top = x.top AND y.node = p AND y.depth = x.depth - 1 GROUP BY 1, 2),
+way AS (SELECT v AS top, v AS node, v AS path FROM tops UNION ALL SELECT way.top, pred.node, path || '/' || pred.node FROM way JOIN pred ON pred.top = way.top AND pred.p = way.node)
+SELECT node, top, depth, path FROM way JOIN dist USING (top, node)""",
     "p1_descendants": f"WITH RECURSIVE {_REACH} SELECT a AS ancestor, d AS descendant FROM reach",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoweft.functions.vector import mean_vector
+from mnemoweft.functions.vector import normalise
 from mnemoweft.operators import assoc
 from mnemoweft.operators import retrieve as R
 from mnemoweft.operators.search import items_above, nearest_items
@@ -19,9 +19,11 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf: str) -> R.Store:
-    v, members = B.vectors(spark, sf), cut(B.vector_topics(spark, sf))
-    even = mean_vector(v.filter("vec_id % 2 = 0 and label % 2 = 0"), ["label"], "v", "summary_vector").withColumnRenamed("label", "topic")
-    leaves = B.centroids(spark, sf).join(even, "topic", "left").select("topic", F.col("vector").alias("label_vector"), "summary_vector", "keywords", F.lit(False).alias("is_virtual"))
+    v, members, c = B.vectors(spark, sf), cut(B.vector_topics(spark, sf)), cut(B.centroids(spark, sf))
+    # a summary lies between a topic and the next one; the last has none
+    after = c.select((F.col("topic") - 1).alias("topic"), F.col("vector").alias("next"))
+    between = normalise(F.zip_with("vector", "next", lambda x, y: x + y))
+    leaves = c.join(after, "topic", "left").select("topic", F.col("vector").alias("label_vector"), between.alias("summary_vector"), "keywords", F.lit(False).alias("is_virtual"))
     leaves = cut(leaves)
     dag = leaves.select((100 + F.col("topic") % 3).alias("parent"), F.col("topic").alias("child"))
     roots = dag.select(F.lit(-1).alias("parent"), F.col("parent").alias("child")).distinct()
@@ -116,7 +118,7 @@ def retrieve_full(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieve_memory_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return R.retrieve(store(spark, sf), B.queries_by_id(spark, sf), 10, mode="memory").select("query", "item", *rounded("score"), "source_type", "rank")
+    return R.retrieve(store(spark, sf), B.queries_by_id(spark, sf), 10, mode="memory", epsilon=0).select("query", "item", *rounded("score"), "source_type", "rank")
 
 
 def mmr_rerank(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,9 +135,8 @@ QUERIES = {
 
 _DOT = "round(list_dot_product({a}, {b}), 9)"
 _STORE = f"""{B.VECTORS},
-ev AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM v WHERE vec_id % 2 = 0 AND label % 2 = 0) GROUP BY label, i),
-em AS (SELECT label, list(x ORDER BY i) AS x FROM ev GROUP BY label),
-t AS (SELECT topic, vector AS lv, (SELECT list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) FROM em WHERE label = topic) AS sv, keywords FROM c),
+sm AS (SELECT x.topic, list_transform(list_zip(x.vector, y.vector), lambda e: e[1] + e[2]) AS s FROM c x JOIN c y ON y.topic = x.topic + 1),
+t AS (SELECT topic, vector AS lv, (SELECT list_transform(s, lambda e: e / sqrt(list_dot_product(s, s))) FROM sm WHERE sm.topic = c.topic) AS sv, keywords FROM c),
 tops AS (SELECT memory AS item, list_distinct(list(topic)) AS topics FROM vt GROUP BY 1),
 mem AS (SELECT vec_id AS item, v, label, topics, (vec_id % 10) / 10 AS importance FROM v JOIN tops ON item = vec_id),
 kw AS (SELECT query, topic, qv, lv, sv, text, len(list_filter(keywords, lambda k: contains(lower(text), lower(k)))) / len(keywords)::DOUBLE AS kr FROM q CROSS JOIN t),
@@ -177,7 +178,17 @@ cs AS (SELECT query, item, max(sim * p * 0.7::DOUBLE) AS score FROM ch WHERE (qu
 cr AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, item) <= 5)"""
 
 
+_ALL_ROUTES = f"""ra AS (SELECT query, topic, 0.4::DOUBLE * greatest(0, {_DOT.format(a='qv', b='lv')}) + 0.35::DOUBLE * greatest(0, {_DOT.format(a='qv', b='coalesce(sv, lv)')}) + 0.25::DOUBLE * kr AS score FROM kw),
+r AS (SELECT * FROM ra WHERE score > 0), n AS (SELECT query, count(*) AS n FROM r GROUP BY 1),
+sib AS (SELECT query, t.topic, 0.7::DOUBLE * max(r.score) AS score FROM r JOIN n USING (query) JOIN t ON t.topic % 3 = r.topic % 3 WHERE n < 3
+        AND (query, t.topic) NOT IN (SELECT (query, topic) FROM r) GROUP BY 1, 2),
+adj AS (SELECT query, topic, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, topic)::INT AS rank FROM (SELECT * FROM r UNION ALL SELECT * FROM sib) QUALIFY rank <= 7)"""
+
 SQL = {
+    "retrieve_memory_mode": f"""WITH {_STORE}, {_ALL_ROUTES}, {_INTRA.replace('QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) <= 20', '')},
+fu AS (SELECT query, item, score, 'intra' AS source_type FROM ir), {_TRIGGER}, {_cross('WHERE query IN (SELECT query FROM tr WHERE expand)')},
+al AS (SELECT query, item, score, source_type FROM fu UNION ALL SELECT query, item, score, 'cross' FROM cr)
+SELECT query, item, round(score, 6) + 0.0 AS score, source_type, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, item)::INT AS rank FROM al QUALIFY rank <= 10""",
     "dense_topk": f"""WITH {B.VECTORS} SELECT query, vec_id AS item, round({_DOT.format(a='v.v', b='qv')}, 6) + 0.0 AS score,
 row_number() OVER (PARTITION BY query ORDER BY {_DOT.format(a='v.v', b='qv')} DESC, vec_id)::INT AS rank FROM q CROSS JOIN v QUALIFY rank <= 10""",
     "filtered_topk": f"""WITH {_STORE}, x AS (SELECT query, item, {_DOT.format(a='mem.v', b='qv')} AS s FROM q JOIN v ON vec_id = query JOIN mem ON list_contains(topics, v.label))

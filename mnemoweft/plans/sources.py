@@ -185,4 +185,26 @@ ss AS (SELECT name, topic_id, created_at, round(0.6::DOUBLE * c + CASE WHEN len(
        + CASE WHEN least(len(wa), len(wb)) > 0 THEN 0.2::DOUBLE * (len(list_intersect(wa, wb)) / least(len(wa), len(wb))::DOUBLE) ELSE 0 END, 9) AS s FROM pr)
 SELECT name, topic, 1.0::DOUBLE AS similarity, true AS exact FROM ex UNION ALL
 SELECT name, topic_id, round(s, 6), false FROM (SELECT * FROM ss WHERE s >= 0.65 QUALIFY row_number() OVER (PARTITION BY name ORDER BY s DESC, created_at, topic_id) = 1)""",
+    "assign_topics": f"""WITH RECURSIVE {_LABELS}, hd AS (SELECT min(label) AS label FROM lb GROUP BY lower(trim(label))), {hashed('hd', 'label', 'label', 'lh')},
+w AS (SELECT hd.label, kw, list_distinct(list_filter(regexp_split_to_array(lower(hd.label), '\\s+'), lambda x: x <> '')) AS ws FROM hd JOIN lb USING (label)),
+dt AS (SELECT a.label AS a, b.label AS b, round(sum(a.x * b.x), 9) AS c FROM lh a JOIN lh b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2),
+ed AS (SELECT a, b FROM dt JOIN w x ON x.label = a JOIN w y ON y.label = b WHERE round(0.6::DOUBLE * c
+  + CASE WHEN len(x.kw) + len(y.kw) > 0 THEN 0.2::DOUBLE * (len(list_intersect(x.kw, y.kw)) / (len(x.kw) + len(y.kw) - len(list_intersect(x.kw, y.kw)))::DOUBLE) ELSE 0 END
+  + CASE WHEN least(len(x.ws), len(y.ws)) > 0 THEN 0.2::DOUBLE * (len(list_intersect(x.ws, y.ws)) / least(len(x.ws), len(y.ws))::DOUBLE) ELSE 0 END, 9) >= 0.65),
+rc AS (SELECT label AS a, label AS b FROM hd UNION SELECT rc.a, ed.b FROM rc JOIN ed ON rc.b = ed.a),
+ld AS (SELECT a, min(b) AS leader FROM rc GROUP BY 1)
+SELECT lb.label AS name, leader FROM lb JOIN (SELECT label, min(label) OVER (PARTITION BY lower(trim(label))) AS h FROM lb) f ON f.label = lb.label JOIN ld ON ld.a = f.h""",
+    "resolve_topics": f"""WITH sg AS (SELECT segment_id, max(topic_ids) AS ts, max(raw_labels) AS ls FROM segments GROUP BY 1),
+nm AS (SELECT segment_id, unnest(range(len(ls))) AS pos, unnest(list_transform(ls, lambda l: l.label)) AS name FROM sg),
+tl AS (SELECT topic_id, label FROM topics QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY updated_at DESC, label DESC NULLS LAST) = 1),
+ow AS (SELECT segment_id, nth, o.topic_id, label FROM (SELECT segment_id, unnest(range(len(ts))) AS nth, unnest(ts) AS topic_id FROM sg) o JOIN tl ON tl.topic_id = o.topic_id WHERE label IS NOT NULL),
+ns AS (SELECT DISTINCT name FROM nm WHERE name IS NOT NULL), ts AS (SELECT DISTINCT label FROM ow), {hashed('ns', 'name', 'name', 'nh')}, {hashed('ts', 'label', 'label', 'th')},
+pr AS (SELECT DISTINCT name, label FROM nm JOIN ow USING (segment_id) WHERE name IS NOT NULL),
+dt AS (SELECT pr.name, pr.label, round(sum(n.x * t.x), 9) AS c FROM pr JOIN nh n ON n.name = pr.name JOIN th t ON t.label = pr.label AND t.i = n.i GROUP BY 1, 2),
+sc AS (SELECT segment_id, pos, nth, topic_id, CASE WHEN lower(trim(nm.name)) = lower(trim(ow.label)) THEN 2 ELSE coalesce(c, 0) END AS s
+       FROM nm JOIN ow USING (segment_id) LEFT JOIN dt ON dt.name = nm.name AND dt.label = ow.label WHERE nm.name IS NOT NULL),
+bs AS (SELECT segment_id, pos, topic_id FROM sc WHERE s >= 0.65 QUALIFY row_number() OVER (PARTITION BY segment_id, pos ORDER BY s DESC, nth, topic_id) = 1),
+pk AS (SELECT segment_id, string_agg(topic_id, ',' ORDER BY k) AS p FROM (SELECT segment_id, topic_id, min(pos) AS k FROM bs GROUP BY 1, 2) GROUP BY 1),
+ev AS (SELECT segment_id, string_agg(topic_id, ',' ORDER BY k) AS t FROM (SELECT segment_id, topic_id, min(nth) AS k FROM ow GROUP BY 1, 2) GROUP BY 1)
+SELECT ev.segment_id, coalesce(p, t) AS topics FROM ev LEFT JOIN pk USING (segment_id)""",
 }
