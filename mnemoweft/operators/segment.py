@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS, Settings
 from mnemoweft.functions.text import has_transition
+from mnemoweft.functions.tokens import load_encoding, pieces
 from mnemoweft.functions.vector import dot
 
 
@@ -71,3 +73,29 @@ def chunks(documents: DataFrame, id: str, text: str, size: int = 500) -> DataFra
     rows = documents.select(id, tokens.alias("__t")).filter(F.size("__t") > 0)
     starts = F.sequence(F.lit(0), F.floor((F.size("__t") - 1) / size).cast("int"))
     return rows.select(id, "__t", F.explode(starts).alias("chunk")).select(id, "chunk", F.array_join(F.slice("__t", F.col("chunk") * size + 1, size), " ").alias("text"))
+
+
+def token_chunks(documents: DataFrame, id: str, text: str, vocabulary: str, size: int = 500) -> DataFrame:
+    """id, chunk, text of runs of `size` tokens of a public byte-level vocabulary (the path of its rank file).
+
+    -1 keeps each document whole; null and empty texts have no chunk.  A character that two chunks share
+    the bytes of is shown as the replacement character in both.
+    """
+    kind = dict(documents.dtypes)[id]
+
+    def run(batches):
+        encoding = load_encoding(vocabulary)
+        for batch in batches:
+            rows, numbers, texts = [], [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                if not t:
+                    continue
+                tokens = [x for p in pieces(t) for x in encoding.encode_ordinary(p)]
+                step = len(tokens) if size < 0 else size
+                for c, s in enumerate(range(0, len(tokens), step)):
+                    rows.append(k)
+                    numbers.append(c)
+                    texts.append(encoding.decode_bytes(tokens[s : s + step]).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["id", "chunk", "text"])
+
+    return documents.select(F.col(id), F.col(text)).mapInArrow(run, f"id {kind}, chunk int, text string").select(F.col("id").alias(id), "chunk", "text")

@@ -14,6 +14,7 @@ from mnemoweft.plans.dag import _topic_links, _topics
 from mnemoweft.plans.segmentation import hashed
 from mnemoweft.runtime import cut
 from mnemoweft.sources import corpus as C
+from mnemoweft.sources.store import exposed_ids
 from mnemoweft.tables import current, table
 
 TURN = ["sample_id", "session_id", "turn_idx"]
@@ -72,6 +73,12 @@ def namespaced_ids(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("topic_id", F.concat_ws(":", namespace(F.coalesce("label", F.lit("default"))), F.lit("topic"), "topic_id").alias("node_id"))
 
 
+def visible_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids as users see them: virtual topics have no raw one here."""
+    t = current(spark, sf, "topics", ["topic_id", "is_virtual"])
+    return exposed_ids(t.select("topic_id", F.concat_ws(":", F.lit("default"), "topic_id").alias("node_id"), F.when(~F.col("is_virtual"), F.col("topic_id")).alias("raw_id")))
+
+
 def upsert_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Old states of the topics with the newest put in by key."""
     t = table(spark, sf, "topics").select("topic_id", "updated_at", "label")
@@ -134,7 +141,7 @@ def memory_build(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dataset_stats, qa_filter, session_flatten, dia_lookup, perspective_remap, system_stats, namespaced_ids, upsert_topics, delete_cascade, topic_points,
+        dataset_stats, qa_filter, session_flatten, dia_lookup, perspective_remap, system_stats, namespaced_ids, visible_ids, upsert_topics, delete_cascade, topic_points,
         memory_sources, topic_match, assign_topics, resolve_topics, memory_build,
     )
 }
@@ -166,6 +173,8 @@ SELECT 'topics' AS what, count(*) AS n FROM t UNION ALL SELECT 'virtual_topics',
 UNION ALL SELECT 'assoc_edges', count(DISTINCT (source_id, target_id)) FROM assoc_edges UNION ALL SELECT 'dag_edges', count(*) FROM l""",
     "namespaced_ids": """SELECT topic_id, regexp_replace(substr(regexp_replace(coalesce(label, 'default'), '[^A-Za-z0-9_-]', '_', 'g'), 1, 48), '^_+|_+$', '', 'g') || ':topic:' || topic_id AS node_id
 FROM (SELECT * FROM topics QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY updated_at DESC, label DESC NULLS LAST) = 1)""",
+    "visible_ids": """SELECT topic_id, CASE WHEN NOT is_virtual THEN topic_id ELSE 'default:' || topic_id END AS id
+FROM (SELECT * FROM topics QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY updated_at DESC, is_virtual DESC NULLS LAST) = 1)""",
     "upsert_topics": "SELECT topic_id, label FROM (SELECT * FROM topics QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY updated_at DESC, label DESC NULLS LAST) = 1)",
     "delete_cascade": """WITH g AS (SELECT topic_id FROM (SELECT * FROM topics QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY updated_at DESC) = 1) WHERE is_virtual)
 SELECT DISTINCT source_id, target_id FROM assoc_edges WHERE source_id NOT IN (SELECT topic_id FROM g) AND target_id NOT IN (SELECT topic_id FROM g)""",

@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 
 from mnemoweft.plans import bindings as B
 from mnemoweft.plans.bindings import rounded
-from mnemoweft.runtime import ensure_checkpoint_dir
+from mnemoweft.runtime import cut, ensure_checkpoint_dir, remove
 from mnemoweft.streaming.incremental import IncrementalAssociation, event_sessions
 from mnemoweft.tables import table
 
 
 def stream_incremental_npmi(spark: SparkSession, sf: str) -> DataFrame:
-    """The memories as a file stream; the same pairs and scores as from the whole table."""
+    """The memories as a file stream in several micro-batches; the same pairs and scores as from the whole table."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    whole = table(spark, sf, "memories")
-    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/memories.parquet*")
+    whole = table(spark, sf, "memories").select("memory_id", "topic_ids", "ingested_at")
+    whole.repartition(3).write.parquet(f"{folder}/files")
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/files")
     rows = stream.select(F.col("memory_id").alias("memory"), F.col("topic_ids").alias("topics"), F.col("ingested_at").alias("version"))
     state = IncrementalAssociation(spark, f"{folder}/state")
     state.start(rows, f"{folder}/progress").awaitTermination()
-    return state.npmi().select("a", "b", "n_ab", "n_a", "n_b", *rounded("npmi"))
+    found = cut(state.npmi().select("a", "b", "n_ab", "n_a", "n_b", *rounded("npmi")))
+    remove(spark, folder)
+    return found
 
 
 def user_sessions(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 import numpy as np
@@ -27,6 +29,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="mnemoweft-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
 
 
@@ -57,6 +60,12 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(execution.logical().rdd(), done._jdf.schema(), False), spark)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """Hint a broadcast if df is known to have at most that many rows; else leave it to Catalyst."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -22,6 +22,20 @@ class TableStore:
         rows = df.withColumn("namespace", F.lit(self.namespace))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(f"{self.folder}/{name}"))
 
+    def write_by_topic(self, memories: DataFrame, buckets: int = 64) -> None:
+        """memories(item, topics, ...) once per topic, by buckets of topics, for by_topic."""
+        rows = memories.withColumn("topic", F.explode(F.array_distinct("topics"))).filter("topic is not null")
+        bucket = F.pmod(F.xxhash64(F.col("topic").cast("string")), F.lit(buckets)).cast("int")
+        held = rows.withColumns({"bucket": bucket, "namespace": F.lit(self.namespace)})
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "bucket").parquet(f"{self.folder}/memories_by_topic")
+
+    def by_topic(self, topics: list, buckets: int = 64) -> DataFrame:
+        """The memories of some topics, once each; only the buckets of these topics are read."""
+        rows = self.spark.read.parquet(f"{self.folder}/memories_by_topic").filter(F.col("namespace") == self.namespace)
+        wanted = {r[0] for r in self.spark.createDataFrame([(str(t),) for t in topics], "t string").select(F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int")).collect()}
+        found = rows.filter(F.col("bucket").isin(sorted(wanted)) & F.col("topic").isin(list(topics)))
+        return found.drop("topic", "bucket", "namespace").dropDuplicates(["item"])
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}").filter(F.col("namespace") == self.namespace).drop("namespace")
 
@@ -44,5 +58,14 @@ class TableStore:
             raise ValueError(f"{name}: {keys} occurs twice")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
+    """JSON lines under a folder.  With by (such as the sample) only the parts of its values in df are replaced."""
+    if by is None:
+        df.write.mode("overwrite").json(path)
+    else:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
+
+
+def exposed_ids(df: DataFrame, node_id: str = "node_id", raw_id: str = "raw_id") -> DataFrame:
+    """df with its id as users see it: the raw one, or the stored one where there is none."""
+    return df.withColumn("id", F.coalesce(raw_id, node_id)).drop(node_id, raw_id)

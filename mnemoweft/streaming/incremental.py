@@ -15,21 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS, Settings
-from mnemoweft.operators.assoc import bridge, cooccurrences, marginals, reinforced, with_npmi
-from mnemoweft.runtime import steady
+from mnemoweft.operators.assoc import bridge, cooccurrences, directed, marginals, reinforced, with_npmi
+from mnemoweft.runtime import remove, steady
 from mnemoweft.tables import current_rows
 
 SCHEMAS = {
     "memories": "memory string, topics array<string>, version timestamp_ntz",
     "pairs": "a string, b string, n_ab long",
     "counts": "topic string, n_topic long",
+    "edges": "source string, target string, weight double, last_updated timestamp_ntz",
     "progress": "total long, since_rebuild long",
 }
 
 
 @dataclass
 class IncrementalAssociation:
-    """memories, pairs, counts and progress of a stream of (memory, topics, version)."""
+    """memories, pairs, counts, edges and progress of a stream of (memory, topics, version).
+
+    edges are those of the association graph: every memory that a batch brings reinforces, at its
+    version, the edges of its pairs, directed by the counts after the batch, by their NPMI; weights decay
+    between.  What a superseded memory reinforced before is not taken back.  Two versions of the state
+    are kept, the last whole one and the one before, which a batch that runs again reads.
+    """
 
     spark: SparkSession
     folder: str
@@ -70,6 +77,7 @@ class IncrementalAssociation:
         self._write("pairs", signed(pairs, ["a", "b"], "n_ab"), batch)
         self._write("counts", signed(counts, ["topic"], "n_topic"), batch)
         self._write("memories", state.join(newer.select("memory"), "memory", "left_anti").unionByName(newer.drop("known")), batch)
+        self._write("edges", self._reinforced(newer, plus, batch), batch)
         last = self.read("progress", batch).first()
         added = newer.filter(~F.col("known")).count()
         total, since = (last["total"], last["since_rebuild"]) if last else (0, 0)
@@ -80,6 +88,24 @@ class IncrementalAssociation:
             since = 0
         self._write("progress", self.spark.createDataFrame([(total + added, since)], SCHEMAS["progress"]).coalesce(1), batch)
 
+        for old in [v for v in self._versions() if v < batch][:-1]:
+            remove(self.spark, f"{self.folder}/v{old}")
+
+    def _reinforced(self, newer: DataFrame, members: DataFrame, batch: int) -> DataFrame:
+        """The edges after the batch whose memories' memberships are given."""
+        new = lambda name: self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/v{batch}/{name}")
+        last = self.read("progress", batch).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"))
+        total = last.crossJoin(newer.agg(F.count_if(~F.col("known")).alias("m"))).select((F.col("n") + F.col("m")).alias("n"))  # one row each
+        touched = cooccurrences(members).select("a", "b")
+        scored = with_npmi(new("pairs").join(touched, ["a", "b"], "left_semi"), new("counts"), total)
+        s = self.settings
+        ways = directed(scored, s.npmi, s.min_cooccurrence, s.direction_epsilon)
+        ends = lambda end: members.select("memory", F.col("topic").alias(end))
+        met = ways.join(ends("source"), "source").join(ends("target"), ["memory", "target"]).join(newer.select("memory", "version"), "memory")
+        events = met.select("source", "target", F.col("npmi_mem").alias("delta"), "version", "memory")
+        out = reinforced(events, ["source", "target"], "delta", "version", "memory", s, self.read("edges", batch))
+        return out.select("source", "target", F.least("weight", F.lit(s.weight_max)).alias("weight"), F.col("last_updated").cast("timestamp_ntz").alias("last_updated"))
+
     def start(self, stream: DataFrame, checkpoint: str):
         """Run over all that is available of a streaming frame (memory, topics, version)."""
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

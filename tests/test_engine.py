@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS
 from mnemoweft.engine import Engine
+from mnemoweft.experiments import ablations, contribution
 from mnemoweft.models import EchoModel, HashEmbedder
 
 GARDEN = [f"garden compost soil {w}" for w in ("needs care", "is rich now", "likes rain", "in spring", "for beds", "stays moist", "smells good")]
@@ -142,3 +143,13 @@ def test_triggers_fire_while_turns_come_in(spark):
     e.ingest(turns(spark, "a", "s2", ["garden three", "garden four", "garden five"]), window=1, online=True)
     t = e.tables["topics"].first()
     assert t.memory_count_since_summary == 0 and t.summary_vector is not None and "links" in e.tables and e.since_build == 0
+
+
+def test_ablations_and_contribution(spark):
+    texts = ["garden one", "garden two", "chess three", "chess four"]
+    q = spark.createDataFrame([(1, "garden two", "a", 1, ["D1"]), (2, "chess", "a", 2, []), (3, "chess four", "b", 1, ["D9"])], "query int, text string, sample_id string, category int, evidence array<string>")
+    got = {(r.variant, r.query): (r.p_at_k, r.r_at_k) for r in ablations(Engine(spark, model=Naming()), turns(spark, "a", "s", texts), q, k=2, window=2, variants=("full", "no_multilabel")).collect()}
+    assert len(got) == 6 and got["full", 1][1] == 1.0 and got["full", 2] == (0.0, 1.0) and got["full", 3] == (0.0, 0.0)
+    found = lambda use: spark.createDataFrame([(1, "x"), (1, "y")] if use else [(1, "x")], "query int, item string")
+    rows = contribution(found, spark.createDataFrame([(1, "x"), (1, "y")], "query int, item string"), q).orderBy("query").collect()
+    assert [(r.full, r.without, r.difference) for r in rows] == [(1.0, 0.5, 0.5), (1.0, 1.0, 0.0), (1.0, 1.0, 0.0)]

@@ -12,12 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoweft.config import Settings
-from mnemoweft.operators import assign, assoc, dag, maintain, retrieve, search, segment
-from mnemoweft.operators.ppr import personalized_pagerank
+from mnemoweft.operators import assign, assoc, dag, evaluate, maintain, retrieve, search, segment
+from mnemoweft.operators.ppr import closed_form, personalized_pagerank
 from mnemoweft.operators.search import items_above, nearest_items
 from mnemoweft.runtime import cut, split_join, with_dense_codes, with_positions
 from mnemoweft.sources import corpus
-from mnemoweft.sources.store import TableStore
+from mnemoweft.sources.store import TableStore, write_json
 from mnemoweft.streaming.incremental import IncrementalAssociation, reinforce_onto
 from mnemoweft.tables import current_rows
 
@@ -276,6 +276,22 @@ def test_incremental_state_equals_whole(spark, tmp_path):
     want = assoc.with_npmi(assoc.cooccurrences(members), assoc.marginals(members), whole.agg(F.count("*")))
     assert rows(state.npmi().select("a", "b", "n_ab", "n_a", "n_b", "n")) == rows(want.select("a", "b", "n_ab", "n_a", "n_b", "n"))
     assert rebuilt
+    edges = {(r.source, r.target): r for r in state.read("edges").collect()}
+    assert edges and all(0 < r.weight <= 1 for r in edges.values()) and max(r.last_updated for r in edges.values()) <= max(d[2] for d in data)
+    assert state._versions() == [1, 2]
+
+
+def test_edges_of_the_stream(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    state = IncrementalAssociation(spark, str(tmp_path / "s"))
+    schema = "memory string, topics array<string>, version timestamp_ntz"
+    first = [("m0", ["a", "b"], base), ("m1", ["c"], base), ("m2", ["c"], base)]
+    state.process(spark.createDataFrame(first, schema), 0)
+    assert {(r.source, r.target): r.weight for r in state.read("edges").collect()} == pytest.approx({("a", "b"): 0.4, ("b", "a"): 0.4})
+    state.process(spark.createDataFrame([("m3", ["a", "b"], base + timedelta(days=30)), ("m4", ["a"], base)], schema), 1)
+    n = np.log(2 * 5 / (3 * 2)) / -np.log(2 / 5)  # a 3, b 2, both 2 of 5: b leans to a
+    want = 0.4 * 0.5 * (1 - 0.2 * n) + 0.2 * n
+    assert {(r.source, r.target): r.weight for r in state.read("edges").collect()} == pytest.approx({("a", "b"): 0.4, ("b", "a"): want})
 
 
 def test_result_does_not_depend_on_partitions(spark):
@@ -334,3 +350,41 @@ def test_estimates_do_not_grow_through_cuts(spark):
         df = cut(df.join(df.withColumnRenamed("b", "c"), "a").select("a", "b"))
         assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
     assert df.count() == 3
+
+
+def test_closed_form_is_the_limit(spark):
+    edges = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 3.0), ("c", "x", 1.0)], "source string, target string, weight double")
+    seeds = spark.createDataFrame([("q", "a", 1.0), ("q", "lone", 1.0), ("r", "b", 2.0)], "query string, node string, mass double")
+    want = {(r.query, r.node): r.score for r in personalized_pagerank(edges, seeds, Settings(ppr_iterations=60, ppr_top_k=9), epsilon=0).collect()}
+    got = {(r.query, r.node): r.score for r in closed_form(edges, seeds).collect()}
+    assert {k: got[k] for k in want} == pytest.approx(want, abs=1e-4) and got["q", "lone"] == pytest.approx(0.075)
+    with pytest.raises(ValueError):
+        closed_form(edges, seeds, most=2)
+
+
+def test_token_chunks(spark):
+    from mnemoweft.functions.tokens import load_encoding
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    text = "the garden of the house " * 30
+    d = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")
+    got = [r.text for r in segment.token_chunks(d, "id", "text", path, 20).orderBy("chunk").collect()]
+    assert "".join(got) == text and all(len(load_encoding(path).encode_ordinary(t)) <= 20 for t in got)
+    assert [r.text for r in segment.token_chunks(d, "id", "text", path, -1).collect()] == [text]
+
+
+def test_store_by_topic_and_results_by_sample(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path), "n")
+    store.write_by_topic(spark.createDataFrame([("a", ["x", "y", "x"]), ("b", ["y", None]), ("c", [])], "item string, topics array<string>"), 4)
+    assert rows(store.by_topic(["x", "y"], 4), "item") == [("a",), ("b",)] and rows(store.by_topic(["x"], 4), "item") == [("a",)]
+    df = spark.createDataFrame([("s1", 1), ("s2", 2)], "sample_id string, v int")
+    write_json(df, str(tmp_path / "j"), "sample_id")
+    write_json(df.filter("v = 2").withColumn("v", F.lit(5)), str(tmp_path / "j"), "sample_id")
+    assert rows(spark.read.json(str(tmp_path / "j")), "sample_id", "v") == [("s1", 1), ("s2", 5)]
+
+
+def test_evidence_by_id_or_likeness(spark):
+    m = spark.createDataFrame([("m1", "s", ["D1"], [1.0, 0.0]), ("m2", "s", [], [0.0, 1.0]), ("m3", "t", ["D1"], [0.0, 1.0])], "item string, sample string, sources array<string>, vector array<double>")
+    ev = spark.createDataFrame([(1, "s", "D1"), (1, "s", "D2")], "query int, sample string, dia string")
+    tx = spark.createDataFrame([("s", "D2", [0.0, 1.0])], "sample string, dia string, vector array<double>")
+    assert rows(evaluate.evidence_memories(m, ev, tx)) == [(1, "m1"), (1, "m2")]
