@@ -156,6 +156,10 @@ def _letters(c: str) -> str:
 
 
 SQL = {
+    "p7_found": r"""WITH d AS (SELECT lower(trim(source)) AS source, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS n FROM documents WHERE text IS NOT NULL),
+t AS (SELECT lower(trim(source)) AS source, target_share, max_repeats FROM mix_targets),
+o AS (SELECT t.source, target_share, max_repeats, coalesce(sum(n), 0) AS own FROM t LEFT JOIN d ON d.source = t.source GROUP BY 1, 2, 3)
+SELECT source FROM o WHERE max_repeats * own < target_share * (SELECT sum(own) FROM o)""",
     "p2_found": f"""WITH {_MEMORY_TOPICS}
 SELECT item_a AS topic_id_a, item_b AS topic_id_b FROM pairs
 WHERE n_ab >= 8 AND ln((n_ab / n) / ((n_a / n) * (n_b / n))) / -ln(n_ab / n) >= 0.55""",

@@ -2,7 +2,8 @@ from collections import defaultdict
 
 import pytest
 
-from mnemoweft.llm.mixing import load_encoding, mix_sources, pieces, token_counts
+from mnemoweft.functions.tokens import load_encoding, pieces
+from mnemoweft.llm.mixing import mix_sources, token_counts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
