@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoweft.config import Settings
+from mnemoweft.functions.vector import mean_vector
 from mnemoweft.operators import assign, assoc, dag, evaluate, maintain, retrieve, search, segment
 from mnemoweft.operators.ppr import closed_form, personalized_pagerank
 from mnemoweft.operators.search import items_above, nearest_items
@@ -160,6 +161,7 @@ def test_halves_put_the_odd_row_second(spark):
 def test_pagerank_on_a_path(spark):
     edges = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0)], "source string, target string, weight double")
     seeds = spark.createDataFrame([("q", "a", 1.0)], "query string, node string, mass double")
+    assert rows(personalized_pagerank(edges, seeds, task_edges=1), "node") == [("b",), ("c",)]
     got = {r.node: r.score for r in personalized_pagerank(edges, seeds).collect()}
     assert got == {"b": pytest.approx(0.15 * 0.85), "c": pytest.approx(0.15 * 0.85**2)}
 
@@ -388,3 +390,20 @@ def test_evidence_by_id_or_likeness(spark):
     ev = spark.createDataFrame([(1, "s", "D1"), (1, "s", "D2")], "query int, sample string, dia string")
     tx = spark.createDataFrame([("s", "D2", [0.0, 1.0])], "sample string, dia string, vector array<double>")
     assert rows(evaluate.evidence_memories(m, ev, tx)) == [(1, "m1"), (1, "m2")]
+
+
+def test_pagerank_in_tasks_and_by_joins(spark):
+    r = random.Random(4)
+    e = [(f"n{r.randrange(30)}", f"n{r.randrange(30)}", r.random()) for _ in range(90)]
+    edges = spark.createDataFrame(e, "source string, target string, weight double")
+    seeds = spark.createDataFrame([(q, f"n{r.randrange(33)}", 1.0 + q) for q in range(12)] + [(3, "n1", 2.0)], "query int, node string, mass double")
+    for eps in (0.0, 0.02):
+        s = Settings(ppr_top_k=50)
+        a, b = ({(x.query, x.node): x.score for x in personalized_pagerank(edges, seeds, s, eps, task_edges=n).collect()} for n in (10**5, 10))
+        assert a == pytest.approx(b) and len(a) > 50
+
+
+def test_mean_of_vectors(spark):
+    df = spark.createDataFrame([("a", 1, [3.0, 0.0]), ("a", 1, [1.0, None]), ("a", 2, [0.0, 5.0]), (None, 1, [0.0, 2.0]), ("b", 1, None), ("b", 1, [])], "k string, g int, v array<double>").repartition(3)
+    got = {(x.k, x.g): x.m for x in mean_vector(df, ["k", "g"], "v", "m").collect()}
+    assert got == {("a", 1): [1.0, 0.0], ("a", 2): [0.0, 1.0], (None, 1): [0.0, 1.0]}
