@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,9 +25,13 @@ def repeated_words(text: str | None, stretch: int) -> tuple[int, int]:
     hashes, so two different stretches of a text are confused with a chance below 2^-90 or so.
     """
     words = WORD.findall(text.lower()) if text else []
+    return len(words), _repeats(words, stretch)
+
+
+def _repeats(words: list[str], stretch: int) -> int:
     n = len(words)
     if n <= stretch:
-        return n, 0
+        return 0
     seen: dict[str, int] = {}
     codes = np.fromiter((seen.setdefault(w, len(seen) + 1) for w in words), np.uint64, n)
     m = n - stretch + 1
@@ -42,7 +48,7 @@ def repeated_words(text: str | None, stretch: int) -> tuple[int, int]:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, np.flatnonzero(again), 1)
     np.add.at(edge, np.flatnonzero(again) + stretch, -1)
-    return n, int((np.cumsum(edge[:-1]) > 0).sum())
+    return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
 def repetition(documents: DataFrame, id: str = "doc_id", text: str = "text", stretch: int = 5) -> DataFrame:
@@ -107,13 +113,14 @@ def repetitive(documents: DataFrame, vocabulary: str, id: str = "doc_id", text:
                 n = len(words)
                 if n < max(1, least):
                     continue
-                for w in set(words) - known.keys():
+                counts = Counter(words)
+                for w in counts.keys() - known.keys():
                     known[w] = encoding.encode_ordinary(" " + w)
-                tokens = sum(map(len, map(known.__getitem__, words)))
-                types = len(set().union(*map(known.__getitem__, set(words))))
+                tokens = sum(c * len(known[w]) for w, c in counts.items())
+                types = len(set().union(*map(known.__getitem__, counts)))
                 if tokens <= share * n or np.log2(types) > np.log2(n) + np.log2(tokens / n - share) + 1e-9:
                     continue
-                r = repeated_words(t, stretch)[1]
+                r = _repeats(words, stretch)
                 if r >= share * n:
                     kept.append(k)
                     rows.append((n, tokens / n, float(np.log2(types)), r))
