@@ -120,7 +120,13 @@ def token_f1(spark: SparkSession, sf: str) -> DataFrame:
 def answer_scores(spark: SparkSession, sf: str) -> DataFrame:
     a, p, g = _answers(spark, sf), F.col("prediction"), F.col("gold")
     named = [F.round(S.bleu(p, g, n), 6).alias(f"bleu_{n}") for n in (1, 2, 3, 4)] + [F.round(S.rouge_n(p, g, n), 6).alias(f"rouge_{n}") for n in (1, 2)]
-    return a.select("item_id", F.round(S.category_score(F.col("category"), p, g), 6).alias("score"), *named, F.round(S.rouge_l(p, g), 6).alias("rouge_l"))
+    return a.select("item_id", F.round(S.category_score(F.col("category"), p, g), 6).alias("score"), *named)
+
+
+def answer_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest common subsequences of answers and golds."""
+    a, p, g = _answers(spark, sf), F.col("prediction"), F.col("gold")
+    return a.select("item_id", F.round(S.rouge_l(p, g), 6).alias("rouge_l"))
 
 
 def score_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +149,7 @@ def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evaluate_retrieval, evidence_recall, per_category, macro_average, noise_count, cross_topic_recall, token_f1, answer_scores,
+        evaluate_retrieval, evidence_recall, per_category, macro_average, noise_count, cross_topic_recall, token_f1, answer_scores, answer_sequences,
         score_report, judge_accuracy, metric_summary,
     )
 }
@@ -182,7 +188,33 @@ f1s AS (SELECT item_id, category,
   CASE WHEN trim(pred) = '' OR trim(gold) = '' OR len(list_intersect(ps, gs)) = 0 THEN 0 ELSE 2 * len(list_intersect(ps, gs)) / (len(ps) + len(gs)) END::DOUBLE AS set_f1,
   (lower(trim(pred)) = lower(trim(gold)))::INT AS exact FROM tk2)"""
 
+def _met(a: str, b: str) -> str:
+    """Common values of two lists, repeats counted as often as both have them."""
+    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda t: least(len(list_filter({a}, lambda u: u = t)), len(list_filter({b}, lambda u: u = t))))), 0)"
+
+
+def _bleu(order: int) -> str:
+    weight = 0.33 if order == 3 else 1 / order
+    logs = " + ".join(f"{weight}::DOUBLE * ln(CASE WHEN m{n} > 0 THEN m{n} ELSE 0.1 END / greatest(len(p{n}), 1))" for n in range(1, order + 1))
+    return f"CASE WHEN trim(pred) = '' OR trim(gold) = '' OR m1 = 0 THEN 0 ELSE CASE WHEN len(p1) > len(g1) THEN 1 ELSE exp(1 - len(g1) / len(p1)::DOUBLE) END * exp({logs}) END"
+
+
+_TOKENS = "list_filter(regexp_split_to_array(translate(lower({c}), '.,!?', '    '), '\\s+'), lambda x: x <> '')"
+_BARE = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({c}), ',', '', 'g'), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and'))"
+_GRAMS = "list_transform(range(1, len({v}) - {n} + 2), lambda i: array_to_string({v}[i : i + {n} - 1], ' '))"
+_GRADED = f"""wd AS (SELECT item_id, category, pred, gold, {_TOKENS.format(c='pred')} AS p1, {_TOKENS.format(c='gold')} AS g1 FROM an),
+gr AS (SELECT *, {', '.join(f"{_GRAMS.format(v=f'{c}1', n=n)} AS {c}{n}" for n in (2, 3, 4) for c in 'pg')} FROM wd),
+ct AS (SELECT *, {', '.join(f"{_met(f'p{n}', f'g{n}')} AS m{n}" for n in (1, 2, 3, 4))} FROM gr),
+pt AS (SELECT item_id, i, {_BARE.format(c='pp')} AS p, {_BARE.format(c='gp')} AS g FROM (
+  SELECT item_id, i, unnest(CASE WHEN category = 1 THEN string_split(pred, ',') ELSE [pred] END) AS pp, gp FROM (
+  SELECT item_id, category, pred, unnest(range(len(gs))) AS i, unnest(gs) AS gp FROM (SELECT *, CASE WHEN category = 1 THEN string_split(gold, ',') WHEN category = 3 THEN string_split(gold, ';')[1:1] ELSE [gold] END AS gs FROM an)))),
+pf AS (SELECT item_id, i, max(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1 WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE 2 * {_met('p', 'g')} / (len(p) + len(g)) END::DOUBLE) AS f FROM pt GROUP BY 1, 2),
+mf AS (SELECT item_id, avg(f) AS f FROM pf GROUP BY 1)"""
+
 SQL = {
+    "answer_scores": f"""WITH {_OWN}, {_ANSWERS}, {_GRADED} SELECT item_id, round(CASE WHEN category = 5 THEN (contains(lower(pred), 'no information available') OR contains(lower(pred), 'not mentioned'))::INT ELSE f END, 6)::DOUBLE AS score,
+{', '.join(f"round({_bleu(n)}, 6)::DOUBLE AS bleu_{n}" for n in (1, 2, 3, 4))},
+{', '.join(f"round(CASE WHEN m{n} > 0 THEN 2 * m{n} / (len(p{n}) + len(g{n}))::DOUBLE ELSE 0 END, 6)::DOUBLE AS rouge_{n}" for n in (1, 2))} FROM ct JOIN mf USING (item_id)""",
     "evaluate_retrieval": f"WITH {_OWN}, {_SCORED} SELECT item_id, round(p_at_k, 6) AS p_at_k, round(r_at_k, 6) AS r_at_k FROM sc",
     "evidence_recall": f"""WITH {_OWN}, g AS (SELECT item_id, list_distinct(flatten(list(sources))) AS got FROM ret JOIN me USING (item) GROUP BY 1)
 SELECT e.item_id, round(CASE WHEN coalesce(len(evidence), 0) = 0 THEN 1 ELSE len(list_filter(evidence, lambda x: list_contains(coalesce(got, []), x))) / len(evidence) END, 6)::DOUBLE AS recall

@@ -9,7 +9,6 @@ from mnemoweft.functions.text import namespace
 from mnemoweft.models import HashEmbedder
 from mnemoweft.operators import assign as A
 from mnemoweft.operators import maintain as M
-from mnemoweft.plans import bindings as B
 from mnemoweft.plans.dag import _topic_links, _topics
 from mnemoweft.plans.segmentation import hashed
 from mnemoweft.runtime import cut
@@ -216,4 +215,12 @@ bs AS (SELECT segment_id, pos, topic_id FROM sc WHERE s >= 0.65 QUALIFY row_numb
 pk AS (SELECT segment_id, string_agg(topic_id, ',' ORDER BY k) AS p FROM (SELECT segment_id, topic_id, min(pos) AS k FROM bs GROUP BY 1, 2) GROUP BY 1),
 ev AS (SELECT segment_id, string_agg(topic_id, ',' ORDER BY k) AS t FROM (SELECT segment_id, topic_id, min(nth) AS k FROM ow GROUP BY 1, 2) GROUP BY 1)
 SELECT ev.segment_id, coalesce(p, t) AS topics FROM ev LEFT JOIN pk USING (segment_id)""",
+    "memory_build": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '<think>.*?</think>', '', 'gs')) AS bare FROM documents WHERE lower(trim(source)) = 'model_output'),
+b AS (SELECT doc_id, CASE WHEN fenced <> '' THEN fenced ELSE bare END AS body FROM (SELECT doc_id, bare, trim(regexp_extract(bare, '(?s)```(?:json)?\s*(.*?)```', 1)) AS fenced FROM d)),
+x AS (SELECT doc_id, body, [regexp_extract(body, '(?s)\[\s*\{.*\}\s*\]', 0), regexp_extract(body, '(?s)\{.*\}', 0), '[' || regexp_extract(body, '(?s)\{.*\}', 0) || ']', regexp_extract(body, '(?s)\[.*\]', 0)] AS parts FROM b),
+j AS (SELECT doc_id, CASE WHEN json_valid(body) AND regexp_matches(body, '^\s*[\[{]') THEN body ELSE list_filter(parts, lambda p: p <> '' AND json_valid(p))[1] END AS js FROM x),
+l AS (SELECT doc_id, json_extract(CASE WHEN regexp_matches(js, '^\s*\{') THEN '[' || js || ']' ELSE js END, '$[*]') AS l FROM j WHERE js IS NOT NULL),
+e AS (SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS o FROM l)
+SELECT doc_id, pos, json_extract_string(o, '$.content') AS content, array_to_string(json_extract_string(o, '$.topics[*]'), ',') AS topics, array_to_string(json_extract_string(o, '$.keywords[*]'), ',') AS keywords,
+       coalesce(try_cast(json_extract_string(o, '$.importance') AS DOUBLE), 0.5) AS importance FROM e WHERE json_type(o) = 'OBJECT' AND coalesce(trim(json_extract_string(o, '$.content')), '') <> ''""",
 }
