@@ -35,14 +35,16 @@ def cooccurrences(members: DataFrame, block: int = 256) -> DataFrame:
     A memory with more than `block` topics is dealt to blocks before anything is collected, and pairs of
     blocks are spread over the tasks, so no row holds more than 2 x block topics.
     """
-    sizes = members.groupBy("memory").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    rows = members.join(sizes.select("memory", "blocks"), "memory").withColumn("block", F.pmod(F.xxhash64("topic"), F.col("blocks")).cast("int"))
+    sized = members.select("memory", "topic", F.count("*").over(W.partitionBy("memory")).alias("n")).filter("n > 1")
+    rows = sized.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("topic"), F.col("blocks")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
-    sets = cells.select("memory", lo, hi, "block", "topic").groupBy("memory", "lo", "hi").agg(F.array_sort(F.collect_set(F.struct("topic", "block"))).alias("t"))
-    met = lambda x, y: (F.col("lo") == F.col("hi")) | (x["block"] != y["block"])
-    later = lambda i: F.slice(F.col("t"), i + 2, F.size("t"))
-    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.filter(later(i), lambda y: met(x, y)), lambda y: F.struct(x["topic"].alias("a"), y["topic"].alias("b")))))
+    side = lambda end: F.sort_array(F.collect_set(F.when(F.col("block") == F.col(end), F.col("topic"))))
+    sets = cells.select("memory", lo, hi, "block", "topic").groupBy("memory", "lo", "hi").agg(side("lo").alias("x"), side("hi").alias("y"))
+    later = lambda i: F.slice(F.col("x"), i + 2, F.size("x"))
+    inside = F.transform("x", lambda x, i: F.transform(later(i), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    across = F.transform("x", lambda x: F.transform("y", lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))
+    pairs = F.flatten(F.when(F.col("lo") == F.col("hi"), inside).otherwise(across))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab"))
 
 

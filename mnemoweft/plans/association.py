@@ -13,6 +13,7 @@ from mnemoweft.operators import assoc
 from mnemoweft.operators.ppr import personalized_pagerank
 from mnemoweft.plans import bindings as B
 from mnemoweft.plans.bindings import rounded
+from mnemoweft.runtime import cut
 from mnemoweft.tables import current, table
 
 AS_OF = "2025-01-01 00:00:00"
@@ -119,7 +120,7 @@ def _brand_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ppr_topk(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _brand_edges(spark, sf)
+    edges = cut(_brand_edges(spark, sf))
     seeds = edges.select(F.col("source").alias("query"), F.col("source").alias("node"), F.lit(1.0).alias("mass")).distinct()
     found = personalized_pagerank(edges, seeds, replace(DEFAULTS, ppr_top_k=5), epsilon=0)
     return found.select("query", "node", *rounded("score"), "rank")

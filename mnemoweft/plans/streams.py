@@ -19,7 +19,7 @@ def stream_incremental_npmi(spark: SparkSession, sf: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     whole = table(spark, sf, "memories").select("memory_id", "topic_ids", "ingested_at")
-    whole.repartition(3).write.parquet(f"{folder}/files")
+    whole.repartition(2).write.parquet(f"{folder}/files")
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/files")
     rows = stream.select(F.col("memory_id").alias("memory"), F.col("topic_ids").alias("topics"), F.col("ingested_at").alias("version"))
     state = IncrementalAssociation(spark, f"{folder}/state")

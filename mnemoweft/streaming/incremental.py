@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mnemoweft.config import DEFAULTS, Settings
 from mnemoweft.operators.assoc import bridge, cooccurrences, directed, marginals, reinforced, with_npmi
-from mnemoweft.runtime import remove, steady
+from mnemoweft.runtime import cut, remove, steady
 from mnemoweft.tables import current_rows
 
 SCHEMAS = {
@@ -72,12 +72,13 @@ class IncrementalAssociation:
         replaced = state.join(newer.select("memory"), "memory", "left_semi")
         signed = lambda df, keys, n: df.groupBy(*keys).agg(F.sum(n).alias(n)).filter(F.col(n) != 0)
         plus, minus = bridge(newer, "memory", "topics"), bridge(replaced, "memory", "topics")
-        pairs = self.read("pairs", batch).unionByName(cooccurrences(plus)).unionByName(cooccurrences(minus).withColumn("n_ab", -F.col("n_ab")))
+        met = cut(cooccurrences(plus))
+        pairs = self.read("pairs", batch).unionByName(met).unionByName(cooccurrences(minus).withColumn("n_ab", -F.col("n_ab")))
         counts = self.read("counts", batch).unionByName(marginals(plus)).unionByName(marginals(minus).withColumn("n_topic", -F.col("n_topic")))
         self._write("pairs", signed(pairs, ["a", "b"], "n_ab"), batch)
         self._write("counts", signed(counts, ["topic"], "n_topic"), batch)
         self._write("memories", state.join(newer.select("memory"), "memory", "left_anti").unionByName(newer.drop("known")), batch)
-        self._write("edges", self._reinforced(newer, plus, batch), batch)
+        self._write("edges", self._reinforced(newer, plus, met, batch), batch)
         last = self.read("progress", batch).first()
         added = newer.filter(~F.col("known")).count()
         total, since = (last["total"], last["since_rebuild"]) if last else (0, 0)
@@ -91,18 +92,17 @@ class IncrementalAssociation:
         for old in [v for v in self._versions() if v < batch][:-1]:
             remove(self.spark, f"{self.folder}/v{old}")
 
-    def _reinforced(self, newer: DataFrame, members: DataFrame, batch: int) -> DataFrame:
-        """The edges after the batch whose memories' memberships are given."""
+    def _reinforced(self, newer: DataFrame, members: DataFrame, met: DataFrame, batch: int) -> DataFrame:
+        """The edges after the batch whose memories' memberships and pairs are given."""
         new = lambda name: self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/v{batch}/{name}")
         last = self.read("progress", batch).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"))
         total = last.crossJoin(newer.agg(F.count_if(~F.col("known")).alias("m"))).select((F.col("n") + F.col("m")).alias("n"))  # one row each
-        touched = cooccurrences(members).select("a", "b")
-        scored = with_npmi(new("pairs").join(touched, ["a", "b"], "left_semi"), new("counts"), total)
+        scored = with_npmi(new("pairs").join(met, ["a", "b"], "left_semi"), new("counts"), total)
         s = self.settings
         ways = directed(scored, s.npmi, s.min_cooccurrence, s.direction_epsilon)
         ends = lambda end: members.select("memory", F.col("topic").alias(end))
-        met = ways.join(ends("source"), "source").join(ends("target"), ["memory", "target"]).join(newer.select("memory", "version"), "memory")
-        events = met.select("source", "target", F.col("npmi_mem").alias("delta"), "version", "memory")
+        each = ways.join(ends("source"), "source").join(ends("target"), ["memory", "target"]).join(newer.select("memory", "version"), "memory")
+        events = each.select("source", "target", F.col("npmi_mem").alias("delta"), "version", "memory")
         out = reinforced(events, ["source", "target"], "delta", "version", "memory", s, self.read("edges", batch))
         return out.select("source", "target", F.least("weight", F.lit(s.weight_max)).alias("weight"), F.col("last_updated").cast("timestamp_ntz").alias("last_updated"))
 
