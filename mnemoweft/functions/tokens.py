@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import base64
-
-import regex
+from functools import cache
 
 #: Fixed value: the pre-tokenisation pattern that belongs to the published byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONGEST = 20_000  # characters encoded at once
-_PATTERN = regex.compile(PATTERN)
+
+
+@cache
+def _pattern():
+    import regex  # only where texts are encoded
+
+    return regex.compile(PATTERN)
 
 
 def load_encoding(path: str):
@@ -30,7 +35,7 @@ def pieces(text: str):
     s, width = 0, LONGEST
     while len(text) - s > width:
         e = s
-        for m in _PATTERN.finditer(text, s, s + width):
+        for m in _pattern().finditer(text, s, s + width):
             e = m.start()
         if e > s:
             yield text[s:e]

@@ -49,9 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
 
     A checkpoint keeps the estimated size of its plan, and a join's is the product of its inputs': through
     a chain of joins and cuts the digits grow exponentially, and planning never ends.  An estimate
-    beyond 2^62 bytes is therefore dropped.
+    beyond 2^62 bytes is therefore dropped.  What is a checkpoint already stays as it is.
     """
     spark = steady(df.sparkSession)
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().isCheckpointed():
+        return df
     ensure_checkpoint_dir(spark)
     done = df.checkpoint(eager=True)
     execution = done._jdf.queryExecution()

@@ -351,7 +351,7 @@ def test_estimates_do_not_grow_through_cuts(spark):
     for _ in range(7):
         df = cut(df.join(df.withColumnRenamed("b", "c"), "a").select("a", "b"))
         assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
-    assert df.count() == 3
+    assert df.count() == 3 and cut(df) is df and cut(df.filter("a > 0")).count() == 2
 
 
 def test_closed_form_is_the_limit(spark):
