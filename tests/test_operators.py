@@ -407,3 +407,22 @@ def test_mean_of_vectors(spark):
     df = spark.createDataFrame([("a", 1, [3.0, 0.0]), ("a", 1, [1.0, None]), ("a", 2, [0.0, 5.0]), (None, 1, [0.0, 2.0]), ("b", 1, None), ("b", 1, [])], "k string, g int, v array<double>").repartition(3)
     got = {(x.k, x.g): x.m for x in mean_vector(df, ["k", "g"], "v", "m").collect()}
     assert got == {("a", 1): [1.0, 0.0], ("a", 2): [0.0, 1.0], (None, 1): [0.0, 1.0]}
+
+
+def random_topics(n):
+    r = random.Random(n)
+    some = lambda most, words: [f"{words}{r.randrange(12)}" for _ in range(r.randrange(most))]
+    vector = lambda: r.choice([None, [0.0, 0.0, 0.0], *([r.gauss(0, 1) for _ in range(k)] for k in (3, 3, 3, 2))])
+    return [(f"t{k:03}", r.choice([None, " ".join(some(4, "w"))]), vector(), vector(), r.choice([None, some(5, "k")])) for k in range(n)]
+
+
+def test_pairs_in_blocks_write_nothing_per_pair_of_blocks(spark, monkeypatch):
+    t = topics_frame(spark, random_topics(120))
+    monkeypatch.setattr(search, "PART", 20)  # six blocks
+    for least, unit in ((0.9, False), (0.4, True), (-2.0, False)):
+        found = dag.similar_pairs(t, least, unit=unit)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        every = dag.similar_topics(t, t, float("-inf"), unit=unit).filter(f"a < b and similarity >= {least}")
+        got, want = ({(x.a, x.b): x.similarity for x in df.collect()} for df in (found, every))
+        assert got == pytest.approx(want, abs=1e-8) and len(want) > 20
