@@ -426,3 +426,13 @@ def test_pairs_in_blocks_write_nothing_per_pair_of_blocks(spark, monkeypatch):
         every = dag.similar_topics(t, t, float("-inf"), unit=unit).filter(f"a < b and similarity >= {least}")
         got, want = ({(x.a, x.b): x.similarity for x in df.collect()} for df in (found, every))
         assert got == pytest.approx(want, abs=1e-8) and len(want) > 20
+
+
+def test_sibling_queries_keep_floats_and_shuffle_no_vectors_twice(spark, monkeypatch):
+    from mnemoweft.plans import dag as plans
+
+    asked = []
+    pairs = dag.similar_pairs
+    monkeypatch.setattr(plans.D, "similar_pairs", lambda t, *a, **k: asked.append((dict(t.dtypes)["label_vector"], k.get("unit"))) or pairs(t, *a, **k))
+    links = plans.sibling_merge(spark, "/root/testdata/sf0.001")
+    assert asked == [("array<float>", True)] and links.count() > 0
