@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoweft.config import Settings
-from mnemoweft.functions.vector import mean_vector
+from mnemoweft.functions.vector import mean_vector, normalise
 from mnemoweft.operators import assign, assoc, dag, evaluate, maintain, retrieve, search, segment
 from mnemoweft.operators.ppr import closed_form, personalized_pagerank
 from mnemoweft.operators.search import items_above, nearest_items
@@ -436,3 +436,15 @@ def test_sibling_queries_keep_floats_and_shuffle_no_vectors_twice(spark, monkeyp
     monkeypatch.setattr(plans.D, "similar_pairs", lambda t, *a, **k: asked.append((dict(t.dtypes)["label_vector"], k.get("unit"))) or pairs(t, *a, **k))
     links = plans.sibling_merge(spark, "/root/testdata/sf0.001")
     assert asked == [("array<float>", True)] and links.count() > 0
+
+
+def test_clusters_of_floats_by_packed_blocks(spark, monkeypatch):
+    found = []
+    pairs = dag.similar_pairs
+    monkeypatch.setattr(dag, "similar_pairs", lambda t, *a, **k: found.append(k["keyed"]) or pairs(t, *a, **k))
+    t = topics_frame(spark, random_topics(60))
+    floats = t.withColumns({c: F.col(c).cast("array<float>").cast("array<double>") for c in ("label_vector", "summary_vector")})
+    raw = t.withColumns({c: F.col(c).cast("array<float>") for c in ("label_vector", "summary_vector")})
+    unit = lambda c: F.when(F.size(c) > 0, normalise(F.col(c)))
+    want, got = dag.cluster_topics(floats.withColumns({c: unit(c) for c in ("label_vector", "summary_vector")})), dag.cluster_topics(raw, unit=True)
+    assert rows(got) == rows(want) != [] and found == [False, True] * 2
